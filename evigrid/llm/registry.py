@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, packing, quality
+from . import decontamination, licenses, packing, pii, quality, tokenfiles
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_positional_index_decontamination": decontamination.op2,
+        "op3_token_files": tokenfiles.op3,
         "op4_dominance_best_fit_packing": packing.op4,
         "op7_quality_log_likelihood": quality.op7,
+        "op8_license_set_join": licenses.op8,
+        "op10_pii_deobfuscation": pii.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_set_join": licenses.op8_sql()}
