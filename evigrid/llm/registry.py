@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, licenses, packing, pii, quality, tokenfiles
+from . import automata, decontamination, licenses, packing, pii, quality, tokenfiles
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op4_dominance_best_fit_packing": packing.op4,
         "op7_quality_log_likelihood": quality.op7,
         "op8_license_set_join": licenses.op8,
+        "op9_suffix_automaton_dedup": automata.op9,
         "op10_pii_deobfuscation": pii.op10,
     }
 
