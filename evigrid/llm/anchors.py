@@ -96,13 +96,13 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def identified(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text: rows with equal doc_id and text count as one document, and so need no other identity."""
+    """doc_id, text_hash, text: rows with equal doc_id and text have the same spans, and so need no other identity."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds `spans`, the sorted spans (s, e) of each document, to ``identified`` rows; an empty list where there are none."""
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
     joined = rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.text_hash == lists.t), "left")
     return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<s:long,e:long>>")).alias("spans"))

@@ -172,6 +172,12 @@ def _judged(rows: list[dict], size: int) -> pa.RecordBatch:
     words = np.frombuffer(b"".join(r["words"] for r in rows), "<u4")
     first = np.cumsum(whole["n"].astype(np.int64)) - whole["n"]
     order = np.lexsort((whole["low"], whole["text_hash"], whole["doc_id"], whole["key"]))
+    # Repeated rows are one document: each place counts once.
+    again = np.ones(len(order), bool)
+    again[:1] = False
+    for c in ("key", "doc_id", "text_hash", "low"):
+        again[1:] &= whole[c][order[1:]] == whole[c][order[:-1]]
+    order = order[~again]
     key = whole["key"][order]
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     out: list[tuple[int, int, int]] = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import automata, decontamination, licenses, packing, pii, quality, tokenfiles
+from . import automata, decontamination, licenses, packing, pii, quality, suffixes, tokenfiles
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op2_positional_index_decontamination": decontamination.op2,
         "op3_token_files": tokenfiles.op3,
         "op4_dominance_best_fit_packing": packing.op4,
+        "op6_suffix_array_dedup": suffixes.op6,
         "op7_quality_log_likelihood": quality.op7,
         "op8_license_set_join": licenses.op8,
         "op9_suffix_automaton_dedup": automata.op9,
