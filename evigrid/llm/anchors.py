@@ -81,9 +81,16 @@ def repeated_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
 
     twice = rows.mapInArrow(count, "slot long, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
     bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
-    words = twice.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = twice.groupBy(F.expr("cast(shiftright(slot, 6) AS int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bits = (batch.column(c).to_numpy() for c in ("word", "bits"))
+            yield pa.record_batch({"word": pa.array([word.tobytes()], pa.binary()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in words.mapInArrow(packed, "word binary, bits binary").toLocalIterator():
+        out[np.frombuffer(row["word"], np.int32)] = np.frombuffer(row["bits"], np.uint64)
     return out
 
 
