@@ -89,7 +89,7 @@ def repeated_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
             yield pa.record_batch({"word": pa.array([word.tobytes()], pa.binary()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in words.mapInArrow(packed, "word binary, bits binary").toLocalIterator():
+    for row in words.mapInArrow(packed, "word binary, bits binary").collect():
         out[np.frombuffer(row["word"], np.int32)] = np.frombuffer(row["bits"], np.uint64)
     return out
 

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import ALNUM, SpanHasher, TextBlock
+from .anchors import identified
+from .common import ALNUM, TextBlock
 
 WINDOW = 13
 #: Bytes of text in a segment, and of benchmark text that goes to the executors at once.
@@ -33,8 +34,8 @@ BLOCK_BYTES = 4 << 20
 #: Candidate places that a task holds at once.
 CANDIDATES = 1 << 20
 
-INDEX_SCHEMA = "segment long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, gaps binary"
-MATCH_SCHEMA = "segment long, place int, doc_id long, n_words long, items array<string>, spans array<struct<s:int,e:int>>"
+INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms binary, counts binary, gaps binary"
+MATCH_SCHEMA = "segment long, place int, doc_id long, text_hash long, n_words long, items array<string>, spans array<struct<s:int,e:int>>"
 
 
 # ---------------------------------------------------------------- index
@@ -61,6 +62,7 @@ def _segment(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
         {
             "segment": pa.array([number], pa.int64()),
             "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+            "text_hashes": pa.array([batch.column("text_hash").to_pylist()], pa.list_(pa.int64())),
             "n_words": pa.array([words.counts.astype(np.int32)], pa.list_(pa.int32())),
             "terms": pa.array([terms.tobytes()], pa.binary()),
             "counts": pa.array([counts.astype("<u4").tobytes()], pa.binary()),
@@ -79,8 +81,7 @@ def build_index(documents: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Dat
         for i, batch in enumerate(common.pieces(batches, most_bytes=segment_bytes)):
             yield _segment(batch, first + i)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.stored(rows.mapInArrow(index, INDEX_SCHEMA), "postings")
+    return common.stored(identified(documents).mapInArrow(index, INDEX_SCHEMA), "postings")
 
 
 # ---------------------------------------------------------------- search
@@ -143,7 +144,7 @@ def _places(windows: _Windows, terms: np.ndarray, counts: np.ndarray, positions:
 
 
 def _matches(batch: pa.RecordBatch, windows: _Windows, slack: int) -> pa.RecordBatch:
-    out: dict[str, list] = {name: [] for name in ("segment", "place", "doc_id", "n_words", "items", "spans")}
+    out: dict[str, list] = {name: [] for name in ("segment", "place", "doc_id", "text_hash", "n_words", "items", "spans")}
     for row in batch.to_pylist():
         n_words = np.array(row["n_words"], np.int64)
         terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
@@ -166,11 +167,12 @@ def _matches(batch: pa.RecordBatch, windows: _Windows, slack: int) -> pa.RecordB
         out["segment"] += [row["segment"]] * len(n_words)
         out["place"] += range(len(n_words))
         out["doc_id"] += row["doc_ids"]
+        out["text_hash"] += row["text_hashes"]
         out["n_words"] += row["n_words"]
         out["items"] += [sorted(x) for x in items]
         out["spans"] += [[{"s": s, "e": e} for s, e in _merged(x)] for x in spans]
     span = pa.struct({"s": pa.int32(), "e": pa.int32()})
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
     return pa.record_batch([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], names=list(out))
 
 
@@ -207,7 +209,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         found = found.groupBy("segment", "place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
         )
     return found.withColumn("items", F.array_sort(F.array_distinct("items")))
@@ -223,12 +225,20 @@ def covered_words(spans: Column) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans, contaminated (5 % of its words or more are hit) for each document row."""
+    """doc_id, text_hash, n_words, n_hit, items, spans, contaminated (5 % of its words or more are hit) for each document row."""
     found = search(build_index(documents), benchmark, window)
     hit = found.withColumn("n_hit", covered_words(F.col("spans")))
     return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    dirty = decontaminate(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    dirty = common.stored(dirty, "contaminated")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_t"))
+    return documents.join(dirty, key, "left_anti")
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     judged = decontaminate(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judged.select(

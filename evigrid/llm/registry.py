@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import automata, decontamination, licenses, packing, pii, quality, suffixes, tokenfiles
+from . import automata, chosenpath, decontamination, licenses, packing, pii, quality, suffixes, tokenfiles
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op2_positional_index_decontamination": decontamination.op2,
         "op3_token_files": tokenfiles.op3,
         "op4_dominance_best_fit_packing": packing.op4,
+        "op5_chosen_path_jaccard_join": chosenpath.op5,
         "op6_suffix_array_dedup": suffixes.op6,
         "op7_quality_log_likelihood": quality.op7,
         "op8_license_set_join": licenses.op8,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_set_join": licenses.op8_sql()}
+    return {"op5_chosen_path_jaccard_join": chosenpath.OP5_SQL, "op8_license_set_join": licenses.op8_sql()}
