@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = ""
+from .plans import register, series, spatial, summaries
+
+FLAGSHIP = "ranked_register"
+_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
