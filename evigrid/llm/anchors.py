@@ -70,32 +70,49 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return (mix(keys) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def repeated_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """The filter's bits, as 64-bit words: slots that two anchors or more fell into. At most FILTER_BITS / 64 rows go to the driver."""
+def bitmap(rows: DataFrame) -> np.ndarray:
+    """A filter from rows of `slot`: 64-bit words, or the sorted slots while these take less room.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys in keys_of(batch):
-                slot, n = np.unique(slots(keys), return_counts=True)
-                yield pa.record_batch({"slot": pa.array(slot), "n": pa.array(np.minimum(n, 2).astype(np.int32))})
-
-    twice = rows.mapInArrow(count, "slot long, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    Tasks send them as packed arrays; the driver gets FILTER_BITS / 64 words at most.
+    """
     bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
-    words = twice.groupBy(F.expr("cast(shiftright(slot, 6) AS int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = rows.groupBy(F.expr("cast(shiftright(slot, 6) AS int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, bits = (batch.column(c).to_numpy() for c in ("word", "bits"))
             yield pa.record_batch({"word": pa.array([word.tobytes()], pa.binary()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
+    found = words.mapInArrow(packed, "word binary, bits binary").collect()
+    word = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["word"], np.int32) for r in found]])
+    bits = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["bits"], np.uint64) for r in found]])
+    if len(word) * 64 < FILTER_BITS // 64:
+        every = (word.astype(np.int64)[:, None] << 6) + np.arange(64)
+        return np.sort(every[(bits[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) > 0])
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in words.mapInArrow(packed, "word binary, bits binary").collect():
-        out[np.frombuffer(row["word"], np.int32)] = np.frombuffer(row["bits"], np.uint64)
+    out[word] = bits
     return out
 
 
+def repeated_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """A filter of the slots that two anchors or more fell into."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in keys_of(batch):
+                slot, n = np.unique(slots(keys), return_counts=True)
+                yield pa.record_batch({"slot": pa.array(slot), "n": pa.array(np.minimum(n, 2).astype(np.int32))})
+
+    return bitmap(rows.mapInArrow(count, "slot long, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"))
+
+
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = slots(keys)
+    if bits.dtype == np.int64:
+        at = np.searchsorted(bits, slot)
+        found = at < len(bits)
+        found[found] = bits[at[found]] == slot[found]
+        return found
     return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .anchors import FILTER_BITS, identified, passes, slots
+from .anchors import bitmap, identified, passes, slots
 from .automata import _NULL, by_part
 from .common import ALNUM, SpanHasher, TextBlock, mix
 
@@ -42,7 +42,7 @@ RECALL = 0.9999
 ALIKE = 0.5
 BUCKET_MOST = 1000
 MAX_DEPTH = 3
-BLOCK = 1000
+BLOCK = 500
 SKETCH = 64
 PARTS = 4  # for each shuffle partition
 
@@ -141,22 +141,6 @@ def paths(sets: Sets, similarity: float, runs: int, levels: list[tuple[np.ndarra
 # ---------------------------------------------------------------- candidate trees
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """Rows of `slot` as 64-bit words of a filter; at most FILTER_BITS / 64 words reach the driver."""
-    bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
-    words = rows.groupBy(F.expr("cast(shiftright(slot, 6) AS int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, bits = (batch.column(c).to_numpy() for c in ("word", "bits"))
-            yield pa.record_batch({"word": pa.array([word.tobytes()], pa.binary()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in words.mapInArrow(packed, "word binary, bits binary").collect():
-        out[np.frombuffer(row["word"], np.int32)] = np.frombuffer(row["bits"], np.uint64)
-    return out
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], size: int):
     for batch in batches:
         for piece in common.pieces(iter([batch]), most_bytes=2 << 20):
@@ -176,8 +160,8 @@ def filters(rows: DataFrame, size: int, similarity: float, runs: int, bucket_mos
 
         sums = common.stored(rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"), "slots")
         large = sums.where(F.col("n") > bucket_most)
-        levels.append((_bitmap(sums), _bitmap(large)))
-        if not levels[-1][1].any():
+        levels.append((bitmap(sums), bitmap(large)))
+        if not len(levels[-1][1]):
             break
     return levels
 
