@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import register, series, spatial, summaries, text
+from .plans import config, register, series, spatial, summaries, text
 
 FLAGSHIP = "ranked_register"
-_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES | text.QUERIES
+_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES | text.QUERIES | config.QUERIES
 
 
 def queries() -> dict[str, Callable]:

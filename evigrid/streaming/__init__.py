@@ -1,0 +1 @@
+"""Streams: the summaries of sensor events for events that keep arriving."""
