@@ -128,8 +128,8 @@ def paths(sets: Sets, similarity: float, runs: int, levels: list[tuple[np.ndarra
             break
         split = passes(large, key)
         ended.append((key[~split], doc[~split]))
-        below = [(k, d, sets.shingles[sets.first[d] : sets.first[d + 1]]) for k, d in zip(key[split], doc[split].tolist())]
-        chosen = [(d, mix(mix(mine[mine * (mix(k) | np.uint64(1)) < limit[d]]) ^ k)) for k, d, mine in below]
+        below = [(k, odd, d, sets.shingles[sets.first[d] : sets.first[d + 1]]) for k, odd, d in zip(key[split], mix(key[split]) | np.uint64(1), doc[split].tolist())]
+        chosen = [(d, mix(mix(mine[mine * odd < limit[d]]) ^ k)) for k, odd, d, mine in below]
         key = np.concatenate([x for _, x in chosen]) if chosen else key[:0]
         doc = np.repeat(np.array([d for d, _ in chosen], np.int64), [len(x) for _, x in chosen])
     if not last:
@@ -377,17 +377,18 @@ def join(documents: DataFrame, size: int = SHINGLE, similarity: float = SIMILARI
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents with one row of each class, that with the smallest doc_id; rows without words all stay."""
     classes = common.stored(join(documents, **options), "classes")
-    first = classes.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count("*").alias("n"))
-    stay = first.select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_t")).unionByName(classes.where("root IS NULL").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
-    hashed = documents.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = hashed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_semi")
-    repeated = classes.where("root IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1")
+    first = classes.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    stay = first.select("k.doc_id", "k.text_hash").unionByName(classes.where("root IS NULL").select("doc_id", "text_hash").distinct())
+    stay = stay.select(F.col("doc_id").alias("__stay_id"), F.col("text_hash").alias("__stay_hash"))
+    hashed = documents.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = hashed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash")), "left_semi")
+    repeated = classes.where("root IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__stay_id"), F.col("text_hash").alias("__stay_hash"))
     if repeated.isEmpty():
-        return kept.drop("_h")
-    # Rows of one doc_id and text: the first of them stays.
-    words = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h")))
-    none = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) == 0
-    return words.where((F.col("_n") == 1) | none).drop("_h", "_n")
+        return kept.drop("__hash")
+    # Rows of one doc_id and text, both equal: the first of them stays.
+    numbered = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash")))
+    again = numbered.join(repeated, F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash")) & (F.col("__n") > 1), "left_anti")
+    return again.drop("__hash", "__n")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

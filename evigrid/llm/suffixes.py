@@ -60,7 +60,7 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 def front_coded(run: list[bytes]) -> tuple[list[int], list[bytes]]:
     """Of each string of a sorted run: the prefix shared with the one before, and the rest."""
-    shared = [0] + [common_prefix(a, b) for a, b in zip(run, run[1:])]
+    shared = [0][: len(run)] + [common_prefix(a, b) for a, b in zip(run, run[1:])]
     return shared, [x[n:] for x, n in zip(run, shared)]
 
 
