@@ -1,6 +1,6 @@
 """Spatial joins of tables of points, boxes, polygons and grid cells.
 
-Radius joins carry equi-keys: cells of a grid whose height is the radius and whose width grows with latitude, so that all
+Radius joins carry equi-keys: cells of a grid around the earth whose height is the radius and whose width grows with latitude, so that all
 partners of a point lie in its own or an adjacent cell. Catalyst then picks a hash or sort-merge join and AQE splits hot cells;
 no pair is compared that shares no cell. Tables have id, lat, lon.
 """
@@ -17,21 +17,27 @@ def _band(lat: Column, height: float) -> Column:
     return F.floor(lat / height).cast("long")
 
 
-def _width(band: Column, height: float) -> Column:
-    """Cell width in degrees: the band's height at its latitude farthest from the equator, one band further on."""
+def _columns(band: Column, height: float) -> Column:
+    """Number of cells around the earth in a band: none narrower than the radius at the latitude a band farther out."""
     far = F.greatest(F.abs(band - 1), F.abs(band + 2)) * height
-    return F.lit(height) / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.9)))), F.lit(1e-3))
+    width = F.lit(height) / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.99)))), F.lit(1e-3))
+    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("long")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * columns).cast("long"), columns)
 
 
 def radius_join(queries: DataFrame, features: DataFrame, radius_m: float, left: str = "query_id", right: str = "feature_id") -> DataFrame:
     """(left, right, distance_m) of all pairs within the radius, edges included. Rows without coordinates have no partner."""
     height = radius_m / 110_000.0
     f = features.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias(right), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), _band(F.col("lat"), height).alias("cy"))
-    f = f.withColumn("cx", F.floor(F.col("f_lon") / _width(F.col("cy"), height)).cast("long"))
+    f = f.withColumn("cx", _column(F.col("f_lon"), _columns(F.col("cy"), height)))
     q = queries.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias(left), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), _band(F.col("lat"), height).alias("qy"))
     q = q.withColumn("cy", F.explode(F.array(F.col("qy") - 1, F.col("qy"), F.col("qy") + 1)))
-    own = F.floor(F.col("q_lon") / _width(F.col("cy"), height)).cast("long")
-    q = q.withColumn("cx", F.explode(F.array(own - 1, own, own + 1)))
+    n = _columns(F.col("cy"), height)
+    own = _column(F.col("q_lon"), n)
+    q = q.withColumn("cx", F.explode(F.array_distinct(F.array(F.pmod(own - 1, n), own, F.pmod(own + 1, n)))))
     distance = geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("f_lat"), F.col("f_lon"))
     return q.join(f, ["cy", "cx"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select(left, right, "distance_m")
 
@@ -43,7 +49,7 @@ def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float, factor
     """
     found, left = None, queries
     for k in range(rounds):
-        pairs = radius_join(left, features, min(radius_m * factor**k, 2.1e7))
+        pairs = radius_join(left, features, radius_m * factor**k if k < rounds - 1 else 2.1e7)  # at last, half the earth
         best = pairs.groupBy("query_id").agg(F.min(F.struct("distance_m", "feature_id")).alias("b")).select("query_id", "b.feature_id", "b.distance_m")
         found = best if found is None else found.unionByName(best)
         left = left.join(best, left.id == best.query_id, "left_anti")
