@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import automata, chosenpath, decontamination, licenses, packing, pii, quality, suffixes, tokenfiles
+from . import automata, chat, chosenpath, decontamination, licenses, packing, pii, quality, suffixes, tokenfiles
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_chat_role_repair": chat.op1,
         "op2_positional_index_decontamination": decontamination.op2,
         "op3_token_files": tokenfiles.op3,
         "op4_dominance_best_fit_packing": packing.op4,
