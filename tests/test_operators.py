@@ -147,3 +147,29 @@ def test_streams(spark, small, tmp_path):
     peaks = {r.user_id: r.p for r in run(streams.running_peak(source()), "peaks", "append").groupBy("user_id").agg(F.max("peak").alias("p")).collect()}
     assert peaks == {r.user_id: r.p for r in events.groupBy("user_id").agg(F.max("value").alias("p")).collect()}
     assert run(streams.deduplicated(source(), "40 days"), "once", "append").count() == events.select("event_id").distinct().count()
+
+
+def test_raster_areas_and_outlines(spark):
+    import numpy as np
+
+    from evigrid.operators import raster
+
+    rnd = np.random.default_rng(0)
+    for _ in range(20):
+        wet = rnd.random((12, 9)) < 0.5
+        label, seen = raster.labelled(wet), {}
+        todo = {tuple(p) for p in np.argwhere(wet)}
+        while todo:
+            group, front = set(), [todo.pop()]
+            while front:
+                r, c = front.pop()
+                group.add((r, c))
+                near = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & todo
+                todo -= near
+                front += near
+            names = {label[p] for p in group}
+            assert len(names) == 1 and not names & set(seen)
+            seen[names.pop()] = group
+    line = [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (2.0, 1.0), (2.01, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    got = spark.createDataFrame([(line,)], "ring array<struct<x:double,y:double>>").select(raster.simplified(F.col("ring"), 0.1).alias("r")).first().r
+    assert [(p.x, p.y) for p in got] == [(0.0, 0.0), (2.0, 0.0), (2.01, 2.0), (0.0, 2.0), (0.0, 0.0)]
