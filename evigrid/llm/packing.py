@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, vocabulary_path
+from .tokens import PIECE_BYTES, encoder, vocabulary_path
 
 CAPACITY = 2048
 PIECES_SCHEMA = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, rank_in_part long"
@@ -193,7 +193,7 @@ def tokenized_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, most_bytes=PIECE_BYTES):
             ids, counts = encoder(path).encode(batch.column("text"))
             counts = counts + 1
             first = np.cumsum(counts) - counts

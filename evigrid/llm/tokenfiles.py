@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, vocabulary_path
+from .tokens import PIECE_BYTES, encoder, vocabulary_path
 
 DICTIONARY_DOCUMENTS = 1500
 DICTIONARY_BYTES = 64 << 10
@@ -62,7 +62,7 @@ def train_dictionary(documents: DataFrame, vocabulary: str, id_bytes: int) -> by
     sent = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, most_bytes=PIECE_BYTES):
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             at = np.searchsorted(sent.value, ids)
             hit = np.flatnonzero((at < len(sent.value)) & (sent.value[np.minimum(at, max(len(sent.value) - 1, 0))] == ids)) if len(sent.value) else []
@@ -184,7 +184,7 @@ def write(documents: DataFrame, vocabulary: str | None = None, end_id: int = END
         from pyspark import TaskContext
 
         part, file, writer = TaskContext.get().partitionId(), None, None
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, most_bytes=PIECE_BYTES):
             if writer is None:
                 name = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.tokz"
                 system, place = _open(name)
