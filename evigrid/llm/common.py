@@ -26,12 +26,17 @@ _powers: dict[int, np.ndarray] = {}
 # ---------------------------------------------------------------- storage
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset (local mode, tests) one for this session."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", there)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        there = _own_dirs[app]
     return there.rstrip("/")
 
 
@@ -179,12 +184,3 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, ends, -1)
     return np.cumsum(steps[:-1]) > 0
-
-
-def clean_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns, so that further or clashing names can't disturb an operator."""
-    return df.select(*[F.col(f"`{name}`") for name in names])
-
-
-def as_list(flags: np.ndarray) -> list:
-    return flags.tolist()
