@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import config, rasters, records, register, series, spatial, summaries, text
+from .plans import config, narratives, rasters, records, register, series, spatial, summaries, text
 
 FLAGSHIP = "ranked_register"
-_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES | text.QUERIES | config.QUERIES | records.QUERIES | rasters.QUERIES
+_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES | text.QUERIES | config.QUERIES | records.QUERIES | rasters.QUERIES | narratives.QUERIES
 
 
 def queries() -> dict[str, Callable]:
