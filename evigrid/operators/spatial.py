@@ -42,7 +42,7 @@ def radius_join(queries: DataFrame, features: DataFrame, radius_m: float, left:
     return q.join(f, ["cy", "cx"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select(left, right, "distance_m")
 
 
-def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float, factor: float = 8.0, rounds: int = 5) -> DataFrame:
+def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float, factor: float = 32.0, rounds: int = 3) -> DataFrame:
     """query_id, feature_id, distance_m of the nearest feature at any distance; the smaller id on ties.
 
     Radii grow by `factor`: a query with a feature within the radius is done, and only the others go on to the next one.
