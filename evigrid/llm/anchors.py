@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, mix
+from .common import SpanHasher, mix, stored
 
 FILTER_BITS = 1 << 27
 
@@ -33,6 +33,10 @@ class Anchors:
     def take(self, where: np.ndarray) -> "Anchors":
         return Anchors(self.key[where], self.at[where], self.low[where], self.high[where])
 
+    def joined(self, more: "Anchors") -> "Anchors":
+        pairs = zip((self.key, self.at, self.low, self.high), (more.key, more.at, more.low, more.high))
+        return Anchors(*[np.concatenate(p) for p in pairs])
+
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """min(values[i : i + width]) for each i, from running minima within blocks."""
@@ -94,16 +98,17 @@ def bitmap(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def repeated_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """A filter of the slots that two anchors or more fell into."""
+def repeated_filter(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], large: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filters of the slots that two anchors or more fell into, and of those that more than `large` fell into."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys in keys_of(batch):
                 slot, n = np.unique(slots(keys), return_counts=True)
-                yield pa.record_batch({"slot": pa.array(slot), "n": pa.array(np.minimum(n, 2).astype(np.int32))})
+                yield pa.record_batch({"slot": pa.array(slot), "n": pa.array(n.astype(np.int64))})
 
-    return bitmap(rows.mapInArrow(count, "slot long, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"))
+    sums = stored(rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"), "slots")
+    return bitmap(sums), bitmap(sums.where(F.col("n") > large))
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

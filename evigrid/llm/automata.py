@@ -6,6 +6,10 @@ streamed through the automata of the passages before them; a matched length of W
 with unseen windows then joins the automaton; beyond SHARD_WORDS words a new automaton is begun, and passages stream
 through all of them. A passage that equals an earlier one word for word needs no automaton.
 
+Hot groups are taken apart before the exchange. Equal passages of one task are folded: all but the first of them are seen, and
+only that one is sent. The windows of an anchor with more than LARGE places are sent one by one, by their own hashes: those
+within a passage that very many documents share fold like others, and those at its ends, all different, go to different parts.
+
 Automata are not broadcast to all documents: that would stream each document through automata of the whole corpus. Each one
 meets the passages that share its anchor. Words are compared by 32-bit codes next to the 64-bit hash of the anchor.
 
@@ -24,15 +28,18 @@ from pyspark.sql import functions as F
 
 from . import common
 from .anchors import anchors, identified, passes, repeated_filter, with_spans
-from .common import SPACED, TextBlock
+from .common import SPACED, SpanHasher, TextBlock
 
 WINDOW = 20
 GRAM = 5
 SHARD_WORDS = 100_000
 PARTS = 4  # for each shuffle partition
+#: Places of an anchor from which on its windows are dealt singly; passages that a task holds back to fold.
+LARGE = 10_000
+HELD = 50_000
 
 PASSAGES = {"key": pa.uint64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "low": pa.int64(), "n": pa.int32()}
-PASSAGES_SCHEMA = "part int, key binary, doc_id binary, text_hash binary, low binary, n binary, words binary"
+PASSAGES_SCHEMA = "part int, key binary, doc_id binary, text_hash binary, low binary, n binary, words binary, done binary"
 SPANS_SCHEMA = "doc_id long, text_hash long, s long, e long"
 _NULL = np.iinfo(np.int64).min
 
@@ -126,30 +133,88 @@ def _blocks(batch: pa.RecordBatch, size: int, gram: int):
         yield piece, words, h, anchors(h, words.first, size, gram)
 
 
-def passages(rows: DataFrame, size: int, gram: int) -> DataFrame:
+class _Folder:
+    """Passages of a task: the first of equal ones is kept, the others are done. Those that recur are held back to the end."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+        self.held: dict[int, tuple] = {}
+
+    def add(self, content: np.ndarray, columns: dict[str, np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((columns["low"], columns["text_hash"], columns["doc_id"], content))
+        c = content[order]
+        first = np.ones(len(order), bool)
+        first[1:] = c[1:] != c[:-1]
+        leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        place = [columns[k] for k in ("doc_id", "text_hash", "low")]
+        again = order[~first & np.logical_or.reduce([v[order] != v[leader] for v in place])]  # not the same place once more
+        done = [np.stack([columns[k][again] for k in ("doc_id", "text_hash", "low")] + [columns["low"][again] + columns["n"][again]], 1)]
+        lone = np.concatenate((first[1:], [True])) & first
+        sent = []
+        for i, alone in zip(order[first].tolist(), lone[first].tolist()):
+            known = self.held.get(int(content[i]))
+            if alone and known is None:
+                sent.append(i)
+                continue
+            mine = (int(columns["doc_id"][i]), int(columns["text_hash"][i]), int(columns["low"][i]), int(columns["key"][i]), int(columns["n"][i]), words[i])
+            if known is None or mine[:3] < known[:3]:
+                self.held[int(content[i])] = mine
+                mine = known
+            if mine is not None and mine[:3] != self.held[int(content[i])][:3]:
+                done.append(np.array([[*mine[:3], mine[2] + mine[4]]], np.int64))
+        at = np.array(sent, np.int64)
+        yield from self._rows({k: v[at] for k, v in columns.items()}, [words[i] for i in sent], np.concatenate(done))
+        if len(self.held) > HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        held, self.held = list(self.held.values()), {}
+        ids, texts, low, key, n, words = zip(*held) if held else ((),) * 6
+        columns = {"key": np.array(key, np.uint64), "doc_id": np.array(ids, np.int64), "text_hash": np.array(texts, np.int64), "low": np.array(low, np.int64), "n": np.array(n, np.int32)}
+        yield from self._rows(columns, list(words), np.zeros((0, 4), np.int64))
+
+    def _rows(self, columns: dict[str, np.ndarray], words: list[bytes], done: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[bytes]] = {}
+        part = (columns["key"] % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True]))) if len(part) else np.zeros(1, int)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            mine = order[a:b]
+            rows[int(part[mine[0]])] = [*[columns[k][mine].tobytes() for k in PASSAGES], b"".join(words[i] for i in mine.tolist()), b""]
+        where = common.mix(done[:, 1].astype(np.uint64)) % np.uint64(self.parts)
+        for p in np.unique(where).tolist():
+            rows.setdefault(p, [b""] * (len(PASSAGES) + 2))[-1] = done[where == p].tobytes()
+        if rows:
+            yield pa.record_batch([pa.array(list(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*rows.values())]], names=["part", *PASSAGES, "words", "done"])
+
+
+def passages(rows: DataFrame, size: int, gram: int, large: int = LARGE) -> DataFrame:
     """Passages around the anchors that the filter lets pass: the words of the windows of each, packed by part."""
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_filter(rows, lambda batch: (a.key for *_, a in _blocks(batch, size, gram))))
+    filters = spark.sparkContext.broadcast(repeated_filter(rows, lambda batch: (a.key for *_, a in _blocks(batch, size, gram)), large))
     parts = PARTS * common.partitions(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = _Folder(parts)
         for batch in batches:
             for piece, words, h, found in _blocks(batch, size, gram):
-                found = found.take(passes(bits.value, found.key))
-                part = (found.key % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                found, part = found.take(order), part[order]
-                doc = words.doc[found.at] if len(found.at) else found.at
-                ids = piece.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[doc]
-                texts = piece.column("text_hash").to_numpy(zero_copy_only=False)[doc]
-                n = (found.high - found.low + size).astype(np.int32)
-                codes = (h >> np.uint64(32)).astype("<u4")[common.ragged(found.low, n)]
-                columns = {"key": found.key, "doc_id": ids, "text_hash": texts, "low": found.low - words.first[doc], "n": n}
-                cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, int)
-                ends = np.concatenate(([0], np.cumsum(n)))
-                rows_ = [(int(part[a]), *[v[a:b].tobytes() for v in columns.values()], codes[ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-                if rows_:
-                    yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows_))], names=["part", *columns, "words"])
+                found = found.take(passes(filters.value[0], found.key))
+                hot = passes(filters.value[1], found.key)
+                single = common.ragged(found.low[hot], found.high[hot] - found.low[hot] + 1)
+                hasher = SpanHasher(h)
+                begin = np.concatenate((found.low[~hot], single))
+                n = np.concatenate((found.high[~hot] - found.low[~hot] + size, np.full(len(single), size)))
+                whole = hasher(begin, begin + n)
+                key = np.concatenate((found.key[~hot], whole[len(begin) - len(single) :]))
+                doc = words.doc[begin] if len(begin) else begin
+                columns = {
+                    "key": key, "doc_id": piece.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[doc], "text_hash": piece.column("text_hash").to_numpy(zero_copy_only=False)[doc],
+                    "low": begin - words.first[doc], "n": n.astype(np.int32),
+                }
+                codes = (h >> np.uint64(32)).astype("<u4")
+                texts = [codes[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n).tolist())]
+                yield from folder.add(common.mix(whole + key), columns, texts)
+        yield from folder.flush()
 
     return rows.mapInArrow(cut, PASSAGES_SCHEMA)
 
@@ -180,6 +245,7 @@ def _judged(rows: list[dict], size: int) -> pa.RecordBatch:
     order = order[~again]
     key = whole["key"][order]
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    done = np.frombuffer(b"".join(r["done"] for r in rows), np.int64).reshape(-1, 4).T
     out: list[tuple[int, int, int]] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if b - a < 2:
@@ -198,13 +264,13 @@ def _judged(rows: list[dict], size: int) -> pa.RecordBatch:
             if end is not None:
                 out.append((i, begin, end))
     i, s, e = np.array(out, np.int64).reshape(-1, 3).T
-    low, ids = whole["low"][i], whole["doc_id"][i]
-    return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(whole["text_hash"][i]), "s": pa.array(low + s), "e": pa.array(low + e)})
+    ids, texts, starts, ends = (np.concatenate(x) for x in zip((whole["doc_id"][i], whole["text_hash"][i], whole["low"][i] + s, whole["low"][i] + e), done))
+    return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(texts), "s": pa.array(starts), "e": pa.array(ends)})
 
 
-def repeated_spans(rows: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(rows: DataFrame, size: int = WINDOW, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """Word spans (s, e) of ``identified`` documents that start earlier elsewhere; they may overlap."""
-    found = passages(rows, size, gram).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
+    found = passages(rows, size, gram, large).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_part(batches):
@@ -216,7 +282,7 @@ def repeated_spans(rows: DataFrame, size: int = WINDOW, gram: int = GRAM) -> Dat
 KEPT_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def dedup(documents: DataFrame, size: int = WINDOW) -> DataFrame:
+def dedup(documents: DataFrame, size: int = WINDOW, large: int = LARGE) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by a space) of each document row."""
     rows = identified(documents)
 
@@ -236,7 +302,7 @@ def dedup(documents: DataFrame, size: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(out).decode())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_spans(rows, repeated_spans(rows, size)).mapInArrow(remove, KEPT_SCHEMA)
+    return with_spans(rows, repeated_spans(rows, size, large=large)).mapInArrow(remove, KEPT_SCHEMA)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

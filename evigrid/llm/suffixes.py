@@ -9,6 +9,10 @@ last winner, which decides most comparisons; others begin after the known prefix
 (the part of the suffix array at the anchors) give, for each offset, the suffixes equal on the right; those also equal
 on the left stand for repeated strings.
 
+Hot groups are taken apart before the exchange. Of the equal surroundings that a task meets it sends two at most, and all later
+ones are decided on the spot. Strings around an anchor with more than LARGE places are dealt singly, by their own hashes, and
+only those that a second filter knows to repeat: what stands around a passage that very many documents share stays at home.
+
 Edge cases: a null or empty text loses nothing; a repeated row is another place where its strings start; other columns are
 ignored.
 """
@@ -23,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .anchors import anchors, identified, passes, repeated_filter, with_spans
+from .anchors import Anchors, anchors, identified, passes, repeated_filter, with_spans
 from .automata import _NULL, by_part
-from .common import TextBlock, powers
+from .common import SpanHasher, TextBlock, powers
 
 LENGTH = 400
 GRAM = 48
 PARTS = 4  # for each shuffle partition
 BLOCK_BYTES = 1 << 20
+#: Places of an anchor from which on its strings are dealt singly; surroundings that a task remembers.
+LARGE = 10_000
+REMEMBERED = 200_000
 
-RUNS_SCHEMA = "part int, shared binary, rights binary, right_bytes binary, lefts binary, left_bytes binary, members binary, doc_id binary, text_hash binary, at binary"
+RUNS_SCHEMA = "part int, shared binary, rights binary, right_bytes binary, lefts binary, left_bytes binary, doc_id binary, text_hash binary, at binary, done binary"
 SPANS_SCHEMA = "doc_id long, text_hash long, s long, e long"
 
 
@@ -136,40 +143,76 @@ def _blocks(batch: pa.RecordBatch, length: int, gram: int):
         yield piece, block, anchors(block.bytes, block.offsets, length, gram)
 
 
-def _runs(piece: pa.RecordBatch, block: TextBlock, found, length: int, parts: int) -> Iterator[tuple]:
-    """A row for each part: its front-coded run, with the members of each folded suffix."""
+def _runs(piece: pa.RecordBatch, block: TextBlock, found: Anchors, length: int, parts: int, told: dict[int, int]) -> Iterator[list]:
+    """A row for each part: its front-coded run, and what is decided already.
+
+    told: how many suffixes with some surroundings the task has sent, two at most.
+    """
     doc = np.searchsorted(block.offsets, found.at, "right") - 1
-    ids = piece.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[doc]
-    texts = piece.column("text_hash").to_numpy(zero_copy_only=False)[doc]
-    place = found.at - block.offsets[doc]
+    ids = piece.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[doc].tolist()
+    texts = piece.column("text_hash").to_numpy(zero_copy_only=False)[doc].tolist()
+    place = (found.at - block.offsets[doc]).tolist()
     raw = block.bytes.tobytes()
     # right: from the anchor to the end of the last window; left: from the start of the first window to the anchor.
-    by_part: dict[int, dict[tuple[bytes, bytes, int], list]] = {}
-    for i, (part, at, low, high) in enumerate(zip((found.key % np.uint64(parts)).tolist(), found.at.tolist(), found.low.tolist(), found.high.tolist())):
-        context = (raw[at : high + length], raw[low:at], at - high)
-        by_part.setdefault(part, {}).setdefault(context, []).append((ids[i], texts[i], place[i]))
-    for part, contexts in by_part.items():
-        order = sorted(contexts)
-        shared, rests = front_coded([c[0] for c in order])
-        members = [contexts[c] for c in order]
-        who = np.array([m for x in members for m in x], np.int64).reshape(-1, 3)
-        yield (
-            part, np.array(shared, "<u2").tobytes(), np.array([len(x) for x in rests], "<u2").tobytes(), b"".join(rests),
-            np.array([(len(c[1]), c[2]) for c in order], "<u2").tobytes(), b"".join(c[1] for c in order),
-            np.array([len(x) for x in members], "<u4").tobytes(), who[:, 0].tobytes(), who[:, 1].tobytes(), who[:, 2].tobytes(),
-        )
-
-
-def runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    met: dict[tuple[bytes, bytes, int], list[int]] = {}
+    for i, (at, low, high) in enumerate(zip(found.at.tolist(), found.low.tolist(), found.high.tolist())):
+        met.setdefault((raw[at : high + length], raw[low:at], at - high), []).append(i)
+    part = (found.key % np.uint64(parts)).astype(np.int64).tolist()
+    sent: dict[int, list[tuple]] = {}
+    done: list[tuple[int, int, int, int]] = []
+    for context, members in met.items():
+        known = told.get(name := hash(context), 0)
+        if len(members) > 1 or known > 1:
+            done += [(ids[i], texts[i], place[i] - len(context[1]), place[i] - context[2] + length) for i in members]
+        if known < 2:
+            sent.setdefault(part[members[0]], []).append((context, members[0]))
+            told[name] = 2 if len(members) > 1 else known + 1
+    if len(told) > REMEMBERED:
+        told.clear()
+    rows: dict[int, list] = {}
+    for p, entries in sent.items():
+        entries.sort()
+        shared, rests = front_coded([c[0] for c, _ in entries])
+        who = [i for _, i in entries]
+        rows[p] = [
+            np.array(shared, "<u2").tobytes(), np.array([len(x) for x in rests], "<u2").tobytes(), b"".join(rests), np.array([(len(c[1]), c[2]) for c, _ in entries], "<u2").tobytes(), b"".join(c[1] for c, _ in entries),
+            *[np.array([v[i] for i in who], np.int64).tobytes() for v in (ids, texts, place)], b"",
+        ]
+    decided = np.array(done, np.int64).reshape(-1, 4)
+    where = common.mix(decided[:, 1].astype(np.uint64)) % np.uint64(parts)
+    for p in np.unique(where).tolist():
+        rows.setdefault(p, [b""] * 9)[-1] = decided[where == p].tobytes()
+    return ([p, *row] for p, row in rows.items())
+
+
+def _single(block: TextBlock, found: Anchors, length: int) -> Anchors:
+    """Each window of some anchors as its own anchor, named by its hash."""
+    start = common.ragged(found.low, found.high - found.low + 1)
+    return Anchors(SpanHasher(block.bytes)(start, start + length), start, start, start)
+
+
+def runs(rows: DataFrame, length: int, gram: int, large: int) -> DataFrame:
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_filter(rows, lambda batch: (a.key for *_, a in _blocks(batch, length, gram))))
+    repeated, hot = repeated_filter(rows, lambda batch: (a.key for *_, a in _blocks(batch, length, gram)), large)
+    first = spark.sparkContext.broadcast((repeated, hot))
+
+    def hot_strings(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, block, found in _blocks(batch, length, gram):
+            yield _single(block, found.take(passes(first.value[1], found.key)), length).key
+
+    second = spark.sparkContext.broadcast(repeated_filter(rows, hot_strings, large)[0] if len(hot) else np.zeros(0, np.int64))
     parts = PARTS * common.partitions(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RUNS_SCHEMA.split(", ")]
+        told: dict[int, int] = {}
         for batch in batches:
             for piece, block, found in _blocks(batch, length, gram):
-                made = list(_runs(piece, block, found.take(passes(bits.value, found.key)), length, parts))
+                found = found.take(passes(first.value[0], found.key))
+                is_hot = passes(first.value[1], found.key)
+                single = _single(block, found.take(is_hot), length)
+                found = found.take(~is_hot).joined(single.take(passes(second.value, single.key)))
+                made = list(_runs(piece, block, found, length, parts, told))
                 if made:
                     yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*made))], names=names)
 
@@ -184,10 +227,10 @@ def _split(data: bytes, lengths: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted suffixes: the largest and smallest offset of an anchor in a repeated string (-1 and `length` if none).
 
-    prefix: common prefix with the suffix before; nearest: the smallest offset that the suffix serves; weight: its members.
+    prefix: common prefix with the suffix before; nearest: the smallest offset that the suffix serves.
     The offsets of repeated strings need not be all between the two, but the strings cover all that lies between.
     """
     m = len(lefts)
@@ -213,7 +256,7 @@ def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight:
         key = common.mix(common.mix(h[here]) + group)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        twice = weight[here] > 1
+        twice = np.zeros(len(here), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         rows = here[twice]
         most[rows] = offset
@@ -226,28 +269,24 @@ def _judged(rows: list[dict], length: int) -> pa.RecordBatch:
     decoded = [Run(s.tolist(), _split(r["right_bytes"], n)) for r, s, n in zip(rows, u2("shared"), u2("rights"))]
     lefts_of = [_split(r["left_bytes"], x.reshape(-1, 2)[:, 0]) for r, x in zip(rows, u2("lefts"))]
     nearest_of = [x.reshape(-1, 2)[:, 1] for x in u2("lefts")]
-    members_of = [np.frombuffer(r["members"], "<u4").astype(np.int64) for r in rows]
-    base = np.cumsum([0] + [len(x) for x in members_of])
+    base = np.cumsum([0] + [len(x) for x in nearest_of])
     order, prefix = [], []
     for run, i, _, shared in merged(decoded):
         order.append(base[run] + i)
         prefix.append(shared)
     order, prefix = np.array(order, np.int64), np.array(prefix, np.int64)
     lefts = [x for part in lefts_of for x in part]
-    nearest, weight = np.concatenate(nearest_of)[order], np.concatenate(members_of)
-    most, least = repeats(prefix, [lefts[i] for i in order], nearest, weight[order], length)
+    most, least = repeats(prefix, [lefts[i] for i in order], np.concatenate(nearest_of)[order], length)
     hit = most >= 0
-    entry = order[hit]
-    first = np.cumsum(weight) - weight
-    who = common.ragged(first[entry], weight[entry])
-    ids, texts, at = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows])[who] for c in ("doc_id", "text_hash", "at"))
-    far, near = np.repeat(most[hit], weight[entry]), np.repeat(least[hit], weight[entry])
-    return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(texts), "s": pa.array(at - far), "e": pa.array(at - near + length)})
+    ids, texts, at = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows])[order[hit]] for c in ("doc_id", "text_hash", "at"))
+    done = np.frombuffer(b"".join(r["done"] for r in rows), np.int64).reshape(-1, 4).T
+    ids, texts, starts, ends = (np.concatenate(x) for x in zip((ids, texts, at - most[hit], at - least[hit] + length), done))
+    return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(texts), "s": pa.array(starts), "e": pa.array(ends)})
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """Byte spans (s, e) of ``identified`` documents that strings found elsewhere cover; they may overlap."""
-    found = runs(rows, length, gram).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
+    found = runs(rows, length, gram, large).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_part(batches):
@@ -259,7 +298,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(documents: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each document row."""
     rows = identified(documents)
 
@@ -283,7 +322,7 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(v, kind) for v, kind in zip(columns.values(), kinds)]], names=["doc_id", *columns])
 
-    return with_spans(rows, repeated_spans(rows, length)).mapInArrow(remove, KEPT_SCHEMA)
+    return with_spans(rows, repeated_spans(rows, length, large=large)).mapInArrow(remove, KEPT_SCHEMA)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
