@@ -173,8 +173,13 @@ def written(spans: list[Span]) -> str:
 
 # ---------------------------------------------------------------- Spark side
 
-_MARKED, _BRACKETS = np.zeros(256, bool), np.zeros(256, bool)
-_MARKED[list(b"@+0123456789")] = _BRACKETS[list(b"[({<")] = True
+_MARKED, _DIGITS, _BRACKETS, _INNER = np.zeros((4, 256), bool)
+_MARKED[list(b"@+0123456789")] = _DIGITS[list(b"0123456789")] = _BRACKETS[list(b"[({<")] = _INNER[list(b"aAdD@.")] = True
+# Latin letters and signs of two bytes that a transducer reads as others or as the end of a word: dotted and
+# dotless i, long s, and the signs of multiplication and division.
+_PAIRS = (b"\xc4\xb0", b"\xc4\xb1", b"\xc5\xbf", b"\xc3\x97", b"\xc3\xb7")
+# Word hashes lower-case A-Z only.
+_DIGIT_NAMES = sorted({v for w in _SPELLED for v in (w, "".join(c if c.isascii() else c.upper() for c in w))})
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -182,17 +187,20 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 
 
 def _suspects(block: TextBlock) -> np.ndarray:
-    """Texts that a transducer could change so that a detector finds more: they have characters beyond Latin letters, a
-    spelled dot, a bracketed "at", "@" or ".", or four digit words."""
+    """All texts that a transducer could change: they have characters beyond Latin letters, a spelled dot, an opening
+    bracket before "at", "dot", "@" or ".", a digit word, or "plus" and a digit."""
     words = block.words(ALNUM)
     h = words.hashes(lower=True)
-    # A digit word with its first letter in upper case beyond A-Z does not occur: all begin with A-Z.
-    count = lambda names: np.bincount(words.doc[np.isin(h, _word_hashes(names))], minlength=block.n)
-    soft = np.zeros(len(block.bytes), bool)
-    soft[1:] = (block.bytes[1:] == 0xAD) & (block.bytes[:-1] == 0xC2)
-    odd = block.per_doc((block.bytes >= 0xC6) | soft) > 0
-    bracketed = (block.per_doc(_BRACKETS[block.bytes]) > 0) & ((count(["at"]) > 0) | (block.per_doc(block.bytes == ord("@")) > 0) | (block.per_doc(block.bytes == ord(".")) > 3))
-    return odd | bracketed | (count(["dot", "point", "punkt", "punto"]) > 0) | (count(list(_SPELLED)) > 3)
+    has = lambda names: np.bincount(words.doc[np.isin(h, _word_hashes(names))], minlength=block.n) > 0
+    odd = (block.bytes >= 0xC6) | (block.bytes == 0xC2)
+    for first, second in _PAIRS:
+        odd[1:] |= (block.bytes[1:] == second) & (block.bytes[:-1] == first)
+    opens, inner = _BRACKETS[block.bytes], _INNER[block.bytes]
+    bracketed = np.zeros(len(block.bytes), bool)
+    bracketed[:-1] = opens[:-1] & inner[1:]
+    bracketed[:-2] |= opens[:-2] & (block.bytes[1:-1] == ord(" ")) & inner[2:]
+    plus = has(["plus"]) & (block.per_doc(_DIGITS[block.bytes]) > 0)
+    return (block.per_doc(odd | bracketed) > 0) | plus | has(["dot", "point", "punkt", "punto", *_DIGIT_NAMES])
 
 
 def _found(column: pa.Array) -> Iterator[tuple[str, list[Span], list[Span]]]:

@@ -186,6 +186,28 @@ def test_pii_disguises():
         assert not pii.hidden(clean, pii.detect(clean))
 
 
+def test_pii_disguises_reach_the_transducers(spark):
+    cases = {
+        "write jane [at] host [dot] org now": "jane [at] host [dot] org", "john dot doe at mail dot example dot com!": "john dot doe at mail dot example dot com", "ｊohn@exаmple.com": "ｊohn@exаmple.com",
+        "card four one one one 1111 one one one one 1111.": "four one one one 1111 one one one one 1111", "call plus four nine 30 1234567 ok": "plus four nine 30 1234567", "host 10 dot 0 dot 0 dot 1": "10 dot 0 dot 0 dot 1",
+        "a​b@c.d": "a​b@c.d", "plus 49 151 23456789": "plus 49 151 23456789", "+1 555 one two three 4567": "+1 555 one two three 4567", "host 10[.]0[.]0[.]1 is down": "10[.]0[.]0[.]1", "ring «plus 49 30 1234567»": "plus 49 30 1234567",
+        "+49 30 123456 FÜNF": "+49 30 123456 FÜNF", "see 10( . )0.0.1": "10( . )0.0.1", "jane<@>host.org": "jane<@>host.org", "×PLUS 4 930 123456": "PLUS 4 930 123456",
+    }
+    table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got, masked = ({r.doc_id: r for r in df.collect()} for df in (pii.spans(table), pii.redact(table)))
+    for i, (text, span) in enumerate(cases.items()):
+        at = [x.split(":") for x in got[i].spans.split(",") if x]
+        assert any(text[int(s) : int(e)] == span for _, s, e in at), (text, got[i].spans)
+        assert span not in masked[i].text and "[" + next(k for k, s, e in at if text[int(s) : int(e)] == span).upper() + "]" in masked[i].text
+
+
+def test_pii_gate_is_a_superset(spark, texts):
+    more = [f"{a}{w}{b}" for w in (*pii._SPELLED, *map(str.upper, pii._SPELLED), "ſix", "pluſ 4", "plus one", "[at]", "{ DOT )", "< @>", "(.]") for a in ("", " x", "«", "\u00a0", "-", "_", "÷") for b in ("", " y", "»", "·", ".", "9")]
+    for text in [t or "" for _, t in texts] + more:
+        if pii.normalise(text).text != text:
+            assert pii._suspects(pii.TextBlock(pii.pa.array([text])))[0], text
+
+
 def test_pii_redaction(spark, docs, texts):
     out = pii.redact(docs)
     assert out.schema == docs.schema and out.count() == len(texts)
