@@ -149,29 +149,48 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+#: Vectors of a block that is asked, and of one that is searched.
+ASKED, SEARCHED = 256, 1024
+
+
+def _blocks(vectors, size: int, prefix: str):
+    """The vectors, normalised, in rows of `size` at most: ids, labels and one binary of doubles, by id within a row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, size) for i in range(0, len(whole), size)):
+                ids, labels = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("vec_id", "label"))
+                order = np.argsort(ids, kind="stable")
+                data = _normalised(np.array(batch.column("embedding").to_pylist(), np.float64))[order]
+                yield pa.record_batch([pa.array([ids[order]], pa.list_(pa.int64())), pa.array([labels[order]], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())], names=["ids", "labels", "data"])
+
+    rows = vectors.select("vec_id", "label", "embedding").where("embedding IS NOT NULL").mapInArrow(pack, "ids array<long>, labels array<long>, data binary")
+    return rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns])
+
+
 def similar(spark, sf, every: int, keep: int):
     """(query, vec_id, label, score): of each query vector (one in `every`) the `keep` most similar vectors by cosine.
 
-    The queries are a stated set, sent to all batches; a batch passes on the best `keep` of each query.
+    Every block of query vectors meets every block of vectors in tasks, which pass on the best `keep` of each query; these
+    are merged by query. Nothing is sent through the driver.
     """
     vectors = load(spark, sf, "embeddings")
-    asked = vectors.where(F.col("vec_id") % every == 0).orderBy("vec_id").toPandas()
-    names, matrix = asked.vec_id.to_numpy(), _normalised(np.stack(asked.embedding).astype(np.float64))
-    sent = spark.sparkContext.broadcast((names, matrix))
+    asked = _blocks(vectors.where(F.col("vec_id") % every == 0), ASKED, "q").hint("shuffle_replicate_nl")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = sent.value
         for batch in batches:
-            rows = _normalised(np.array(batch.column("embedding").to_pylist(), np.float64))
-            ids, labels = (batch.column(c).to_numpy() for c in ("vec_id", "label"))
-            cosine = matrix @ rows.T
-            cosine[names[:, None] == ids[None, :]] = -2
-            best = np.argsort(-cosine, axis=1, kind="stable")[:, : keep + 1]
-            query = np.repeat(np.arange(len(names)), best.shape[1])
-            at = best.ravel()
-            yield pa.record_batch({"query": pa.array(names[query]), "vec_id": pa.array(ids[at]), "label": pa.array(labels[at].astype(np.int64)), "score": pa.array(cosine[query, at])})
-
-    found = vectors.select("vec_id", "label", "embedding").mapInArrow(score, "query long, vec_id long, label long, score double").where("score > -2").withColumn("score", F.round("score", 9))
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                names, ids, labels = (np.array(row[c], np.int64) for c in ("q_ids", "v_ids", "v_labels"))
+                matrix, rows = (np.frombuffer(row[c]).reshape(len(n), -1) for c, n in (("q_data", names), ("v_data", ids)))
+                cosine = np.round(matrix @ rows.T, 9)
+                cosine[names[:, None] == ids[None, :]] = -2
+                best = np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
+                query = np.repeat(np.arange(len(names)), best.shape[1])
+                at = best.ravel()
+                yield pa.record_batch({"query": pa.array(names[query]), "vec_id": pa.array(ids[at]), "label": pa.array(labels[at]), "score": pa.array(cosine[query, at])})
+
+    met = _blocks(vectors, SEARCHED, "v").crossJoin(asked)
+    found = met.mapInArrow(score, "query long, vec_id long, label long, score double").where("score > -2").withColumn("score", F.round("score", 9))
     return spatial.top_n(found, ["query"], [F.desc("score"), F.col("vec_id")], keep, "place")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import geo, scoring, text
 from evigrid.operators import aggregates, spatial
+from evigrid.plans import text as text_plans
 from evigrid.sources import manifests, readers, sinks
 from evigrid.streaming import events as streams
 
@@ -173,3 +174,23 @@ def test_raster_areas_and_outlines(spark):
     line = [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (2.0, 1.0), (2.01, 2.0), (0.0, 2.0), (0.0, 0.0)]
     got = spark.createDataFrame([(line,)], "ring array<struct<x:double,y:double>>").select(raster.simplified(F.col("ring"), 0.1).alias("r")).first().r
     assert [(p.x, p.y) for p in got] == [(0.0, 0.0), (2.0, 0.0), (2.01, 2.0), (0.0, 2.0), (0.0, 0.0)]
+
+
+def test_similar_vectors_in_blocks(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    some = rnd.normal(size=(90, 8)).astype(np.float32)
+    some[30:40] = some[20]  # ties go to the smaller id
+    rows = [(i, some[i].tolist(), int(i % 7)) for i in range(90)] + [(1000, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = some.astype(float) / np.linalg.norm(some.astype(float), axis=1, keepdims=True)
+    cosine = (unit @ unit.T).round(9)
+    want = {(q, *min_) for q in range(0, 90, 5) for min_ in [(v, p) for p, v in enumerate(sorted((v for v in range(90) if v != q), key=lambda v: (-cosine[q, v], v))[:6], 1)]}
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("query vectors went through the driver"))
+    for asked, searched in ((256, 1024), (4, 7)):
+        monkeypatch.setattr(text_plans, "ASKED", asked)
+        monkeypatch.setattr(text_plans, "SEARCHED", searched)
+        found = text_plans.similar(spark, str(tmp_path), 5, 6)
+        assert "CartesianProduct" in found._jdf.queryExecution().toString()
+        assert {(r.query, r.vec_id, r.place) for r in found.collect()} == want
