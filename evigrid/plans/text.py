@@ -43,8 +43,8 @@ _CUT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s
 
 
 def sentence_split(spark, sf):
-    """The sentences of the English documents of one source, counted, with the longest."""
-    docs = load(spark, sf, "documents").where("lang = 'en'").select("doc_id", t.sentences(F.col("text")).alias("s"))
+    """The sentences of each document, whatever its language, counted, with the longest."""
+    docs = load(spark, sf, "documents").select("doc_id", t.sentences(F.col("text")).alias("s"))
     return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
@@ -141,8 +141,7 @@ SELECT doc_id, count(*) AS n, min(id) AS first_id, coalesce(any_value(title), do
 
 def chunk_documents(spark, sf):
     """Chunks of each document: whole sentences up to 700 characters."""
-    docs = load(spark, sf, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("chunk", "text"))
+    return load(spark, sf, "documents").select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("chunk", "text"))
 
 
 def _normalised(x: np.ndarray) -> np.ndarray:

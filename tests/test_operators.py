@@ -194,3 +194,20 @@ def test_similar_vectors_in_blocks(spark, tmp_path, monkeypatch):
         found = text_plans.similar(spark, str(tmp_path), 5, 6)
         assert "CartesianProduct" in found._jdf.queryExecution().toString()
         assert {(r.query, r.vec_id, r.place) for r in found.collect()} == want
+
+
+def test_sentences_and_chunks_of_every_document(spark, tiny, tmp_path):
+    import re
+
+    given = spark.read.parquet(f"{tiny}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(r.doc_id, r.text, r.lang) for r in given.collect()]
+    assert {lang for _, _, lang in docs} > {"en", None}
+    cut = lambda t: [s for s in (x.strip(" ") for x in re.sub(r"([.!?])\s+", "\\1\x1e", t, flags=re.ASCII).split("\x1e")) if s]
+    want = sorted((i, len(cut(t)), max(map(len, cut(t)), default=None)) for i, t, _ in docs if t is not None)
+    got = [tuple(r) for r in text_plans.sentence_split(spark, str(tmp_path)).collect()]
+    assert len(got) == len(docs) and sorted(r for r in got if r[1] is not None) == want
+    chunked = {}
+    for r in text_plans.chunk_documents(spark, str(tmp_path)).collect():
+        chunked.setdefault(r.doc_id, []).append((r.chunk, r.text))
+    assert {i: " ".join(t for _, t in sorted(c)) for i, c in chunked.items()} == {i: " ".join(cut(t)) for i, t, _ in docs if t and cut(t)}
