@@ -208,11 +208,12 @@ PAIRS = "SELECT CAST(n_nationkey AS BIGINT) AS i, replace(['flood at {}', 'is {}
 
 def alert_narrative(spark, sf):
     """A line on the alerts of each user's last day: none, the one, or the first three of n."""
-    e = load(spark, sf, "events")
-    kinds = e.where("event_type <> 'view' AND day(ts) = 20").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("a"))
+    e = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    users = e.groupBy("user_id").agg(F.max("day").alias("day"))
+    kinds = e.where("event_type <> 'view'").join(users, ["user_id", "day"]).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("a"))
     names = F.transform("a", lambda x: x.event_type)
     line = F.when(F.col("a").isNull(), "no alert").when(F.size("a") == 1, F.concat(F.lit("alert: "), F.get(names, F.lit(0)))).otherwise(F.concat(F.size("a").cast("string"), F.lit(" alerts: "), F.array_join(F.slice(names, 1, 3), ", "), F.when(F.size("a") > 3, ", ...").otherwise("")))
-    return e.select("user_id").distinct().join(kinds, "user_id", "left").select("user_id", line.alias("line"))
+    return users.join(kinds, "user_id", "left").select("user_id", line.alias("line"))
 
 
 ALERTS = """

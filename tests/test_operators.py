@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions import geo, scoring, text
 from evigrid.operators import aggregates, spatial
+from evigrid.plans import records
 from evigrid.plans import text as text_plans
 from evigrid.sources import manifests, readers, sinks
 from evigrid.streaming import events as streams
@@ -211,3 +212,11 @@ def test_sentences_and_chunks_of_every_document(spark, tiny, tmp_path):
     for r in text_plans.chunk_documents(spark, str(tmp_path)).collect():
         chunked.setdefault(r.doc_id, []).append((r.chunk, r.text))
     assert {i: " ".join(t for _, t in sorted(c)) for i, c in chunked.items()} == {i: " ".join(cut(t)) for i, t, _ in docs if t and cut(t)}
+
+
+def test_alerts_of_the_last_day_of_each_user(spark, tmp_path):
+    rows = [(1, 1, "view", "2024-01-20 10:00:00"), (2, 1, "alarm", "2024-01-20 11:00:00"), (3, 1, "flood", "2024-02-03 09:00:00"), (4, 1, "view", "2024-02-03 23:59:59"), (5, 2, "alarm", "2024-01-20 00:00:00"), (6, 2, "view", "2024-01-21 00:00:00")]
+    rows += [(10 + i, 3, f"k{i}", "2024-03-31 12:00:00") for i in range(4)] + [(20, 4, "old", "2023-12-20 12:00:00"), (21, 4, "new", "2024-01-20 12:00:00"), (30, 5, "alarm", None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.line for r in records.alert_narrative(spark, str(tmp_path)).collect()}
+    assert got == {1: "alert: flood", 2: "no alert", 3: "4 alerts: k0, k1, k2, ...", 4: "alert: new", 5: "no alert"}
