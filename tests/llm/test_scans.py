@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 from compare import difference
+from pyspark.sql import functions as F
 
 from evigrid.llm import decontamination, licenses, pii, quality
 
@@ -105,6 +106,20 @@ def test_quality_on_held_out_labels(spark, small):
     assert good.kept.mean() > 0.98 and bad.kept.mean() < 0.3
 
 
+def test_toxic_documents_are_not_trusted(spark, small):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 0, 0), (5, 1, 0), (5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    fit_on, held_out = quality.trusted_ids(labels)
+    assert sorted([*fit_on, *held_out]) == [1, 3]
+    labels = pd.read_parquet(f"{small}/labels.parquet")
+    toxic = set(labels.doc_id[labels.toxic == 1])
+    fit_on, held_out = quality.trusted_ids(spark.read.parquet(f"{small}/labels.parquet"))
+    assert toxic & set(labels.doc_id[labels.quality == 1]) and not toxic & {*fit_on.tolist(), *held_out.tolist()}
+    judged = quality.op7(spark, small).where(~F.col("base_failed")).toPandas()
+    stay = judged[judged.doc_id.isin(toxic)].kept
+    print(f"{int(stay.sum())} of {len(stay)} toxic documents that pass the base rules stay")
+    assert 0 < stay.sum() <= len(stay)
+
+
 # ---------------------------------------------------------------- licenses
 
 
