@@ -1,12 +1,15 @@
 """License scans in DataFrame functions only: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a document, as its set of words. A template is found in a block that contains at least THRESHOLD of
-the template's words. The words of the templates are ordered by their frequency in the whole corpus, rare ones first.
+A block is a line of a document, or as many adjacent words as the template has, on whatever lines (so that wrapped notices
+are found), as its set of words. A template is found in a block that contains at least THRESHOLD of the template's words.
+A template that is itself a fixed phrase is looked for in lines only: across lines the phrase gives its label. The words of the templates are ordered by their frequency in the whole corpus, rare ones first.
 A block can only reach the threshold if it has one of the first |T| - need + 1 words of template T (prefix filter), at
 least ``need`` words (length filter), and enough words after the first shared one on both sides (positional filter). What is left
 is verified by the exact overlap. The templates are a parameter of bounded size, so they go into the plan as literals: the
 documents are read twice (word frequencies, then the join) and never shuffled.
 
+Windows of adjacent words are taken only around the prefix words of texts with a line break.
+
 Words are lower-cased by ``lower``; beyond A-Z that only changes letters that no phrase has.
 
 Edge cases: a null or empty text has no words and no labels, and a score of 0; repeated rows are judged alike; a text with
@@ -81,8 +84,9 @@ def _phrase(doubled: Column, phrase: str) -> tuple[Column, Column, Column]:
     return (F.size(parts) - 1).cast("long"), words(F.get(parts, F.lit(0))), words(F.element_at(parts, -1))
 
 
-def _containment(blocks: Column, template: list[str], vocabulary: list[str], threshold: float) -> Column:
-    """The largest containment of a template in the blocks (words in global order) that reach the threshold, else 0."""
+def _containment(blocks: Column, around: Column, template: list[str], length: int, threshold: float) -> Column:
+    """The largest containment of a template in the blocks (words in global order), or in `length` adjacent words of the
+    stretches (words in order of text; not if 0), that reaches the threshold, else 0."""
     need, mine = _need(template, threshold), _literals(template)
 
     def passes(b: Column) -> Column:
@@ -90,7 +94,12 @@ def _containment(blocks: Column, template: list[str], vocabulary: list[str], thr
         after = F.least(F.lit(len(template)) - F.array_position(mine, shared), F.size(b) - F.array_position(b, shared))
         return (F.size(b) >= need) & F.arrays_overlap(b, _literals(template[: len(template) - need + 1])) & (after + 1 >= need)
 
-    overlaps = F.transform(F.filter(blocks, passes), lambda b: F.size(F.array_intersect(mine, b)))
+    overlap = lambda b: F.size(F.array_intersect(mine, b))
+    overlaps = F.transform(F.filter(blocks, passes), overlap)
+    if length:
+        starts = lambda c: F.sequence(F.lit(1), F.greatest(F.size(c) - length + 1, F.lit(1)))
+        close = F.filter(around, lambda c: overlap(c) >= need)
+        overlaps = F.concat(overlaps, F.flatten(F.transform(close, lambda c: F.transform(starts(c), lambda i: overlap(F.slice(c, i, length))))))
     most = F.coalesce(F.array_max(overlaps), F.lit(0))
     return F.when(most >= need, most / F.lit(len(template))).otherwise(F.lit(0.0))
 
@@ -101,12 +110,14 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thre
     count = frequencies(documents, sorted({w for _, t in sets for w in t}))
     vocabulary = sorted(count, key=lambda w: (count[w], w))
     sets = [(label, sorted(t, key=vocabulary.index)) for label, t in sets]
+    lengths = [0 if text in PHRASES else len(text.split()) for texts in templates.values() for text in texts]
+    reach = max(lengths, default=0)
     prefixes = sorted({w for _, t in sets for w in t[: len(t) - _need(t, threshold) + 1]})
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _spaced(text).alias("spaced"))
     rows = rows.withColumn("words", F.split("spaced", " ", -1)).withColumn("n_words", F.when(F.col("spaced") == "", 0).otherwise(F.size("words")).cast("long"))
-    rows = rows.withColumn("near", F.arrays_overlap("words", _literals(prefixes))).drop("words")
+    rows = rows.withColumn("near", F.arrays_overlap("words", _literals(prefixes)))
     has_phrase = F.lit(False)
     for phrase in PHRASES:
         has_phrase = has_phrase | F.col("spaced").contains(phrase)
@@ -114,7 +125,11 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thre
     # Blocks of candidate documents, each as its template words in global order.
     lines = F.transform(F.split("text", "\n", -1), lambda line: F.array_intersect(_literals(vocabulary), F.split(_spaced(line), " ", -1)))
     blocks = F.when(F.col("near"), F.filter(lines, lambda b: F.arrays_overlap(b, _literals(prefixes)))).otherwise(F.array().cast("array<array<string>>"))
-    rows = rows.select("doc_id", "n_words", doubled.alias("doubled"), blocks.alias("blocks"))
+    # The words on both sides of each prefix word, as far as a window that holds it can reach.
+    places = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(prefixes), i + 1)))
+    stretches = F.transform(places, lambda p: F.slice("words", F.greatest(p - (reach - 1), F.lit(1)), F.least(p, F.lit(reach)) + (reach - 1)))
+    around = F.when(F.col("near") & F.col("text").contains("\n"), stretches).otherwise(F.array().cast("array<array<string>>"))
+    rows = rows.select("doc_id", "n_words", doubled.alias("doubled"), blocks.alias("blocks"), around.alias("around"))
 
     places, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
     for phrase, label in PHRASES.items():
@@ -123,7 +138,7 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thre
         firsts.append(F.when(n > 0, before))
         lasts.append(F.when(n > 0, F.col("n_words") - after - len(phrase.split())))
         labels.append(F.when(n > 0, F.lit(label)))
-    found = [F.struct(F.lit(label).alias("label"), _containment(F.col("blocks"), t, vocabulary, threshold).alias("score")) for label, t in sets]
+    found = [F.struct(F.lit(label).alias("label"), _containment(F.col("blocks"), F.col("around"), t, n, threshold).alias("score")) for (label, t), n in zip(sets, lengths)]
     rows = rows.select(
         "doc_id", "n_words", places.alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
         F.array_sort(F.array_compact(F.array(*labels))).alias("base"),

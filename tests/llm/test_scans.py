@@ -1,7 +1,9 @@
 """Operators that judge each document: brute force in plain Python."""
 
 import hashlib
+import random
 import re
+import textwrap
 from collections import Counter
 
 import pandas as pd
@@ -150,6 +152,42 @@ def test_license_base(spark, docs, texts, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    words = lambda text: ALNUM.findall(lower(text))
+    rnd = random.Random(8)
+    prose = lambda n: " ".join(rnd.choice("rain fell on the old town and all its roofs under a grey sky of the north".split()) for _ in range(n))
+    rows, whole = [], {}
+    for label, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for width, mark in ((72, ""), (78, " * "), (40, "# "), (12, "// ")):
+                whole[len(rows)] = label
+                rows.append("\n".join(mark + x for x in textwrap.wrap(f"{prose(9)} {text.capitalize()}, {prose(7)}", width, break_long_words=False)))
+    for text in (t for texts in licenses.TEMPLATES.values() for t in texts if len(t.split()) > 9):  # a word short, far apart, and shuffled lines
+        w = text.split()
+        rows += ["\n".join(textwrap.wrap(" ".join(w[:4] + ["misspelt"] + w[5:]), 50)), "\n".join(f"{x} {prose(3)}" for x in w), "\n".join(rnd.sample(w, len(w))), "\n".join(w[: len(w) // 2])]
+
+    def want(text):
+        best = {}
+        for label, texts in licenses.TEMPLATES.items():
+            for template in texts:
+                t, n = set(template.split()), len(template.split())
+                blocks, w = [words(x) for x in text.split("\n")], words(text)
+                if template not in licenses.PHRASES:
+                    blocks += [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
+                most = max(len(t & set(b)) for b in blocks)
+                if 10 * most >= 9 * len(t):
+                    best[label] = max(best.get(label, 0), most / len(t))
+        return best
+
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    for i, text in enumerate(rows):
+        best = want(text)
+        assert {f.label for f in got[i].found} == set(best) and got[i].score == max(best.values(), default=0), (text, got[i], best)
+        assert whole.get(i, "") in got[i].labels.split(",") + [""]
+    assert {"bsd", "mit", "isc", "mpl-2.0"} <= {whole[i] for i in whole if got[i].score == 1 and len(rows[i].split("\n")) > 1}
+
+
 # ---------------------------------------------------------------- personal data
 
 BASE = {
