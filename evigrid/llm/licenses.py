@@ -169,7 +169,7 @@ def op8_sql(templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRE
         b AS (SELECT id, doc_id, n_words, {places} AS places, {bases} AS base FROM w),
         t(label, words, need) AS (VALUES {values}),
         lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d),
-        blocks AS (SELECT id, {word_list("line")} AS words FROM lines WHERE regexp_matches(lower(line), 'licen|right|permission|redistribution|unencumbered|source|public')),
+        blocks AS (SELECT id, {word_list("line")} AS words FROM lines),
         hits AS (SELECT id, label, len(list_intersect(t.words, blocks.words)) / len(t.words) AS score FROM blocks, t WHERE len(list_intersect(t.words, blocks.words)) >= need),
         best AS (SELECT id, list(DISTINCT label) AS found, max(score) AS score FROM hits GROUP BY id)
         SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,

@@ -129,6 +129,14 @@ def test_license_sql(spark, small):
     assert difference(spark, small, licenses.op8, licenses.op8_sql()) == ""
 
 
+def test_license_sql_sees_every_line(spark, tmp_path):
+    mit, isc = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["isc"][0]
+    rows = [(1, mit.replace("permission", "permisson")), (2, isc.replace("permission", "permision")), (3, mit), (4, "nothing"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert difference(spark, str(tmp_path), licenses.op8, licenses.op8_sql()) == ""
+    assert {r.doc_id: r.labels for r in licenses.op8(spark, str(tmp_path)).collect()} == {1: "mit", 2: "isc", 3: "mit", 4: "", 5: ""}
+
+
 def test_license_base(spark, docs, texts, none):
     more = [(1, "CC-BY cc by CC... BY"), (2, "all rights reserved. General Public License; Licensed under the Apache License, Version 2.0"), (3, None), (4, "all rights\nreserved"), (5, "Released under the MIT License.")]
 
