@@ -56,7 +56,7 @@ def anchors(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
         none = np.zeros(0, np.int64)
         return Anchors(none.astype(np.uint64), none, none, none)
     at = np.arange(n - gram + 1)
-    key = SpanHasher(values)(at, at + gram)
+    key = SpanHasher(values).every(gram)
     least = sliding_min((key & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), window - gram + 1)
     # Window starts that leave room in their text.
     steps = np.zeros(n + 1, np.int64)

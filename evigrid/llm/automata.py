@@ -11,7 +11,8 @@ only that one is sent. The windows of an anchor with more than LARGE places are
 within a passage that very many documents share fold like others, and those at its ends, all different, go to different parts.
 
 Automata are not broadcast to all documents: that would stream each document through automata of the whole corpus. Each one
-meets the passages that share its anchor. Words are compared by 32-bit codes next to the 64-bit hash of the anchor.
+meets the passages that share its anchor. Passages are sent as text, and automata and folds compare the words themselves:
+hashes only choose where passages meet.
 
 Edge cases: a null or empty text has no words and loses none; rows with equal doc_id and text are one document; rows that
 share a doc_id only follow one another by the hash of their texts; a null doc_id comes first; other columns are ignored.
@@ -48,18 +49,18 @@ class SuffixAutomaton:
     """A generalised suffix automaton of word sequences."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         self.words = 0
 
-    def _state(self, next_: dict[int, int], link: int, length: int) -> int:
+    def _state(self, next_: dict[bytes, int], link: int, length: int) -> int:
         self.next.append(next_)
         self.link.append(link)
         self.length.append(length)
         return len(self.link) - 1
 
-    def _split(self, p: int, word: int, q: int) -> int:
+    def _split(self, p: int, word: bytes, q: int) -> int:
         """The state of p's strings followed by word, apart from longer strings of q."""
         if self.length[p] + 1 == self.length[q]:
             return q
@@ -70,7 +71,7 @@ class SuffixAutomaton:
         self.link[q] = clone
         return clone
 
-    def add(self, words: list[int]) -> None:
+    def add(self, words: list[bytes]) -> None:
         last, self.words = 0, self.words + len(words)
         for word in words:
             p = last
@@ -85,7 +86,7 @@ class SuffixAutomaton:
             self.link[new] = 0 if p < 0 else self._split(p, word, self.next[p][word])
             last = new
 
-    def statistics(self, words: list[int]) -> list[int]:
+    def statistics(self, words: list[bytes]) -> list[int]:
         """For each word: the length of the longest string that ends with it and is in the automaton."""
         next_, link, lengths = self.next, self.link, self.length
         state = matched = 0
@@ -102,10 +103,10 @@ class SuffixAutomaton:
         return out
 
 
-def seen_windows(passages: Iterator[list[int]], size: int, shard_words: int = SHARD_WORDS) -> Iterator[list[int]]:
+def seen_windows(passages: Iterator[list[bytes]], size: int, shard_words: int = SHARD_WORDS) -> Iterator[list[int]]:
     """For each passage, in order: its windows (by their first word) that an earlier passage has."""
     shards: list[SuffixAutomaton] = []
-    known: set[tuple[int, ...]] = set()
+    known: set[tuple[bytes, ...]] = set()
     for words in passages:
         whole = tuple(words)
         n = len(words) - size + 1
@@ -138,13 +139,16 @@ class _Folder:
 
     def __init__(self, parts: int):
         self.parts = parts
-        self.held: dict[int, tuple] = {}
+        self.held: dict[bytes, tuple] = {}
 
     def add(self, content: np.ndarray, columns: dict[str, np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((columns["low"], columns["text_hash"], columns["doc_id"], content))
         c = content[order]
         first = np.ones(len(order), bool)
         first[1:] = c[1:] != c[:-1]
+        for i in np.flatnonzero(~first).tolist():
+            if words[order[i]] != words[order[i - 1]]:  # different passages of equal hash: all are sent
+                first[c == c[i]] = True
         leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         place = [columns[k] for k in ("doc_id", "text_hash", "low")]
         again = order[~first & np.logical_or.reduce([v[order] != v[leader] for v in place])]  # not the same place once more
@@ -152,15 +156,15 @@ class _Folder:
         lone = np.concatenate((first[1:], [True])) & first
         sent = []
         for i, alone in zip(order[first].tolist(), lone[first].tolist()):
-            known = self.held.get(int(content[i]))
+            known = self.held.get(words[i])
             if alone and known is None:
                 sent.append(i)
                 continue
             mine = (int(columns["doc_id"][i]), int(columns["text_hash"][i]), int(columns["low"][i]), int(columns["key"][i]), int(columns["n"][i]), words[i])
             if known is None or mine[:3] < known[:3]:
-                self.held[int(content[i])] = mine
+                self.held[words[i]] = mine
                 mine = known
-            if mine is not None and mine[:3] != self.held[int(content[i])][:3]:
+            if mine is not None and mine[:3] != self.held[words[i]][:3]:
                 done.append(np.array([[*mine[:3], mine[2] + mine[4]]], np.int64))
         at = np.array(sent, np.int64)
         yield from self._rows({k: v[at] for k, v in columns.items()}, [words[i] for i in sent], np.concatenate(done))
@@ -180,7 +184,7 @@ class _Folder:
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True]))) if len(part) else np.zeros(1, int)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             mine = order[a:b]
-            rows[int(part[mine[0]])] = [*[columns[k][mine].tobytes() for k in PASSAGES], b"".join(words[i] for i in mine.tolist()), b""]
+            rows[int(part[mine[0]])] = [*[columns[k][mine].tobytes() for k in PASSAGES], b"\n".join(words[i] for i in mine.tolist()), b""]
         where = common.mix(done[:, 1].astype(np.uint64)) % np.uint64(self.parts)
         for p in np.unique(where).tolist():
             rows.setdefault(p, [b""] * (len(PASSAGES) + 2))[-1] = done[where == p].tobytes()
@@ -211,8 +215,13 @@ def passages(rows: DataFrame, size: int, gram: int, large: int = LARGE) -> DataF
                     "key": key, "doc_id": piece.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[doc], "text_hash": piece.column("text_hash").to_numpy(zero_copy_only=False)[doc],
                     "low": begin - words.first[doc], "n": n.astype(np.int32),
                 }
-                codes = (h >> np.uint64(32)).astype("<u4")
-                texts = [codes[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n).tolist())]
+                # The words with one space between them.
+                sizes = words.ends - words.starts
+                place = np.cumsum(sizes + 1) - sizes - 1
+                spaced = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+                spaced[common.ragged(place, sizes)] = words.block.bytes[common.ragged(words.starts, sizes)]
+                raw = spaced.tobytes()
+                texts = [raw[a:b] for a, b in zip(place[begin].tolist(), (place + sizes)[begin + n - 1].tolist())]
                 yield from folder.add(common.mix(whole + key), columns, texts)
         yield from folder.flush()
 
@@ -234,8 +243,7 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 def _judged(rows: list[dict], size: int) -> pa.RecordBatch:
     whole = {c: np.frombuffer(b"".join(r[c] for r in rows), kind.to_pandas_dtype()) for c, kind in PASSAGES.items()}
-    words = np.frombuffer(b"".join(r["words"] for r in rows), "<u4")
-    first = np.cumsum(whole["n"].astype(np.int64)) - whole["n"]
+    words = [text for r in rows if r["words"] for text in r["words"].split(b"\n")]
     order = np.lexsort((whole["low"], whole["text_hash"], whole["doc_id"], whole["key"]))
     # Repeated rows are one document: each place counts once.
     again = np.ones(len(order), bool)
@@ -251,7 +259,7 @@ def _judged(rows: list[dict], size: int) -> pa.RecordBatch:
         if b - a < 2:
             continue
         group = order[a:b]
-        lists = (words[first[i] : first[i] + whole["n"][i]].tolist() for i in group)
+        lists = (words[i].split() for i in group.tolist())
         for i, seen in zip(group.tolist(), seen_windows(lists, size)):
             begin = end = None
             for w in seen:

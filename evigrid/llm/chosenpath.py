@@ -252,7 +252,11 @@ def candidate_trees(rows: DataFrame, size: int, similarity: float, recall: float
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """u, root: the smallest node connected with each node of an edge, by alternating large and small stars."""
+    """u, root: the smallest node connected with each node of an edge, by alternating large and small stars.
+
+    A node with very many neighbours is a hot key of the large stars. Its minimum is a grouped aggregate with partial sums; it is
+    stored before the join, so that both sides of the join are plain shuffles and adaptive execution can split the hot one.
+    """
     turned = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now, before = common.stored(edges.where("u <> v").select(*turned).distinct(), name), None
     while True:
@@ -260,10 +264,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if state == before:
             return now.withColumnRenamed("v", "root").unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
         before = state
-        # Large stars: neighbours that are larger go to the smallest neighbour.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large stars: neighbours that are larger go to the smallest neighbour. `now` has the larger node first.
+        smaller = now.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.stored(now.select(F.col("v").alias("u")).distinct().join(smaller, "u"), f"{name}-least")
+        moved = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u", "left")
+        large = moved.select(F.col("w").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
         # Small stars: the node and its smaller neighbours go to the smallest of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -312,7 +317,9 @@ def verify(rows: DataFrame, members: DataFrame, groups: DataFrame, size: int, si
     """Links of the candidate groups (u: set, root: group), from the texts of one document of each set."""
     spark = rows.sparkSession
     one = members.groupBy("sid").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "root")
+    # Stored, so that adaptive execution can split the join with a large group.
+    sizes = common.stored(groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "sizes")
+    sized = groups.join(sizes, "root")
     chosen = sized.join(one, sized.u == one.sid).select("sid", "weight", "root", "blocks", F.col("one.doc_id").alias("d"), F.col("one.text_hash").alias("t"))
     texts = rows.join(chosen, rows.doc_id.eqNullSafe(chosen.d) & (rows.text_hash == chosen.t)).drop("d", "t").dropDuplicates(["sid"])
     mine = texts.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -365,8 +372,8 @@ def join(documents: DataFrame, size: int = SHINGLE, similarity: float = SIMILARI
     classes = components(links.where("other IS NOT NULL").select(F.col("sid").alias("u"), F.col("other").alias("v")), "classes")
     counted = links.where("other IS NULL").groupBy("sid").agg(F.sum("links").alias("links"))
     sets = members.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("weight"), F.min("doc_id").alias("copies_id"))
-    named = sets.join(classes.withColumnRenamed("u", "sid"), "sid", "left").join(counted, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = named.groupBy("root").agg(F.min("copies_id").alias("class_id"))
+    named = common.stored(sets.join(classes.withColumnRenamed("u", "sid"), "sid", "left").join(counted, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "named")
+    smallest = common.stored(named.groupBy("root").agg(F.min("copies_id").alias("class_id")), "smallest")
     named = named.join(smallest, "root").select("sid", "root", "class_id", "copies_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return members.join(named, "sid", "left").select(
         "doc_id", "text_hash", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -379,16 +386,17 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     classes = common.stored(join(documents, **options), "classes")
     first = classes.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     stay = first.select("k.doc_id", "k.text_hash").unionByName(classes.where("root IS NULL").select("doc_id", "text_hash").distinct())
-    stay = stay.select(F.col("doc_id").alias("__stay_id"), F.col("text_hash").alias("__stay_hash"))
-    hashed = documents.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = hashed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash")), "left_semi")
-    repeated = classes.where("root IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__stay_id"), F.col("text_hash").alias("__stay_hash"))
+    stay_id, stay_hash, hash_, n = (common.fresh(documents, c) for c in ("stay_id", "stay_hash", "hash", "n"))
+    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash))
+    hashed = documents.withColumn(hash_, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id)) & (F.col(hash_) == F.col(stay_hash))
+    kept = hashed.join(stay, same, "left_semi")
+    repeated = classes.where("root IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash))
     if repeated.isEmpty():
-        return kept.drop("__hash")
+        return kept.drop(hash_)
     # Rows of one doc_id and text, both equal: the first of them stays.
-    numbered = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash")))
-    again = numbered.join(repeated, F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash")) & (F.col("__n") > 1), "left_anti")
-    return again.drop("__hash", "__n")
+    numbered = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", hash_).orderBy(hash_)))
+    return numbered.join(repeated, same & (F.col(n) > 1), "left_anti").drop(hash_, n)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

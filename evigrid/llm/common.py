@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,9 @@ SPACED[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_BASE = 0x9E3779B97F4A7C13 | 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Moduli (primes) of the span hash, and the base of each.
+MODULI = ((2**31 - 1, 1_389_796_763), (2**31 - 19, 806_145_017))
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 # ---------------------------------------------------------------- storage
@@ -30,9 +31,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (local mode, tests) one for this session."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset, in local mode only, one for this session."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -41,7 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that the operators of this application stored in the shared folder; results that are not written yet go too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -66,34 +83,60 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit integers that spreads all bits."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below n at least."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def powers(base: int, modulus: int, n: int) -> np.ndarray:
+    """base ** i modulo a prime below 2 ** 31, for i below n at least."""
+    have = _powers.get((base, modulus), np.ones(1, np.uint32))
+    while len(have) < max(n, 1 << 16):
+        more = have * np.uint64(pow(base, len(have), modulus)) % np.uint64(modulus)
+        have = np.concatenate((have, more.astype(np.uint32)))
+    _powers[base, modulus] = have
     return have
 
 
 class SpanHasher:
-    """64-bit hashes of any spans of a sequence of integers, in constant time each after one pass."""
+    """62-bit hashes of any spans of a sequence of integers, in constant time each after one pass.
+
+    Polynomials modulo two primes: two spans of n integers that differ agree in both with a probability of about (n / 2**31)**2
+    over the bases at the worst, and of 2**-62 if they are not made for it. (Modulo 2**64 there are spans that agree for any base.)
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[:n], out=self.sums[1:])
+        self.sums = []
+        small = values.dtype.itemsize == 1 and n < 1 << 24  # sums of products stay below 2 ** 63
+        for modulus, base in MODULI:
+            terms = np.multiply(values if small else values % np.uint64(modulus), powers(base, modulus, n)[:n], dtype=np.uint64)
+            if not small:
+                terms %= np.uint64(modulus)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.sums.append(sums)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        back = powers(_INVERSE, len(self.sums))
-        length = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mix((self.sums[ends] - self.sums[starts]) * back[starts] + length)
+        return self._hashes((ends - starts).astype(np.uint64), [s[ends] - s[starts] for s in self.sums], lambda back: back[starts])
+
+    def every(self, size: int) -> np.ndarray:
+        """The hashes of all spans of a size, by their starts."""
+        n = len(self.sums[0]) - size
+        return self._hashes(np.full(1, size, np.uint64), [s[size:] - s[:n] for s in self.sums], lambda back: back[:n])
+
+    def _hashes(self, length: np.ndarray, differences: list[np.ndarray], at) -> np.ndarray:
+        out = None
+        for (modulus, base), h in zip(MODULI, differences):
+            back = powers(pow(base, -1, modulus), modulus, len(self.sums[0]))
+            h %= np.uint64(modulus)
+            h *= at(back)
+            h %= np.uint64(modulus)
+            out = h << np.uint64(31) if out is None else np.bitwise_or(out, h, out=out)
+        out += length * np.uint64(0xD6E8FEB86659FD93)
+        return mix(out)
 
 
 # ---------------------------------------------------------------- Arrow text batches

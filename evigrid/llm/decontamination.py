@@ -233,10 +233,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    dirty = decontaminate(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__dirty_id"), F.col("text_hash").alias("__dirty_hash")).distinct()
-    dirty = common.stored(dirty, "contaminated")
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("__dirty_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__dirty_hash"))
-    return documents.join(dirty, key, "left_anti")
+    id_, hash_ = common.fresh(documents, "dirty_id"), common.fresh(documents, "dirty_hash")
+    dirty = decontaminate(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(hash_))
+    return documents.join(common.stored(dirty, "contaminated"), key, "left_anti")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

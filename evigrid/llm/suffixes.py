@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .anchors import anchors, identified, passes, repeated_filter, with_spans
 from .automata import _NULL, by_part
-from .common import TextBlock, powers
+from .common import TextBlock
 
 LENGTH = 400
 GRAM = 48
@@ -192,25 +192,19 @@ def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight:
     """
     m = len(lefts)
     farthest = np.array([len(x) for x in lefts], np.int64)
-    width = int(farthest.max(initial=0))
-    # Bytes on the left, from the anchor backwards.
-    grid = np.zeros((width, m), np.uint8)
-    flat = np.frombuffer(b"".join(lefts), np.uint8)
-    ends = np.cumsum(farthest)
-    owner = np.repeat(np.arange(m), farthest)
-    if width:
-        grid[np.repeat(ends, farthest) - 1 - np.arange(len(flat)), owner] = flat
+    # The bytes on the left, from the anchor backwards, sorted: neighbours with a common prefix of n are equal for n bytes.
+    backwards = [x[::-1] for x in lefts]
+    sorted_ = sorted(range(m), key=backwards.__getitem__)
+    shared = np.array([0][:m] + [common_prefix(backwards[i], backwards[j]) for i, j in zip(sorted_, sorted_[1:])], np.int64)
+    place = np.empty(m, np.int64)
+    place[sorted_] = np.arange(m)
     most, least = np.full(m, -1), np.full(m, length)
-    h = np.zeros(m, np.uint64)
-    base = powers(0x9E3779B97F4A7C13 | 3, length + 1)
-    for offset in range(width + 1):
-        if offset:
-            h = h + (grid[offset - 1].astype(np.uint64) + np.uint64(1)) * base[offset]
+    for offset in range(int(farthest.max(initial=0)) + 1):
         here = np.flatnonzero((nearest <= offset) & (offset <= farthest))
         if len(here) == 0:
             continue
-        group = np.cumsum(prefix < length - offset).astype(np.uint64)[here]
-        key = common.mix(common.mix(h[here]) + group)
+        # Strings are equal where the suffixes are in one group of the right side and in one of the left side.
+        key = np.cumsum(prefix < length - offset)[here] * (m + 1) + np.cumsum(shared < offset)[place[here]]
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         twice = weight[here] > 1

@@ -5,6 +5,9 @@ text's ids are those of its parts one after the other: its words, cut where thes
 Words that hold other characters, or ones that the vocabulary's pattern or its special tokens treat together, stay whole.
 Each worker encodes a part when it first meets it, by the library, and keeps its ids; a bounded store, which starts anew when
 full. Parts of letters alone go to the library many at a time: each ends with a token that ends a word.
+
+A part of up to SHORT bytes is known by these bytes, a longer one by its hash; its bytes are then compared with those that the
+ids were learnt from. Where they differ, the texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from .common import SPACED, SpanHasher, TextBlock, ragged
 #: Parts that a worker remembers, and parts of letters that are encoded as one text.
 REMEMBERED = 1_000_000
 TOGETHER = 200
+#: Bytes of a part that are its key themselves.
+SHORT = 7
 #: Bytes of text that are encoded at once.
 PIECE_BYTES = 2 << 20
 _encoders: dict[str, "WordEncoder"] = {}
@@ -30,6 +35,19 @@ _WHOLE = np.zeros(256, bool)
 _WHOLE[128:] = _WHOLE[list(b"'<|")] = True
 
 
+def part_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each part, and which of the parts are long: bytes and length of short ones, a hash with the top bit of long ones."""
+    lengths = ends - starts
+    padded = np.concatenate((data, np.zeros(SHORT, np.uint8)))
+    keys = lengths.astype(np.uint64) << np.uint64(56)
+    for k in range(SHORT):
+        at = np.flatnonzero(lengths > k)
+        keys[at] |= padded[starts[at] + k].astype(np.uint64) << np.uint64(8 * k)
+    long = np.flatnonzero(lengths > SHORT)
+    keys[long] = SpanHasher(data)(starts[long], ends[long]) | np.uint64(1 << 63)
+    return keys, long
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,6 +63,8 @@ class WordEncoder:
         self.keys = np.zeros(0, np.uint64)
         self.starts = self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.begins = np.zeros(0, np.int64)  # of the bytes of each part
+        self.bytes = np.zeros(0, np.uint8)
 
     def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -72,6 +92,9 @@ class WordEncoder:
         self.ids = np.concatenate((self.ids, a, b))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.starts, self.lengths = np.insert(self.keys, at, keys), np.insert(self.starts, at, begin), np.insert(self.lengths, at, lengths[order])
+        sizes = ends - starts
+        self.begins = np.insert(self.begins, at, len(self.bytes) + np.cumsum(sizes) - sizes)
+        self.bytes = np.concatenate((self.bytes, data[ragged(starts, sizes)]))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
@@ -86,7 +109,8 @@ class WordEncoder:
         cut = np.flatnonzero(inside[1:] & inside[:-1] & (kind[1:] != kind[:-1])) + 1
         cut = cut[np.searchsorted(words.starts, cut, "right") == np.searchsorted(words.starts, cut - 1, "right")]
         starts, ends = np.sort(np.concatenate((words.starts, cut))), np.sort(np.concatenate((words.ends, cut)))
-        different, at, part = np.unique(SpanHasher(data)(starts, ends), return_index=True, return_inverse=True)
+        keys, long = part_keys(data, starts, ends)
+        different, at, part = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(different) > REMEMBERED:
             self.forget()
         place = np.searchsorted(self.keys, different)
@@ -96,6 +120,11 @@ class WordEncoder:
             new = at[~known]
             self._learn(data, starts[new], ends[new], different[~known])
             place = np.searchsorted(self.keys, different)
+        sizes = (ends - starts)[long]
+        if not np.array_equal(data[ragged(starts[long], sizes)], self.bytes[ragged(self.begins[place[part[long]]], sizes)]):
+            ids, counts = self._alone(column.cast(pa.string()).fill_null("").to_pylist())
+            self.forget()
+            return ids, counts
         begin, lengths = self.starts[place][part], self.lengths[place][part]
         sums = np.concatenate(([0], np.cumsum(lengths)))
         return self.ids[ragged(begin, lengths)], np.diff(sums[np.searchsorted(starts, block.offsets)])
