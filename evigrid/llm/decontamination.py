@@ -1,13 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 ``build_index`` cuts the documents into segments of bounded size and stores for each one the postings of all of its
-terms (sorted term hashes, and the sorted positions of each). ``search`` takes the benchmark windows in blocks of
+terms (sorted term hashes, and the sorted positions of each). ``search`` takes the benchmark, a stated query set, in blocks of
 bounded size to every segment: a window starts from the postings of its rarest term there, and its candidate places are
 intersected with the offset-adjusted postings of the other terms, rarer ones first. With ``slack`` 0 the places are
-exact phrase matches; with more, each term may stand up to ``slack`` words off its place (proximity matches).
+exact phrase matches. A proximity match is a place p of a document such that, for each i, the window's i-th term occurs in
+that document within ``slack`` words of place p + i.
 
-A segment is one row, so that the search shuffles nothing, and a lost executor costs the segments it held. Terms are
-64-bit hashes of words.
+A segment is one row, so that the search shuffles nothing of the documents, and a lost executor costs the segments it held.
+The benchmark is blocked, cut into windows and met with the segments in tasks; the driver sees only its size. Terms are
+62-bit hashes of words.
 
 Edge cases: null and empty texts have no words and no hits; repeated document rows are judged one by one; items without
 words or without an id match nothing; an empty benchmark leaves all documents clean; other columns are ignored.
@@ -35,7 +37,9 @@ BLOCK_BYTES = 4 << 20
 CANDIDATES = 1 << 20
 
 INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms binary, counts binary, gaps binary"
-MATCH_SCHEMA = "segment long, place int, doc_id long, text_hash long, n_words long, items array<string>, spans array<struct<s:int,e:int>>"
+#: How far a word may stand off its place in the proximity matches that ``decontaminate`` reports.
+NEAR = 2
+MATCH_SCHEMA = "segment long, place int, doc_id long, text_hash long, n_words long, items array<string>, spans array<struct<s:int,e:int>>, near_items array<string>"
 
 
 # ---------------------------------------------------------------- index
@@ -88,92 +92,102 @@ def build_index(documents: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Dat
 
 
 class _Windows:
-    """The windows of some items: term numbers by place (-1 past the end), each different window once."""
+    """The windows of some items: term numbers by place (-1 past the end), each different window once, with the items that have it."""
 
     def __init__(self, ids: list[str], texts: list[str], size: int):
         words = TextBlock(pa.array(texts, pa.string())).words(ALNUM)
         self.vocabulary, codes = np.unique(words.hashes(lower=True), return_inverse=True)
-        rows, owners = [], []
-        for item, (begin, n) in zip(ids, zip(words.first, words.counts)):
-            for at in range(begin, begin + max(1, n - size + 1)) if n else ():
-                row = np.full(size, -1, np.int64)
-                row[: min(n, size)] = codes[at : at + min(n, size)]
-                rows.append(row)
-                owners.append(item)
-        every = np.array(rows, np.int64).reshape(-1, size)
-        self.terms, self.which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, np.zeros(0, int))
-        self.which = self.which.ravel()
+        at = words.windows(size)
+        short = np.flatnonzero((words.counts > 0) & (words.counts < size))
+        every = np.full((len(at) + len(short), size), -1, np.int32)
+        every[: len(at)] = codes[at[:, None] + np.arange(size)]
+        for row, item in enumerate(short.tolist(), len(at)):
+            every[row, : words.counts[item]] = codes[words.first[item] : words.first[item + 1]]
+        self.terms, which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, np.zeros(0, int))
         self.lengths = (self.terms >= 0).sum(1)
-        self.owners: list[list[str]] = [[] for _ in self.terms]
-        for window, item in zip(self.which, owners):
-            if item not in self.owners[window]:
-                self.owners[window].append(item)
-
-
-def _places(windows: _Windows, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slack: int):
-    """(window, start) of all matches in a segment, whose postings are given term by term."""
-    begin = np.concatenate(([0], np.cumsum(counts)))
-    at = np.searchsorted(terms, windows.vocabulary)
-    here = at < len(terms)
-    here[here] = terms[at[here]] == windows.vocabulary[here]
-    df = np.where(here, counts[np.minimum(at, len(counts) - 1)], 0)
-    # The postings of the vocabulary, term by term, as one sorted list of (term, position).
-    lists = common.ragged(begin[at[here]], df[here])
-    keys = (np.repeat(np.flatnonzero(here), df[here]) << 32) | positions[lists]
-    start_of = np.concatenate(([0], np.cumsum(df)))
-    rarity = np.where(windows.terms >= 0, df[windows.terms], np.iinfo(np.int64).max)
-    alive = np.flatnonzero(rarity.min(1) > 0)
-    order = np.argsort(rarity, axis=1, kind="stable")
-    ahead = np.cumsum(rarity[alive, order[alive, 0]]) // CANDIDATES
-    for part in np.split(alive, np.flatnonzero(np.diff(ahead)) + 1) if len(alive) else ():
-        offset = order[part, 0]
-        term = windows.terms[part, offset]
-        window = np.repeat(part, df[term])
-        start = (keys[common.ragged(start_of[term], df[term])] & 0xFFFFFFFF) - np.repeat(offset, df[term])
-        window, start = window[start >= 0], start[start >= 0]
-        for rank in range(1, windows.terms.shape[1]):
-            offset = order[window, rank]
-            term = windows.terms[window, offset]
-            least = np.maximum(start + offset - slack, 0)
-            found = np.searchsorted(keys, (term << 32) | least)
-            ok = found < len(keys)
-            ok[ok] = keys[found[ok]] <= ((term[ok] << 32) | (start[ok] + offset[ok] + slack))
-            ok |= term < 0
-            window, start = window[ok], start[ok]
-        yield window, start
-
-
-def _matches(batch: pa.RecordBatch, windows: _Windows, slack: int) -> pa.RecordBatch:
-    out: dict[str, list] = {name: [] for name in ("segment", "place", "doc_id", "text_hash", "n_words", "items", "spans")}
-    for row in batch.to_pylist():
-        n_words = np.array(row["n_words"], np.int64)
+        self.items, number = np.unique(np.array(ids, object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, int))
+        owner = number[np.concatenate((words.doc[at] if len(at) else at, short)).astype(np.int64)]
+        pairs = np.unique(np.stack((which.ravel(), owner), 1), axis=0)
+        self.owner = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
+
+    def owned(self, window: np.ndarray, doc: np.ndarray, n: int) -> list[list[str]]:
+        """For each of n documents: the items of the windows found in it."""
+        many = self.first[window + 1] - self.first[window]
+        pairs = np.unique(np.stack((np.repeat(doc, many), self.owner[common.ragged(self.first[window], many)]), 1), axis=0)
+        cuts = np.searchsorted(pairs[:, 0], np.arange(n + 1)).tolist()
+        names = self.items[pairs[:, 1]].tolist()
+        return [names[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+class _Segment:
+    """The postings of a segment that a vocabulary has: sorted (term number, position), and the documents' bounds."""
+
+    def __init__(self, row: dict, vocabulary: np.ndarray):
+        self.n_words = np.array(row["n_words"], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.n_words + 1)))
         terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-        items: list[dict] = [{} for _ in n_words]
-        spans: list[list] = [[] for _ in n_words]
-        if len(terms) and len(windows.terms):
-            steps = np.cumsum(_unplanes(row["gaps"]).astype(np.int64))
-            begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            # gaps restart at each term: take off what had been summed before it
-            before = np.where(begin > 0, steps[begin - 1], 0)
-            positions = steps - np.repeat(before, counts)
-            doc_start = np.concatenate(([0], np.cumsum(n_words + 1)))
-            for window, start in _places(windows, terms, counts, positions, slack):
-                end = start + windows.lengths[window]
-                doc = np.searchsorted(doc_start, start, "right") - 1
-                inside = end <= doc_start[doc] + n_words[doc]
-                for w, d, s, e in zip(*(x[inside].tolist() for x in (window, doc, start - doc_start[doc], end - doc_start[doc]))):
-                    items[d].update(dict.fromkeys(windows.owners[w]))
-                    spans[d].append((s, e))
-        out["segment"] += [row["segment"]] * len(n_words)
-        out["place"] += range(len(n_words))
-        out["doc_id"] += row["doc_ids"]
-        out["text_hash"] += row["text_hashes"]
-        out["n_words"] += row["n_words"]
-        out["items"] += [sorted(x) for x in items]
-        out["spans"] += [[{"s": s, "e": e} for s, e in _merged(x)] for x in spans]
-    span = pa.struct({"s": pa.int32(), "e": pa.int32()})
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
-    return pa.record_batch([pa.array(v, kind) for v, kind in zip(out.values(), kinds)], names=list(out))
+        at = np.searchsorted(terms, vocabulary)
+        here = at < len(terms)
+        here[here] = terms[at[here]] == vocabulary[here]
+        self.df = np.zeros(len(vocabulary), np.int64)
+        self.df[here] = counts[at[here]]
+        steps = np.cumsum(_unplanes(row["gaps"]).astype(np.int64))
+        begin = np.cumsum(counts) - counts
+        # Gaps restart at each term: what had been summed before it is taken off.
+        before = np.where(begin > 0, steps[begin - 1], 0) if len(begin) else begin
+        some = at[here]
+        positions = steps[common.ragged(begin[some], counts[some])] - np.repeat(before[some], counts[some])
+        self.keys = (np.repeat(np.flatnonzero(here), counts[some]) << 32) | positions
+        self.first = np.concatenate(([0], np.cumsum(self.df)))
+
+    def places(self, windows: _Windows, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, document, place in it) of all matches."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        rarity = np.where(windows.terms >= 0, self.df[windows.terms], np.iinfo(np.int64).max) if len(self.df) else np.zeros((0, 1), np.int64)
+        alive = np.flatnonzero(rarity.min(1) > 0)
+        order = np.argsort(rarity[alive], axis=1, kind="stable")
+        ahead = np.cumsum(rarity[alive, order[:, 0]]) * (2 * slack + 1) // CANDIDATES
+        for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(ahead)) + 1) if len(alive) else ():
+            offset = order[part, 0]
+            term = windows.terms[alive[part], offset]
+            which = np.repeat(part, self.df[term])
+            position = self.keys[common.ragged(self.first[term], self.df[term])] & 0xFFFFFFFF
+            doc = np.searchsorted(self.starts, position, "right") - 1
+            shifts = np.arange(-slack, slack + 1)
+            start = (position - np.repeat(offset, self.df[term]))[:, None] + shifts
+            which, doc, start = np.repeat(which, len(shifts)), np.repeat(doc, len(shifts)), start.ravel()
+            for rank in range(windows.terms.shape[1]):
+                offset = order[which, rank]
+                term = windows.terms[alive[which], offset].astype(np.int64)
+                place, begin = start + offset, self.starts[doc]
+                low, high = np.maximum(place - slack, begin), np.minimum(place + slack, begin + self.n_words[doc] - 1)
+                at = np.searchsorted(self.keys, (term << 32) | np.maximum(low, 0))
+                ok = (at < len(self.keys)) & (low <= high)
+                ok[ok] = self.keys[at[ok]] <= ((term[ok] << 32) | high[ok])
+                ok |= term < 0
+                which, doc, start = which[ok], doc[ok], start[ok]
+            found.append((alive[which], doc, start - self.starts[doc]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _matches(row: dict, windows: _Windows, slacks: tuple[int, ...]) -> pa.RecordBatch:
+    """The documents of a segment: the items and the spans of matches with the first slack, and the items with the last one."""
+    segment = _Segment(row, windows.vocabulary)
+    n = len(segment.n_words)
+    window, doc, start = segment.places(windows, slacks[0])
+    items = windows.owned(window, doc, n)
+    near = windows.owned(*segment.places(windows, slacks[-1])[:2], n) if len(slacks) > 1 else items
+    spans: list[list] = [[] for _ in range(n)]
+    ends = np.minimum(start + windows.lengths[window], segment.n_words[doc])
+    for d, s, e in zip(doc.tolist(), np.maximum(start, 0).tolist(), ends.tolist()):
+        spans[d].append((s, e))
+    span, names = pa.struct({"s": pa.int32(), "e": pa.int32()}), pa.list_(pa.string())
+    columns = {
+        "segment": ([row["segment"]] * n, pa.int64()), "place": (range(n), pa.int32()), "doc_id": (row["doc_ids"], pa.int64()), "text_hash": (row["text_hashes"], pa.int64()), "n_words": (row["n_words"], pa.int64()),
+        "items": (items, names), "spans": ([[{"s": s, "e": e} for s, e in _merged(x)] for x in spans], pa.list_(span)), "near_items": (near, names),
+    }
+    return pa.record_batch([pa.array(v, kind) for v, kind in columns.values()], names=list(columns))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -186,33 +200,38 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return done
 
 
-def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document row of the index: the items with occurring windows and the word spans they hit.
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 0, near: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each document row of the index: the items with matching windows and the word spans they hit; and the items
+    that match with the slack ``near`` (if none is given, the same items).
 
-    The benchmark goes through in blocks of about ``block_bytes`` of text, each broadcast to all segments; the rows of
-    several blocks are merged by document.
+    The benchmark goes through in blocks of about ``block_bytes`` of text, a row each; every block meets every segment, and the
+    rows of several blocks are merged by document.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    found = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        sent = index.sparkSession.sparkContext.broadcast(_Windows([r[0] for r in rows], [r[1] for r in rows], window))
-
-        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    yield _matches(batch.slice(i, 1), sent.value, slack)
-
-        part = index.mapInArrow(match, MATCH_SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    if blocks > 1:
+    count = max(1, math.ceil(total / block_bytes))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int")
+    every = items.sparkSession.range(count).select(F.col("id").cast("int").alias("block"))
+    packed = items.groupBy(number.alias("block")).agg(F.collect_list("item_id").alias("item_ids"), F.collect_list("text").alias("texts"))
+    blocks = common.stored(every.join(packed, "block", "left").repartition(count, "block"), "benchmark")
+    slacks = (slack,) if near is None else (slack, near)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, _Windows | None] = (-1, None)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if held[0] != row["block"]:
+                    held = row["block"], _Windows(row["item_ids"] or [], row["texts"] or [], window)
+                yield _matches(row, held[1], slacks)
+
+    found = index.crossJoin(blocks.hint("shuffle_replicate_nl")).mapInArrow(match, MATCH_SCHEMA)
+    if count > 1:
         found = found.groupBy("segment", "place").agg(
             F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
+            F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("near_items")).alias("near_items"),
         )
-    return found.withColumn("items", F.array_sort(F.array_distinct("items")))
+    return found.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("near_items", F.array_sort(F.array_distinct("near_items")))
 
 
 def covered_words(spans: Column) -> Column:
@@ -225,8 +244,9 @@ def covered_words(spans: Column) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, items, spans, contaminated (5 % of its words or more are hit) for each document row."""
-    found = search(build_index(documents), benchmark, window)
+    """doc_id, text_hash, n_words, n_hit, items, spans, contaminated (5 % of its words or more are hit), and near_items (those
+    with proximity matches, exact ones included) for each document row."""
+    found = search(build_index(documents), benchmark, window, near=NEAR)
     hit = found.withColumn("n_hit", covered_words(F.col("spans")))
     return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
@@ -244,4 +264,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"),
     )

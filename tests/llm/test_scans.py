@@ -62,12 +62,35 @@ def test_decontamination(spark, docs, texts, none):
     assert kept.columns == docs.columns and kept.count() == sum(x.endswith("False)") for x in want)
 
 
+def near(texts, items, slack, size=13):
+    """For each text the items with a window whose i-th word is, for some p, within `slack` of p + i for each i."""
+    for doc, text in texts:
+        at = {}
+        for i, w in enumerate(words := ALNUM.findall(lower(text))):
+            at.setdefault(w, []).append(i)
+        found = set()
+        for item, text_ in items:
+            w = ALNUM.findall(lower(text_))
+            for i in range(max(1, len(w) - size + 1)) if w and item is not None else ():
+                window = w[i : i + size]
+                if all(x in at for x in window) and any(all(any(abs(q - p - k) <= slack for q in at[x]) for k, x in enumerate(window)) for p in range(-slack, len(words) + slack)):
+                    found.add(str(item))
+        yield doc, sorted(found)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "alpha x x x beta gamma"), (4, "beta alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
     index = decontamination.build_index(docs)
     hits = lambda slack: {r.doc_id for r in decontamination.search(index, items, slack=slack).where("size(items) > 0").collect()}
-    assert hits(0) == {2} and hits(1) == {1, 2} and hits(3) == {1, 2, 3}
+    assert hits(0) == {2} and hits(1) == {1, 2} and hits(2) == {1, 2, 3}
+    rnd = random.Random(3)
+    some = lambda n: " ".join(rnd.choice("a b c d e f g h".split()) for _ in range(n))
+    texts, asked = [(i, some(rnd.randint(0, 40))) for i in range(60)], [(i, some(rnd.randint(1, 9))) for i in range(25)]
+    index = decontamination.build_index(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), segment_bytes=200)
+    got = decontamination.search(index, spark.createDataFrame(asked, "item_id long, text string"), window=5, near=2, block_bytes=120).collect()
+    assert sorted((r.doc_id, r["near_items"]) for r in got) == sorted(near(texts, asked, 2, 5))
+    assert sorted((r.doc_id, r["items"]) for r in got) == sorted(near(texts, asked, 0, 5))
 
 
 # ---------------------------------------------------------------- quality
