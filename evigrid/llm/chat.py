@@ -12,8 +12,8 @@ the driver joins these to costs before and after each border, and tasks then cho
 
 A row of the result is a turn with what is rendered for it; the pieces of a conversation in order are its rendered text.
 
-Edge cases: turns without number come first; equal numbers follow role, then text (nulls first); a null or unknown role can take any role at
-the cost of a relabel; a null text renders as empty; turns without conversation id are one conversation; an empty table gives
+Edge cases: turns without number come first; equal numbers follow role (nulls first), then xxhash64 of the text, then the text; a
+null or unknown role can take any role at the cost of a relabel; a null text renders as empty; turns without conversation id are one conversation; an empty table gives
 no rows; repeated rows are turns like others (and merge); other columns are ignored.
 """
 

@@ -12,7 +12,8 @@ doc_id ranges. Tasks write them under names of their own attempt, and only the f
 that runs twice or dies leaves nothing that is read. Files go through pyarrow.fs to the folder all executors share.
 
 The dictionary is trained on the serialized ids of at most DICTIONARY_DOCUMENTS documents, those with the smallest hashes
-of their ids, in pieces of DICTIONARY_PIECE bytes; it changes sizes only, never contents.
+of their ids (of the texts that share an id, the one with the smallest hash), of each at most DICTIONARY_PIECES pieces of
+DICTIONARY_PIECE bytes, equal ones once; it changes sizes only, never contents.
 
 Edge cases: a null or empty text holds the end id alone; rows with equal doc_id follow one another, by a hash of the text; a null doc_id
 comes first; an empty table gives an empty manifest; other columns are ignored.
@@ -39,6 +40,7 @@ from .tokens import PIECE_BYTES, encoder, vocabulary_path
 DICTIONARY_DOCUMENTS = 1500
 DICTIONARY_BYTES = 64 << 10
 DICTIONARY_PIECE = 8 << 10
+DICTIONARY_PIECES = 4
 LEVEL = 3
 END_ID = 1
 _HEAD, _TAIL = struct.Struct("<4sBB32s"), struct.Struct("<QQ")
@@ -56,27 +58,30 @@ def _open(path: str) -> tuple[FileSystem, str]:
 
 def train_dictionary(documents: DataFrame, vocabulary: str, id_bytes: int) -> bytes:
     """A zstandard dictionary from serialized ids of a bounded sample; empty if there is too little to train on."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCUMENTS)
-    wanted = np.sort(np.array([r[0] for r in chosen.collect()], np.int64))
-    sent = documents.sparkSession.sparkContext.broadcast(wanted)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    one = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCUMENTS).collect()
+    wanted = dict(map(tuple, chosen))
+    sent = documents.sparkSession.sparkContext.broadcast((np.sort(np.array(list(wanted), np.int64)), wanted))
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = sent.value
+        told: set[bytes] = set()  # of this task: at most those of the chosen documents
         for batch in common.pieces(batches, most_bytes=PIECE_BYTES):
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(sent.value, ids)
-            hit = np.flatnonzero((at < len(sent.value)) & (sent.value[np.minimum(at, max(len(sent.value) - 1, 0))] == ids)) if len(sent.value) else []
-            if len(hit):
-                some = batch.take(pa.array(hit))
-                data, counts = encoder(vocabulary).encode(some.column("text"))
+            mine = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            hashes = batch.column("text_hash").to_numpy(zero_copy_only=False)
+            hit = [i for i in np.flatnonzero(np.isin(mine, ids)).tolist() if texts[mine[i]] == hashes[i]]
+            if hit:
+                data, counts = encoder(vocabulary).encode(batch.column("text").take(pa.array(hit)))
                 raw, step = data.astype(f"<u{id_bytes}").tobytes(), np.cumsum(counts * id_bytes).tolist()
-                every = [raw[a:b] for a, b in zip([0, *step], step)]
-                parts = [x[i : i + DICTIONARY_PIECE] for x in every for i in range(0, len(x), DICTIONARY_PIECE)]
-                # A long document gives as many pieces as any: those with the smallest hashes of their bytes.
-                few = sorted(parts, key=lambda x: hashlib.sha256(x).digest())[: 4 * len(hit)]
-                yield pa.record_batch({"sample": pa.array(few, pa.binary())})
-
-    samples = [bytes(r[0]) for r in rows.mapInArrow(serialized, "sample binary").collect()]
+                new: list[bytes] = []
+                for a, b in zip([0, *step], step):
+                    parts = {raw[i : min(i + DICTIONARY_PIECE, b)] for i in range(a, b, DICTIONARY_PIECE)}
+                    new += [x for x in sorted(parts, key=lambda x: hashlib.sha256(x).digest())[:DICTIONARY_PIECES] if x not in told]
+                    told.update(new[-DICTIONARY_PIECES:])
+                yield pa.record_batch({"sample": pa.array(new, pa.binary())})
+
+    samples = [bytes(r[0]) for r in rows.mapInArrow(serialized, "sample binary").distinct().collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(samples)).as_bytes()
     except zstandard.ZstdError:  # too few samples

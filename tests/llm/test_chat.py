@@ -6,6 +6,7 @@ import random
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evigrid.llm import chat
 
@@ -66,5 +67,9 @@ def test_repair(spark):
         heads = heads[1:] if heads[0] == "system" else heads
         assert heads == ["user", "assistant"] * (len(heads) // 2) and len(heads) >= 2
     assert chat.repair(df.where("false")).count() == 0
+    # Equal numbers and roles follow the hashes of their texts.
+    ties = spark.createDataFrame([(1, 0, "user", x) for x in ("b", "a", None, "", "c", "a")], "conv_id long, turn long, role string, text string")
+    order = [r.text for r in ties.orderBy(F.xxhash64("text"), "text").collect()]
+    assert [r.piece.split("|>")[-1].strip() for r in chat.repair(ties).orderBy("place").collect()][:-1] == [x or "" for x in order][:-1]
     one = chat.conversations_rendered(chat.repair(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b")], "conv_id long, turn long, role string, text string"))).first()
     assert one.text == "<|user|>\na\nb<|end|>\n<|assistant|>\n<|end|>\n" and one.cost == chat.MERGE + chat.INSERT

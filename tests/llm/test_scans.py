@@ -1,16 +1,19 @@
 """Operators that judge each document: brute force in plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from compare import difference
 from pyspark.sql import functions as F
 
-from evigrid.llm import decontamination, licenses, pii, quality
+from evigrid.llm import common, decontamination, licenses, pii, quality
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +127,34 @@ def test_quality_base(spark, docs, texts, none):
     assert kept.schema == docs.schema and kept.count() == got.kept.sum()
 
 
+def test_quality_score_and_threshold(spark, small):
+    """Score, threshold and verdict by counting in plain Python; only the bucket of a word is the operator's own."""
+    docs, labels = pd.read_parquet(f"{small}/documents.parquet"), pd.read_parquet(f"{small}/labels.parquet")
+    fit_on, held_out = quality.trusted_ids(spark.read.parquet(f"{small}/labels.parquet"))
+    h = {}
+
+    def buckets(text):
+        words = SPACED.findall(text or "")
+        new = [w for w in dict.fromkeys(words) if w not in h]
+        if new:
+            h.update(zip(new, common.TextBlock(pa.array([" ".join(new)])).words(common.SPACED).hashes().tolist()))
+        pairs = [(h[a] * 3 + h[b]) % 2**64 for a, b in zip(words, words[1:])]
+        return [h[w] % quality.BUCKETS for w in words] + [int(x) % quality.BUCKETS for x in common.mix(np.array(pairs, np.uint64))]
+
+    grams = {int(r.doc_id): buckets(r.text) for r in docs.itertuples()}
+    raw, target = Counter(x for g in grams.values() for x in g), Counter(x for i in fit_on.tolist() for x in grams.get(i, ()))
+    n_raw, n_target = sum(raw.values()) + quality.BUCKETS, sum(target.values())
+    p = lambda x: (raw[x] + 1) / n_raw
+    ratio = {x: math.log((0.9 * target[x] / n_target + 0.1 * p(x)) / p(x)) for x in raw}
+    score = {i: sum(ratio[x] for x in g) / max(len(g), 1) for i, g in grams.items()}
+    failed = {int(r.doc_id): base(r.text)[-1] for r in docs.itertuples()}
+    least = np.quantile([score[i] for i in held_out.tolist() if i in score and not failed[i]], quality.QUANTILE) - quality.MARGIN
+    got = quality.op7(spark, small).toPandas()
+    assert all(abs(r.score - score[r.doc_id]) < 1e-9 for r in got.itertuples())
+    sure = [r for r in got.itertuples() if abs(r.score - least) > 1e-9]
+    assert len(sure) >= len(got) - 1 and all(r.kept == (not failed[r.doc_id] and score[r.doc_id] >= least) for r in sure)
+
+
 def test_quality_on_held_out_labels(spark, small):
     labels = pd.read_parquet(f"{small}/labels.parquet")
     got = quality.op7(spark, small).toPandas().merge(labels, on="doc_id")
