@@ -35,17 +35,22 @@ _WHOLE = np.zeros(256, bool)
 _WHOLE[128:] = _WHOLE[list(b"'<|")] = True
 
 
-def part_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each part, and which of the parts are long: bytes and length of short ones, a hash with the top bit of long ones."""
+#: By length, the bits of a part's first eight bytes that belong to it; none of a long one.
+_OWN_BITS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
+
+
+def part_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key for each part (bytes and length of a short one, a hash with the top bit of a long one), the long parts and their bytes."""
     lengths = ends - starts
-    padded = np.concatenate((data, np.zeros(SHORT, np.uint8)))
-    keys = lengths.astype(np.uint64) << np.uint64(56)
-    for k in range(SHORT):
-        at = np.flatnonzero(lengths > k)
-        keys[at] |= padded[starts[at] + k].astype(np.uint64) << np.uint64(8 * k)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    keys = eight[starts].view("<u8").ravel() & _OWN_BITS[np.minimum(lengths, SHORT + 1)]
+    keys |= lengths.astype(np.uint64) << np.uint64(56)
     long = np.flatnonzero(lengths > SHORT)
-    keys[long] = SpanHasher(data)(starts[long], ends[long]) | np.uint64(1 << 63)
-    return keys, long
+    sizes = lengths[long]
+    spelled = data[ragged(starts[long], sizes)]
+    ends_ = np.cumsum(sizes)
+    keys[long] = SpanHasher(spelled)(ends_ - sizes, ends_) | np.uint64(1 << 63)
+    return keys, long, spelled
 
 
 class WordEncoder:
@@ -109,7 +114,7 @@ class WordEncoder:
         cut = np.flatnonzero(inside[1:] & inside[:-1] & (kind[1:] != kind[:-1])) + 1
         cut = cut[np.searchsorted(words.starts, cut, "right") == np.searchsorted(words.starts, cut - 1, "right")]
         starts, ends = np.sort(np.concatenate((words.starts, cut))), np.sort(np.concatenate((words.ends, cut)))
-        keys, long = part_keys(data, starts, ends)
+        keys, long, spelled = part_keys(data, starts, ends)
         different, at, part = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(different) > REMEMBERED:
             self.forget()
@@ -120,8 +125,7 @@ class WordEncoder:
             new = at[~known]
             self._learn(data, starts[new], ends[new], different[~known])
             place = np.searchsorted(self.keys, different)
-        sizes = (ends - starts)[long]
-        if not np.array_equal(data[ragged(starts[long], sizes)], self.bytes[ragged(self.begins[place[part[long]]], sizes)]):
+        if not np.array_equal(spelled, self.bytes[ragged(self.begins[place[part[long]]], (ends - starts)[long])]):
             ids, counts = self._alone(column.cast(pa.string()).fill_null("").to_pylist())
             self.forget()
             return ids, counts
