@@ -7,6 +7,8 @@ no pair is compared that shares no cell. Tables have id, lat, lon.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,52 @@ def radius_join(queries: DataFrame, features: DataFrame, radius_m: float, left:
     return q.join(f, ["cy", "cx"]).withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select(left, right, "distance_m")
 
 
-def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float, factor: float = 32.0, rounds: int = 3) -> DataFrame:
+#: Cells of a level of the pyramid have 1 / SPLIT of the height and width of those above; the last ones are some 700 m high.
+SPLIT, LEVELS = 8, 6
+
+
+def _cell(lat: Column, lon: Column, level: int) -> Column:
+    """The number of the cell of a level that holds a point: rows of equal height, each with equally many columns."""
+    n = SPLIT**level
+    row = F.least(F.floor((lat + 90) / 180 * n), F.lit(n - 1)).cast("long")
+    return row * n + F.least(F.floor((F.pmod(lon + 180, F.lit(360.0))) / 360 * n), F.lit(n - 1)).cast("long")
+
+
+def _bounds(level: int) -> tuple[Column, Column]:
+    """The distance from q_lat, q_lon to the middle of `cell`, and a bound of that from the middle to any of its points."""
+    n = SPLIT**level
+    lat = (F.floor(F.col("cell") / n) + 0.5) * (180.0 / n) - 90
+    lon = (F.col("cell") % n + 0.5) * (360.0 / n) - 180
+    widest = F.cos(F.radians(F.greatest(F.abs(lat) - 90.0 / n, F.lit(0.0))))
+    reach = geo.EARTH_RADIUS_M * (F.radians(F.lit(90.0 / n)) + F.radians(F.lit(180.0 / n)) * widest)
+    return F.nanvl(geo.haversine_m(F.col("q_lat"), F.col("q_lon"), lat, lon), F.lit(math.pi * geo.EARTH_RADIUS_M)), reach
+
+
+def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:
     """query_id, feature_id, distance_m of the nearest feature at any distance; the smaller id on ties.
 
-    Radii grow by `factor`: a query with a feature within the radius is done, and only the others go on to the next one.
+    A query with a feature within the radius is done by a radius join. The others walk down a pyramid of cells that hold features:
+    at each level they keep those that can hold the nearest one, by bounds of the distance to any point of a cell, and go on to
+    their children. So a query meets the features of few small cells, however far they are and however many others there are.
     """
-    found, left = None, queries
-    for k in range(rounds):
-        pairs = radius_join(left, features, radius_m * factor**k if k < rounds - 1 else 2.1e7)  # at last, half the earth
-        best = pairs.groupBy("query_id").agg(F.min(F.struct("distance_m", "feature_id")).alias("b")).select("query_id", "b.feature_id", "b.distance_m")
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best, left.id == best.query_id, "left_anti")
-    return found
+    pairs = radius_join(queries, features, radius_m)
+    near = pairs.groupBy("query_id").agg(F.min(F.struct("distance_m", "feature_id")).alias("b")).select("query_id", "b.feature_id", "b.distance_m")
+    placed = features.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("feature_id"), "lat", "lon", _cell(F.col("lat"), F.col("lon"), LEVELS).alias("cell"))
+    left = queries.where("lat IS NOT NULL AND lon IS NOT NULL").join(near, queries.id == near.query_id, "left_anti")
+    at = left.select(F.col("id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.lit(0).cast("long").alias("up"))
+    for level in range(1, LEVELS + 1):
+        n, above = SPLIT**level, SPLIT ** (level - 1)
+        cells = placed.select(_cell(F.col("lat"), F.col("lon"), level).alias("cell")).distinct()
+        cells = cells.withColumn("up", F.floor(F.floor(F.col("cell") / n) / SPLIT) * above + F.floor(F.col("cell") % n / SPLIT))
+        if level <= 2:
+            cells = F.broadcast(cells)  # 4,096 cells at most
+        middle, reach = _bounds(level)
+        met = at.join(cells, "up").withColumn("d", middle).withColumn("reach", reach)
+        least = F.min(F.col("d") + F.col("reach")).over(Window.partitionBy("query_id"))
+        at = met.withColumn("least", least).where(F.col("d") - F.col("reach") <= F.col("least") * (1 + 1e-9) + 1e-3).select("query_id", "q_lat", "q_lon", F.col("cell").alias("up"))
+    last = at.join(placed.withColumnRenamed("cell", "up"), "up").withColumn("distance_m", geo.haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")))
+    far = last.groupBy("query_id").agg(F.min(F.struct("distance_m", "feature_id")).alias("b")).select("query_id", "b.feature_id", "b.distance_m")
+    return near.unionByName(far)
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
