@@ -18,24 +18,26 @@ def hourly(series: DataFrame, key: str) -> DataFrame:
     return series.groupBy(key, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("v").alias("v"))
 
 
-def daily_counts(events: DataFrame, key: str, first: str, last: str, condition: Column | None = None) -> DataFrame:
-    """Events of each key and day from first to last, with zeros for days without any."""
+def daily_counts(events: DataFrame, key: str, condition: Column | None = None) -> DataFrame:
+    """Events of each key and day, from the first to the last day of all events, with zeros for days without any."""
     counted = events.where(condition if condition is not None else F.lit(True)).groupBy(key, F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    calendar = events.select(key).distinct().withColumn("day", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+    span = events.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))  # one row
+    calendar = events.select(key).distinct().join(F.broadcast(span)).select(key, F.explode(F.sequence("first", "last")).alias("day"))
     return calendar.join(counted, [key, "day"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def interpolated(series: DataFrame, key: str) -> DataFrame:
-    """Hourly means without gaps: missing hours lie on the line between their neighbours."""
-    means = hourly(series, key)
-    span = means.groupBy(key).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    every = span.select(key, F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour")).join(means, [key, "hour"], "left")
-    past = Window.partitionBy(key).orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("hour").rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("v").isNotNull(), F.struct("hour", "v"))
-    lined = every.withColumn("p", F.last(known, ignorenulls=True).over(past)).withColumn("q", F.first(known, ignorenulls=True).over(ahead))
-    share = (F.unix_timestamp("hour") - F.unix_timestamp("p.hour")) / F.nullif(F.unix_timestamp("q.hour") - F.unix_timestamp("p.hour"), F.lit(0))
-    return lined.select(key, "hour", F.coalesce("v", F.col("p.v") + (F.col("q.v") - F.col("p.v")) * share).alias("v"), F.col("v").isNull().alias("filled"))
+    """Hourly means without gaps, from the first to the last known hour: missing hours lie on the line between their neighbours.
+
+    Only known hours are sorted; each fills the gap up to the next one by itself.
+    """
+    known = hourly(series, key).where("v IS NOT NULL")
+    ahead = known.withColumn("next", F.lead(F.struct("hour", "v")).over(Window.partitionBy(key).orderBy("hour")))
+    step = F.expr("interval 1 hour")
+    every = ahead.withColumnRenamed("hour", "begin").withColumn("hour", F.explode(F.sequence("begin", F.coalesce(F.col("next.hour") - step, "begin"), step)))
+    filled = F.col("hour") > F.col("begin")
+    share = (F.unix_timestamp("hour") - F.unix_timestamp("begin")) / (F.unix_timestamp("next.hour") - F.unix_timestamp("begin"))
+    return every.select(key, "hour", F.when(filled, F.col("v") + (F.col("next.v") - F.col("v")) * share).otherwise(F.col("v")).alias("v"), filled.alias("filled"))
 
 
 def sliding_windows(series: DataFrame, key: str, context: int, horizon: int, stride: int) -> DataFrame:

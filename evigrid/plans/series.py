@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import timeseries as ts
 from .tables import load, series
 
-DAYS = ("2024-01-01", "2024-01-31")
-
 
 def _events(spark, sf):
     return series(load(spark, sf, "events"))
@@ -51,20 +49,23 @@ ON v.user_id = e.user_id AND v.h = date_trunc('hour', e.ts) WHERE event_type = '
 
 def daily_zero_fill(spark, sf):
     """Flood events of each sensor and day, zeros included."""
-    out = ts.daily_counts(_events(spark, sf), "user_id", *DAYS, F.col("event_type") == "error")
+    out = ts.daily_counts(_events(spark, sf), "user_id", F.col("event_type") == "error")
     return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-_CALENDAR = "(SELECT user_id, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT user_id FROM events))"
+_LAST = "(SELECT CAST(max(ts) AS DATE) FROM events)"
+_CALENDAR = f"(SELECT user_id, CAST(unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM events), {_LAST}, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT user_id FROM events))"
 _DAILY = f"(SELECT c.user_id, c.day, count(e.event_id) AS n FROM {_CALENDAR} c LEFT JOIN events e ON e.user_id = c.user_id AND CAST(e.ts AS DATE) = c.day AND event_type = 'error' GROUP BY ALL)"
 ZERO_FILL = f"SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n FROM {_DAILY}"
 
 
 def daily_summary(spark, sf):
-    """Of each sensor's daily counts: days with events, sum, mean, best day, last week, and whether events accelerate."""
-    d = ts.daily_counts(_events(spark, sf), "user_id", *DAYS, F.col("event_type") == "error")
+    """Of each sensor's daily counts: days with events, sum, mean, best day, the last week and the one before, and whether events accelerate."""
+    e = _events(spark, sf)
+    last = F.broadcast(e.agg(F.max(F.to_date("ts")).alias("last")))  # one row
+    d = ts.daily_counts(e, "user_id", F.col("event_type") == "error").join(last).withColumn("ago", F.date_diff("last", "day"))
     best = F.max_by("day", F.struct(F.col("n"), -F.unix_date("day")))
-    recent, before = F.sum(F.when(F.col("day") > "2024-01-24", F.col("n")).otherwise(0)), F.sum(F.when(F.col("day").between("2024-01-18", "2024-01-24"), F.col("n")).otherwise(0))
+    recent, before = F.sum(F.when(F.col("ago") < 7, F.col("n")).otherwise(0)), F.sum(F.when(F.col("ago").between(7, 13), F.col("n")).otherwise(0))
     out = d.groupBy("user_id").agg(F.count_if(F.col("n") > 0).alias("days_with"), F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.date_format(best, "yyyy-MM-dd").alias("best_day"), recent.alias("recent"), before.alias("before"))
     return out.withColumn("accelerating", (F.col("before") > 0) & (F.col("recent") > 1.5 * F.col("before")))
 
@@ -72,7 +73,7 @@ def daily_summary(spark, sf):
 SUMMARY = f"""
 SELECT *, before > 0 AND recent > 1.5 * before AS accelerating FROM (
   SELECT user_id, count(*) FILTER (n > 0) AS days_with, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean, max(n) AS most, strftime(first(day ORDER BY n DESC, day), '%Y-%m-%d') AS best_day,
-  CAST(coalesce(sum(n) FILTER (day > DATE '2024-01-24'), 0) AS BIGINT) AS recent, CAST(coalesce(sum(n) FILTER (day BETWEEN DATE '2024-01-18' AND DATE '2024-01-24'), 0) AS BIGINT) AS before FROM {_DAILY} GROUP BY user_id)"""
+  CAST(coalesce(sum(n) FILTER ({_LAST} - day < 7), 0) AS BIGINT) AS recent, CAST(coalesce(sum(n) FILTER ({_LAST} - day BETWEEN 7 AND 13), 0) AS BIGINT) AS before FROM {_DAILY} GROUP BY user_id)"""
 
 
 def resample_interpolate(spark, sf):
