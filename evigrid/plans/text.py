@@ -48,7 +48,7 @@ def sentence_split(spark, sf):
     return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
-SENTENCE_SPLIT = f"SELECT doc_id, len(s) AS n, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (SELECT doc_id, {_CUT} AS s FROM documents WHERE lang = 'en')"
+SENTENCE_SPLIT = f"SELECT doc_id, len(s) AS n, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (SELECT doc_id, {_CUT} AS s FROM documents)"
 
 
 def compliance_report(spark, sf):
@@ -148,8 +148,8 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-#: Vectors of a block that is asked, and of one that is searched.
-ASKED, SEARCHED = 256, 1024
+#: Vectors of a block that is asked, and of one that is searched; one vector in EVERY is a query.
+ASKED, SEARCHED, EVERY = 256, 1024, 20
 
 
 def _blocks(vectors, size: int, prefix: str):
@@ -195,7 +195,7 @@ def similar(spark, sf, every: int, keep: int):
 
 def embedding_topk(spark, sf):
     """Dense retrieval: of the 15 most similar vectors those of score 0.05 or more, the best of each label, 5 at most."""
-    cut = similar(spark, sf, 50, 15).where("score >= 0.05")
+    cut = similar(spark, sf, EVERY, 15).where("score >= 0.05")
     one = aggregates.first_seen(cut, ["query", "label"], F.col("place"))
     return spatial.top_n(one, ["query"], [F.col("place")], 5).select("query", "vec_id", "label", "rank", F.round("score", 6).alias("score"))
 
@@ -203,7 +203,7 @@ def embedding_topk(spark, sf):
 _COSINE = "round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 9)"
 _SIMILAR = f"""
 WITH v AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query, v.vec_id, v.label, {_COSINE} AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
+s AS (SELECT q.vec_id AS query, v.vec_id, v.label, {_COSINE} AS score FROM v q JOIN v ON q.vec_id % {EVERY} = 0 AND q.vec_id <> v.vec_id)"""
 TOPK = f"""{_SIMILAR}, c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= 15),
 o AS (SELECT * FROM c WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY place) = 1)
 SELECT query, vec_id, label, row_number() OVER (PARTITION BY query ORDER BY place) AS rank, round(score, 6) AS score FROM o QUALIFY rank <= 5"""
@@ -212,7 +212,7 @@ SELECT query, vec_id, label, row_number() OVER (PARTITION BY query ORDER BY plac
 def rerank(spark, sf):
     """Candidates by similarity (25, of score 0.05 or more), reordered by a second score, the best of each label, 5 at most."""
     second = (F.col("vec_id") * 37 + F.col("query") * 11) % 101
-    cut = similar(spark, sf, 50, 25).where("score >= 0.05").withColumn("second", second)
+    cut = similar(spark, sf, EVERY, 25).where("score >= 0.05").withColumn("second", second)
     one = aggregates.first_seen(cut, ["query", "label"], F.struct(-F.col("second"), F.col("place")))
     return spatial.top_n(one, ["query"], [F.desc("second"), F.col("place")], 5).select("query", "vec_id", "label", "second", "rank")
 
