@@ -49,8 +49,9 @@ SELECT CASE WHEN r IS NULL THEN 'no reading' WHEN r > 0.5 THEN 'above' WHEN r <
 
 
 def weather_narrative(spark, sf):
-    """The first precipitation available of one, three and six hours (events of three kinds), by user."""
-    e = load(spark, sf, "events").where("day(ts) = 5")
+    """The first precipitation available of one, three and six hours (events of three kinds), on each user's last day."""
+    every = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    e = every.join(every.groupBy("user_id").agg(F.max("day").alias("day")), ["user_id", "day"])
     wide = e.groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in ("signup", "purchase", "view")])
     pick = lambda k, h: F.when(F.col(k).isNotNull(), F.concat(F.col(k).cast("string"), F.lit(f" mm in {h} h")))
     return wide.select("user_id", F.coalesce(pick("signup", 1), pick("purchase", 3), pick("view", 6), F.lit("no rain gauge")).alias("line"))
@@ -58,7 +59,7 @@ def weather_narrative(spark, sf):
 
 WEATHER = """
 SELECT user_id, coalesce(CASE WHEN s IS NOT NULL THEN s || ' mm in 1 h' END, CASE WHEN p IS NOT NULL THEN p || ' mm in 3 h' END, CASE WHEN v IS NOT NULL THEN v || ' mm in 6 h' END, 'no rain gauge') AS line FROM (
-  SELECT user_id, max(value) FILTER (event_type = 'signup') AS s, max(value) FILTER (event_type = 'purchase') AS p, max(value) FILTER (event_type = 'view') AS v FROM events WHERE day(ts) = 5 GROUP BY user_id)"""
+  SELECT user_id, max(value) FILTER (event_type = 'signup') AS s, max(value) FILTER (event_type = 'purchase') AS p, max(value) FILTER (event_type = 'view') AS v FROM events JOIN (SELECT user_id, max(CAST(ts AS DATE)) AS d FROM events GROUP BY user_id) USING (user_id) WHERE CAST(ts AS DATE) = d GROUP BY user_id)"""
 
 
 def framing_score(spark, sf):

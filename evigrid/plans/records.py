@@ -217,7 +217,8 @@ def alert_narrative(spark, sf):
 
 
 ALERTS = """
-WITH k AS (SELECT user_id, list(event_type ORDER BY event_id) AS a FROM events WHERE event_type <> 'view' AND day(ts) = 20 GROUP BY user_id)
+WITH d AS (SELECT user_id, max(CAST(ts AS DATE)) AS d FROM events GROUP BY user_id),
+k AS (SELECT user_id, list(event_type ORDER BY event_id) AS a FROM events JOIN d USING (user_id) WHERE event_type <> 'view' AND CAST(ts AS DATE) = d GROUP BY user_id)
 SELECT user_id, CASE WHEN a IS NULL THEN 'no alert' WHEN len(a) = 1 THEN 'alert: ' || a[1] ELSE len(a) || ' alerts: ' || array_to_string(a[1:3], ', ') || CASE WHEN len(a) > 3 THEN ', ...' ELSE '' END END AS line
 FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN k USING (user_id)"""
 
