@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .text import TRIVIAL
 
@@ -48,6 +49,11 @@ def uncited_spans(text: str | None) -> list[str]:
     return bare
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def uncited(texts: pd.Series) -> pd.Series:
-    return texts.map(uncited_spans)
+def with_uncited(rows: DataFrame, column: str = "text", name: str = "uncited") -> DataFrame:
+    """The rows with the uncited spans of a text column."""
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(**{name: frame[column].map(uncited_spans)})
+
+    return rows.mapInPandas(search, StructType([*rows.schema.fields, StructField(name, ArrayType(StringType()))]))

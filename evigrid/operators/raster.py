@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,19 +78,74 @@ def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplified(ring: Column, tolerance: float) -> Column:
-    """A ring of struct(x, y) without points that lie within the tolerance of the line between those that stay."""
+def simplified(rows: DataFrame, ring: str, tolerance: float) -> DataFrame:
+    """The rows with the rings of a column (struct(x, y)) thinned: points within the tolerance of the line between those that stay go."""
 
-    @F.pandas_udf("array<struct<x:double,y:double>>")
-    def thin(rings: pd.Series) -> pd.Series:
-        out = []
-        for points in rings:
-            if points is None or len(points) < 4:
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for points in frame[ring]:
+                if points is not None and len(points) >= 4:
+                    keep = _kept(np.array([p["x"] for p in points]), np.array([p["y"] for p in points]), tolerance)
+                    points = [p for p, stays in zip(points, keep) if stays]
                 out.append(points)
-                continue
-            x, y = np.array([p["x"] for p in points]), np.array([p["y"] for p in points])
-            keep = _kept(x, y, tolerance)
-            out.append([{"x": float(a), "y": float(b)} for a, b in zip(x[keep], y[keep])])
-        return pd.Series(out)
-
-    return thin(ring)
+            yield frame.assign(**{ring: out})
+
+    return rows.mapInPandas(thin, rows.schema)
+
+
+def traced(inside: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The rings around the set cells of a grid, by corners (row, col): outer ones clockwise, holes the other way."""
+    padded = np.pad(inside, 1)
+    ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    # A side lies between a set cell and one that is not; it is walked with the set cell on its right.
+    for (dr, dc), (a, b) in {(-1, 0): ((0, 0), (0, 1)), (0, 1): ((0, 1), (1, 1)), (1, 0): ((1, 1), (1, 0)), (0, -1): ((1, 0), (0, 0))}.items():
+        open_ = inside & ~padded[1 + dr : 1 + dr + inside.shape[0], 1 + dc : 1 + dc + inside.shape[1]]
+        for r, c in np.argwhere(open_).tolist():
+            ahead.setdefault((r + a[0], c + a[1]), []).append((r + b[0], c + b[1]))
+    rings = []
+    while ahead:
+        start = at = min(ahead)
+        ring, step = [start], (0, 0)
+        while True:
+            choices = ahead[at]
+            # Where two cells touch at a corner, turn right: areas are joined by sides only.
+            right = (at[0] + step[1], at[1] - step[0])
+            to = right if right in choices else choices[0]
+            choices.remove(to)
+            if not choices:
+                del ahead[at]
+            new = (to[0] - at[0], to[1] - at[1])
+            if new == step:
+                ring[-1] = to
+            else:
+                ring.append(to)
+            at, step = to, new
+            if at == start:
+                break
+        rings.append(ring)
+    return rings
+
+
+def outlines(tiles: DataFrame, size: int, drop: tuple[int, ...] = (0,), least: int = 1) -> DataFrame:
+    """Polygons of a raster of classes: tile_row, tile_col, class, cells and rings (corners x: column, y: row) of each 4-connected
+    area of one class within a tile, but for dropped classes and areas of fewer than `least` cells."""
+    schema = "tile_row long, tile_col long, class long, cells long, rings array<array<struct<x:long,y:long>>>"
+
+    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for tile in frame.itertuples(index=False):
+                grid = np.full(size * size, drop[0] if drop else -1, np.int64)
+                known = [c for c in tile.cells if c["value"] is not None]
+                grid[[c["place"] for c in known]] = [int(c["value"]) for c in known]
+                grid = grid.reshape(size, size)
+                for value in np.setdiff1d(np.unique(grid), drop).tolist():
+                    label = labelled(grid == value)
+                    for number, n in zip(*np.unique(label[label > 0], return_counts=True)):
+                        if n >= least:
+                            rings = [[{"x": tile.tile_col * size + c, "y": tile.tile_row * size + r} for r, c in ring] for ring in traced(label == number)]
+                            rows.append((tile.tile_row, tile.tile_col, value, int(n), rings))
+            yield pd.DataFrame(rows, columns=["tile_row", "tile_col", "class", "cells", "rings"])
+
+    return tiles.mapInPandas(trace, schema)

@@ -387,8 +387,8 @@ def claim_citations(spark, sf):
     """Spans of each text with a figure but no citation: sentences, or whole lines of a list."""
     k = F.col("c_custkey")
     at = lambda i: F.get(F.array(*[F.lit(c) for c in _CLAIMS]), ((k * (i + 2) + i * i) % len(_CLAIMS)).cast("int"))
-    c = load(spark, sf, "customer").select(k.alias("id"), citations.uncited(F.concat_ws("\n", *[at(i) for i in range(3)])).alias("u"))
-    return c.select("id", F.size("u").cast("long").alias("n"), F.array_join("u", "|").alias("uncited"))
+    texts = load(spark, sf, "customer").select(k.alias("id"), F.concat_ws("\n", *[at(i) for i in range(3)]).alias("text"))
+    return citations.with_uncited(texts).select("id", F.size("uncited").cast("long").alias("n"), F.array_join("uncited", "|").alias("uncited"))
 
 
 _CLAIM = lambda i: f"CASE CAST((c_custkey * {i + 2} + {i * i}) % {len(_CLAIMS)} AS BIGINT) WHEN 0 THEN 'There were 63 service requests within 300 m of the address.' WHEN 4 THEN '- 20 Coffey St. new building, permit issued 2025.' END"

@@ -33,4 +33,25 @@ m AS (SELECT g.r, g.c, """ + ", ".join(f"avg(n.v) FILTER (greatest(abs(n.r - g.r
   FROM g JOIN g n ON g.v IS NULL AND n.v IS NOT NULL AND abs(n.r - g.r) <= 5 AND abs(n.c - g.c) <= 5 GROUP BY ALL)
 SELECT g.r AS row, round(sum(coalesce(v, m1, m2, m3, m4, m5)), 6) AS total, count(coalesce(v, m1, m2, m3, m4, m5)) AS n FROM g LEFT JOIN m ON m.r = g.r AND m.c = g.c GROUP BY g.r"""
 
-QUERIES = {"built_coverage": (built_coverage, BUILT), "filled_gaps": (filled_gaps, FILLED)}
+
+
+def class_polygons(spark, sf):
+    """Rasters of classes of two scenes as polygons, put together: areas of each tile and class, their size and the length of their sides."""
+    scene = lambda k: spark.range(60 * 60).selectExpr("id DIV 60 AS row", "id % 60 AS col", f"CAST((id DIV 3 * 31 + id DIV 180 * {k}) % 4 AS DOUBLE) AS value")
+    both = [raster.outlines(raster.tiled(scene(k), 20), 20).withColumn("scene", F.lit(k).cast("long")) for k in (17, 23)]
+    side = lambda ring: F.zip_with(ring, F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct((a.x * b.y - b.x * a.y).alias("cross"), (F.abs(a.x - b.x) + F.abs(a.y - b.y)).alias("length")))
+    sides = F.flatten(F.transform("rings", side))
+    total = lambda f: F.aggregate(sides, F.lit(0).cast("long"), lambda s, e: s + F.coalesce(e[f], F.lit(0).cast("long")))
+    p = both[0].unionByName(both[1]).withColumn("area", total("cross") / 2).withColumn("length", total("length"))
+    return p.groupBy("scene", "tile_row", "tile_col", "class").agg(F.sum("cells").alias("cells"), F.sum("area").cast("long").alias("area"), F.sum("length").alias("sides"), F.max("cells").alias("largest"))
+
+
+#: The cells of a class, their sides towards others or the edge of the tile, and the largest of their areas.
+CLASS_POLYGONS = """
+WITH RECURSIVE s AS (SELECT unnest([17, 23]) AS scene), c AS (SELECT scene, range AS id, range // 60 AS r, range % 60 AS c, (range // 3 * 31 + range // 180 * scene) % 4 AS v FROM s, range(3600)),
+n AS (SELECT a.scene, a.id, count(*) AS met FROM c a JOIN c b ON a.scene = b.scene AND a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.r // 20 = b.r // 20 AND a.c // 20 = b.c // 20 GROUP BY ALL),
+reach(scene, id, other, r, c, v) AS (SELECT scene, id, id, r, c, v FROM c WHERE v > 0 UNION SELECT x.scene, x.id, y.id, y.r, y.c, y.v FROM reach x JOIN c y ON x.scene = y.scene AND x.v = y.v AND abs(x.r - y.r) + abs(x.c - y.c) = 1 AND x.r // 20 = y.r // 20 AND x.c // 20 = y.c // 20),
+z AS (SELECT scene, id, count(*) AS size FROM reach GROUP BY ALL)
+SELECT CAST(scene AS BIGINT) AS scene, r // 20 AS tile_row, c // 20 AS tile_col, v AS class, count(*) AS cells, count(*) AS area, CAST(sum(4 - coalesce(met, 0)) AS BIGINT) AS sides, max(size) AS largest FROM c LEFT JOIN n USING (scene, id) JOIN z USING (scene, id) WHERE v > 0 GROUP BY ALL"""
+
+QUERIES = {"class_polygons": (class_polygons, CLASS_POLYGONS), "built_coverage": (built_coverage, BUILT), "filled_gaps": (filled_gaps, FILLED)}

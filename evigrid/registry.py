@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import briefings, config, narratives, rasters, records, register, series, spatial, summaries, text
+from .plans import briefings, config, narratives, rasters, records, register, roundtrips, series, spatial, streams, summaries, text
 
 FLAGSHIP = "ranked_register"
-_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES | text.QUERIES | config.QUERIES | records.QUERIES | rasters.QUERIES | narratives.QUERIES | briefings.QUERIES
+_ALL = register.QUERIES | spatial.QUERIES | summaries.QUERIES | series.QUERIES | text.QUERIES | config.QUERIES | records.QUERIES | rasters.QUERIES | narratives.QUERIES | briefings.QUERIES | roundtrips.QUERIES | streams.QUERIES
 
 
 def queries() -> dict[str, Callable]:

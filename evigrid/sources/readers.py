@@ -15,7 +15,18 @@ def geojson(spark: SparkSession, path: str, properties: list[str] | None = None)
     """ord, kind, lat, lon (points), rings (polygons, of struct x, y), properties (a map, or the listed columns) of each feature."""
     schema = "type string, features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
     whole = spark.read.option("multiLine", True).schema(schema).json(path)
-    rows = whole.select(F.posexplode("features").alias("ord", "f")).select("ord", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"), F.col("f.properties").alias("properties"))
+    return _features(whole.select(F.posexplode("features").alias("ord", "f")), properties)
+
+
+def geojson_lines(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
+    """As geojson, from files with a feature on each line, which any number of tasks can read; ord is null."""
+    schema = "type string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
+    lines = spark.read.schema(schema).json(path)
+    return _features(lines.select(F.lit(None).cast("int").alias("ord"), F.struct("geometry", "properties").alias("f")), properties)
+
+
+def _features(features: DataFrame, properties: list[str] | None) -> DataFrame:
+    rows = features.select("ord", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"), F.col("f.properties").alias("properties"))
     at = F.from_json("c", "array<double>")
     polygon = F.when(F.col("kind") == "Polygon", F.from_json("c", _RING)).when(F.col("kind") == "MultiPolygon", F.flatten(F.from_json("c", f"array<{_RING}>")))
     rings = F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))

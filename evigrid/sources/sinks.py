@@ -22,6 +22,12 @@ def feature_lines(points: DataFrame, path: str, properties: list[str]) -> None:
     points.select(feature(F.col("lat"), F.col("lon"), properties).alias("value")).write.mode("overwrite").text(path)
 
 
+def feature_collections(points: DataFrame, by: list[str], properties: list[str]) -> DataFrame:
+    """A GeoJSON FeatureCollection as text for each group, such as a tile of a map, whose points one answer can hold."""
+    listed = points.groupBy(*by).agg(F.array_sort(F.collect_list(feature(F.col("lat"), F.col("lon"), properties))).alias("features"))
+    return listed.select(*by, F.size("features").cast("long").alias("n"), F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("features", ","), F.lit("]}")).alias("collection"))
+
+
 def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -173,7 +173,7 @@ def test_raster_areas_and_outlines(spark):
             assert len(names) == 1 and not names & set(seen)
             seen[names.pop()] = group
     line = [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (2.0, 1.0), (2.01, 2.0), (0.0, 2.0), (0.0, 0.0)]
-    got = spark.createDataFrame([(line,)], "ring array<struct<x:double,y:double>>").select(raster.simplified(F.col("ring"), 0.1).alias("r")).first().r
+    got = spark.createDataFrame([(line,)], "ring array<struct<x:double,y:double>>").transform(raster.simplified, "ring", 0.1).first().ring
     assert [(p.x, p.y) for p in got] == [(0.0, 0.0), (2.0, 0.0), (2.01, 2.0), (0.0, 2.0), (0.0, 0.0)]
 
 
