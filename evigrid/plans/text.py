@@ -80,6 +80,14 @@ _FAILED = "list_sort(list_filter([" + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}'
 COMPLIANCE = f"SELECT id, array_to_string(f, ',') AS failed, len(f) = 0 AS passed FROM (SELECT id, {_FAILED} AS f FROM {BRIEFINGS})"
 
 
+def document_compliance(spark, sf):
+    """Which rules each whole document breaks, how many figures it has, and what it cites."""
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    checks = [(r.name, t.passes(r, F.col("text"))) for r in t.RULES] + [("hundred_year_clarified", t.hundred_year_clarified(F.col("text")))]
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
+    return d.select("doc_id", F.array_join(F.array_sort(failed), ",").alias("failed"), F.size(t.numbers(F.col("text"))).cast("long").alias("numbers"), F.array_join(t.cited_ids(F.col("text")), ",").alias("cited"))
+
+
 def rule_totals(spark, sf):
     """How many briefings each rule fails, and how many sentences break it."""
     b = _briefings(spark, sf)
@@ -102,6 +110,13 @@ _HAS = f"(contains('{SOURCES}', n) OR contains('{SOURCES}', replace(n, ',', ''))
 GROUNDING = f"SELECT id, array_to_string(b, ';') AS invented, len(b) = 0 AS grounded FROM (SELECT id, list_filter({_NUMBERS}, lambda n: NOT {_HAS}) AS b FROM {BRIEFINGS})"
 
 
+_DOC_CHECKS = {n: c for n, c in _CHECKS.items() if n != "gap_disclosed"}
+_DOC_FAILED = "list_sort(list_filter([" + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in _DOC_CHECKS.items()) + "], lambda x: x IS NOT NULL))"
+DOC_COMPLIANCE = rf"""
+SELECT doc_id, array_to_string({_DOC_FAILED}, ',') AS failed, len({_NUMBERS}) AS numbers, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ',') AS cited
+FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '\[([a-z][a-z0-9_]*)\]', 1) AS c FROM documents)"""
+
+
 def ungrounded_drop(spark, sf):
     """The briefings without sentences that hold invented numbers."""
     kept = F.filter(t.sentences(F.col("text")), lambda s: F.size(t.invented_numbers(s, F.lit(SOURCES))) == 0)
@@ -301,7 +316,7 @@ SELECT id, array_to_string(list_sort(list_filter(f, lambda x: NOT list_contains(
 FROM (SELECT id, list_distinct(regexp_extract_all(text, '\[([a-z][a-z0-9_]*)\]', 1)) AS f, CASE WHEN id % 2 = 0 THEN ['hwm', 'slr'] ELSE ['pop'] END AS l FROM {BRIEFINGS})"""
 
 QUERIES = {
-    "sentence_split": (sentence_split, SENTENCE_SPLIT), "compliance_report": (compliance_report, COMPLIANCE), "rule_totals": (rule_totals, RULE_TOTALS), "numeric_grounding": (numeric_grounding, GROUNDING),
+    "sentence_split": (sentence_split, SENTENCE_SPLIT), "compliance_report": (compliance_report, COMPLIANCE), "rule_totals": (rule_totals, RULE_TOTALS), "document_compliance": (document_compliance, DOC_COMPLIANCE), "numeric_grounding": (numeric_grounding, GROUNDING),
     "ungrounded_drop": (ungrounded_drop, UNGROUNDED), "citations_resolve": (citations_resolve, CITATIONS), "citation_lookup": (citation_lookup, LOOKUP), "chunk_documents": (chunk_documents, None),
     "embedding_topk_one_per_doc": (embedding_topk, TOPK), "rerank": (rerank, RERANK), "entity_regex_dedupe": (entities, ENTITY), "address_extract": (address_extract, None),
     "intent_classify": (intent_classify, INTENT), "framing_classify": (framing_classify, FRAMING), "place_resolve": (place_resolve, PLACES), "event_leak": (event_leak, LEAK),

@@ -4,11 +4,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigrid.functions import geo, scoring, text
-from evigrid.operators import aggregates, spatial
+from evigrid.functions import citations, geo, scoring, text
+from evigrid.operators import aggregates, raster, spatial, timeseries
 from evigrid.plans import records
 from evigrid.plans import text as text_plans
 from evigrid.sources import manifests, readers, sinks
@@ -220,3 +221,49 @@ def test_alerts_of_the_last_day_of_each_user(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: r.line for r in records.alert_narrative(spark, str(tmp_path)).collect()}
     assert got == {1: "alert: flood", 2: "no alert", 3: "4 alerts: k0, k1, k2, ...", 4: "alert: new", 5: "no alert"}
+
+
+def test_claims_without_citation():
+    both = "- 20 Coffey St. new building. [permits].\nThe majority of projects fall within the zone and involve 63 total permits."
+    cases = {
+        "There were **63** requests within 300 m of the address.": ["There were 63 requests within 300 m of the address."],
+        "There were **63** requests [albany_311] within **300 m** of it.": [],
+        "Projects stand at 62 Imlay St, 570 Smith St and 206 Van Brunt Street.": [],
+        "- **20 Coffey St (BBL 3-00589-0003).** new building, issued 11/26/2025; class: 3. [permits]": [],
+        "- **20 Coffey St.** new building, issued 2025.": ["- 20 Coffey St. new building, issued 2025."],
+        both: ["The majority of projects fall within the zone and involve 63 total permits."],
+        "Three of 10 sites. Of 40 sites two.": ["Of 40 sites two."],
+        "": [],
+    }
+    assert {k: citations.uncited_spans(k) for k in cases} == cases
+    assert citations.uncited_spans(None) == []
+
+
+def test_nearest_at_any_distance(spark):
+    rnd = random.Random(5)
+    features = [(i, 40.7 + rnd.gauss(0, 0.01), -74 + rnd.gauss(0, 0.01)) for i in range(200)] + [(200, -33.9, 179.99), (201, 89.9, 10.0)]
+    queries = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(60)] + [(60, -33.9, -179.99), (61, None, 1.0), (62, 90.0, 180.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double")
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(min(h, 1)))
+
+    got = {x.query_id: x.feature_id for x in spatial.nearest_any(frame(queries), frame(features), 500.0).collect()}
+    assert got == {p[0]: min(features, key=lambda q: (metres(p, q), q[0]))[0] for p in queries if p[1] is not None}
+    assert spatial.nearest_any(frame(queries), frame([]), 500.0).count() == 0
+
+
+def test_traced_rings():
+    grid = np.array([[1, 1, 1, 0], [1, 0, 1, 0], [1, 1, 1, 0], [0, 0, 0, 1]], bool)
+    rings = raster.traced(raster.labelled(grid) == raster.labelled(grid)[0, 0])
+    area = lambda ring: sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:])) / 2
+    assert sorted(map(area, rings)) == [-1, 9]
+    assert all(r[0] == r[-1] for r in rings)
+
+
+def test_interpolation_is_by_known_hours(spark):
+    rows = [(1, "2024-01-01 00:10:00", 2.0), (1, "2024-01-01 00:50:00", 4.0), (1, "2024-01-01 03:00:00", 9.0), (1, "2024-01-01 02:00:00", None), (2, "2024-01-01 05:00:00", 1.0), (3, "2024-01-01 05:00:00", None)]
+    frame = spark.createDataFrame(rows, "k long, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    got = [(x.k, x.hour.hour, x.v, x.filled) for x in timeseries.interpolated(frame, "k").orderBy("k", "hour").collect()]
+    assert got == [(1, 0, 3.0, False), (1, 1, 5.0, True), (1, 2, 7.0, True), (1, 3, 9.0, False), (2, 5, 1.0, False)]
