@@ -28,21 +28,40 @@ from . import common
 
 #: phrase: label, of the fixed rules.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label: opening statements of licenses, and short notices.
+#: label: sentences of license texts and their notices. Where versions differ in a number only, the label is that of the family.
 TEMPLATES = {
     "agpl-3.0": ["gnu affero general public license version 3"],
-    "apache-2.0": ["licensed under the apache license version 2 0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0", "you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ],
     "cc-by-4.0": ["licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4 0"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4 0"],
+    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "gpl-3.0": ["licensed under the gnu general public license version 3"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ],
+    "mit": [
+        "released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
     "reserved": ["all rights reserved"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-}
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
+}
 THRESHOLD = 0.9
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
