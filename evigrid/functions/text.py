@@ -73,19 +73,35 @@ def contains_any(text: Column, phrases) -> Column:
     return out
 
 
+def breaks(rule: Rule, low: Column) -> Column:
+    """Whether a sentence, in lower case, breaks a rule."""
+    out = low.rlike(rule.bad)
+    if rule.bad_any:
+        out = out & contains_any(low, rule.bad_any)
+    for pattern in rule.unless:
+        out = out & ~low.rlike(pattern)
+    return out & ~contains_any(low, rule.unless_any) if rule.unless_any else out
+
+
 def failed_sentences(rule: Rule, text: Column) -> Column:
     """The sentences that break a rule."""
+    return F.filter(sentences(text), lambda s: breaks(rule, F.lower(s)))
+
+
+def failed_rules(rules: list[Rule], text: Column) -> Column:
+    """The names of the rules that a text breaks, in one pass over its sentences."""
+    by_sentence = [r for r in rules if r.bad]
 
-    def breaks(s: Column) -> Column:
-        low = F.lower(s)
-        out = low.rlike(rule.bad)
-        if rule.bad_any:
-            out = out & contains_any(low, rule.bad_any)
-        for pattern in rule.unless:
-            out = out & ~low.rlike(pattern)
-        return out & ~contains_any(low, rule.unless_any) if rule.unless_any else out
+    def add(state: Column, low: Column) -> Column:
+        out = state
+        for i, rule in enumerate(by_sentence):
+            out = out.bitwiseOR(F.when(breaks(rule, low), F.lit(1 << i)).otherwise(F.lit(0)))
+        return out
 
-    return F.filter(sentences(text), breaks)
+    named = lambda mask: F.array_compact(F.array(*[F.when(mask.bitwiseAND(1 << i) != 0, F.lit(r.name)) for i, r in enumerate(by_sentence)]))
+    found = F.aggregate(sentences(F.lower(text)), F.lit(0), add, named)
+    whole = F.array_compact(F.array(*[F.when(~passes(r, text), F.lit(r.name)) for r in rules if r.need_any]))
+    return F.array_union(found, whole)
 
 
 def passes(rule: Rule, text: Column) -> Column:

@@ -83,8 +83,7 @@ COMPLIANCE = f"SELECT id, array_to_string(f, ',') AS failed, len(f) = 0 AS passe
 def document_compliance(spark, sf):
     """Which rules each whole document breaks, how many figures it has, and what it cites."""
     d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    checks = [(r.name, t.passes(r, F.col("text"))) for r in t.RULES] + [("hundred_year_clarified", t.hundred_year_clarified(F.col("text")))]
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
+    failed = F.array_union(t.failed_rules(t.RULES, F.col("text")), F.array_compact(F.array(F.when(~t.hundred_year_clarified(F.col("text")), F.lit("hundred_year_clarified")))))
     return d.select("doc_id", F.array_join(F.array_sort(failed), ",").alias("failed"), F.size(t.numbers(F.col("text"))).cast("long").alias("numbers"), F.array_join(t.cited_ids(F.col("text")), ",").alias("cited"))
 
 
