@@ -20,8 +20,10 @@ def top_counts(df: DataFrame, by: list[str], value: Column, order: Column, n: in
     """The n most frequent values of each group; missing and empty ones are "?"; ties go to the value seen first."""
     name = F.when(F.trim(value) == "", None).otherwise(F.trim(value))
     counted = df.withColumn("value", F.coalesce(name, F.lit("?"))).groupBy(*by, "value").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counted.withColumn("rank", F.row_number().over(window.orderBy(F.desc("n"), "_first")).cast("long"))
+    if not by:  # each task keeps its first n, so that few rows are ranked in one
+        counted = counted.orderBy(F.desc("n"), "_first").limit(n)
+    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("n"), "_first")
+    ranked = counted.withColumn("rank", F.row_number().over(window).cast("long"))
     return ranked.where(F.col("rank") <= n).drop("_first")
 
 

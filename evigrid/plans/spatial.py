@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import aggregates, spatial
-from .tables import BOXES_SQL, CONUS, REGIONS, STATIONS, boxes, haversine_sql, load, points, points_sql
+from .tables import BOXES_SQL, CONUS, LAKES, REGIONS, SURGE, TIDES, WEATHER, boxes, haversine_sql, load, points, points_sql
 
 R = 5000.0
 ASSETS, HAZARDS = points_sql("customer", "c_custkey"), points_sql("supplier", "s_suppkey", 50000, "s_acctbal")
@@ -76,15 +76,22 @@ SELECT query_id, count(*) AS n_box, count(*) FILTER (m <= {R}) AS n_within, coun
   WHERE a.lat BETWEEN q.lat - {_DLAT} AND q.lat + {_DLAT} AND a.lon BETWEEN q.lon - {_DLON} AND q.lon + {_DLON}) WHERE k <= 20 GROUP BY query_id"""
 
 
+_LISTS = {"tide": TIDES, "weather": WEATHER, "surge": SURGE}
+
+
 def nearest_station(spark, sf):
-    """The nearest tide station of each asset."""
-    return spatial.nearest(_assets(spark, sf), STATIONS).select("query_id", "station", F.round("distance_km", 1).alias("distance_km"))
+    """The nearest station of each list for places all over the country, and the datum of the tide gauge."""
+    places = _spread(spark, sf).where("lat IS NOT NULL")
+    out = places.select(F.col("id").alias("query_id"))
+    for name, stations in _LISTS.items():
+        out = out.join(spatial.nearest(places, stations).select("query_id", F.col("station").alias(name), F.round("distance_km", 1).alias(f"{name}_km")), "query_id")
+    return out.withColumn("datum", F.when(F.col("tide").isin(LAKES), "IGLD").otherwise("MLLW"))
 
 
-_STATIONS = "(VALUES " + ", ".join(f"({i}, '{n}', CAST({a} AS DOUBLE), CAST({o} AS DOUBLE))" for i, (n, a, o) in enumerate(STATIONS)) + ") s(ord, station, lat, lon)"
-NEAREST_STATION = f"""
-SELECT query_id, station, round(m / 1000, 1) AS distance_km FROM (
-  SELECT a.id AS query_id, station, {haversine_sql("a", "s")} AS m, row_number() OVER (PARTITION BY a.id ORDER BY {haversine_sql("a", "s")}, ord) AS k FROM {ASSETS} a, {_STATIONS}) WHERE k = 1"""
+def _nearest_sql(name: str, stations: list[tuple]) -> str:
+    listed = "(VALUES " + ", ".join(f"({i}, '{n}', CAST({a} AS DOUBLE), CAST({o} AS DOUBLE))" for i, (n, a, o) in enumerate(stations)) + ") s(ord, station, lat, lon)"
+    return f"""(SELECT a.id AS query_id, station AS {name}, round({haversine_sql("a", "s")} / 1000, 1) AS {name}_km FROM {_SPREAD} a, {listed} WHERE a.lat IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {haversine_sql("a", "s")}, ord) = 1)"""
 
 
 def register_nearest_n(spark, sf):
@@ -107,6 +114,7 @@ def _spread(spark, sf):
 
 
 _SPREAD = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 17 <> 0 THEN CAST(24 AS DOUBLE) + CAST(c_custkey * 7919 % 2600 AS DOUBLE) / CAST(100 AS DOUBLE) END AS lat, CAST(-126 AS DOUBLE) + CAST(c_custkey * 104729 % 6000 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon FROM customer)"
+NEAREST_STATION = f"SELECT *, CASE WHEN tide = '9087044' THEN 'IGLD' ELSE 'MLLW' END AS datum FROM {' JOIN '.join(_nearest_sql(n, x) + (' USING (query_id)' if i else '') for i, (n, x) in enumerate(_LISTS.items()))}"
 _WIDE = [(n, a - 4, b - 4, c + 4, d + 4) for n, a, b, c, d in REGIONS]
 
 

@@ -11,8 +11,19 @@ REGIONS = [
     ("nyc", -74.30, 40.49, -73.69, 40.92), ("seattle", -122.46, 47.49, -122.22, 47.74), ("sf", -122.52, 37.70, -122.35, 37.84),
 ]
 CONUS = (-125.0, 24.5, -66.9, 49.4)
-# Public tide stations as (name, lat, lon).
-STATIONS = [("battery", 40.7006, -74.0142), ("kings_point", 40.8103, -73.7649), ("sandy_hook", 40.4669, -74.0094), ("bergen_point", 40.6391, -74.1463), ("montauk", 41.0483, -71.9594)]
+# Public stations as (id, lat, lon): tide gauges, weather stations, and the gauges that surges are forecast at.
+TIDES = [
+    ("8518750", 40.7006, -74.0142), ("8516945", 40.8103, -73.7649), ("8531680", 40.4669, -74.0094), ("8518995", 42.6469, -73.7464), ("8518962", 41.7569, -73.9433), ("8519483", 41.3845, -73.9536),
+    ("8443970", 42.3548, -71.0534), ("9414290", 37.8063, -122.4659), ("9414750", 37.7717, -122.3000), ("9447130", 47.6026, -122.3392), ("9087044", 41.7300, -87.5383),
+]
+WEATHER = [
+    ("KNYC", 40.7794, -73.9692), ("KLGA", 40.7794, -73.8800), ("KJFK", 40.6413, -73.7781), ("KEWR", 40.6925, -74.1687), ("KFRG", 40.7288, -73.4134), ("KHPN", 41.0670, -73.7076), ("KSWF", 41.5042, -74.1048),
+    ("KPOU", 41.6262, -73.8842), ("KALB", 42.7475, -73.8025), ("KBOS", 42.3606, -71.0097), ("KBED", 42.4699, -71.2890), ("KORD", 41.9786, -87.9048), ("KMDW", 41.7868, -87.7522), ("KSEA", 47.4502, -122.3088),
+    ("KBFI", 47.5300, -122.3019), ("KSFO", 37.6213, -122.3790), ("KOAK", 37.7213, -122.2208),
+]
+SURGE = TIDES[:3]
+# Gauges of the Great Lakes, which have a datum of their own.
+LAKES = ["9087044"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
