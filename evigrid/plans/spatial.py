@@ -223,11 +223,24 @@ SELECT query_id, feature_id, p_brand FROM (SELECT id AS query_id FROM {ASSETS})
 
 
 def projected(spark, sf):
-    """State plane feet, UTM zone and equal-distance cell of the query points, and the distance in feet from the first one."""
+    """State plane feet, UTM zone and equal-distance cell of the query points."""
     x, y = geo.lambert_feet(F.col("lat"), F.col("lon"))
     return _queries(spark, sf).select("id", F.round(x, 1).alias("x_ft"), F.round(y, 1).alias("y_ft"), geo.utm_zone(F.col("lat"), F.col("lon")).alias("utm"), geo.equal_grid_cell(F.col("lat"), F.col("lon"), 10.0).alias("cell"))
 
 
+#: The Lambert conic from its defining constants: half-angles of the colatitudes by the isometric latitude.
+PROJECTED = f"""
+WITH c AS (SELECT CAST(6378137 AS DOUBLE) AS a, CAST(1 AS DOUBLE) / CAST(298.257222101 AS DOUBLE) AS f, radians(CAST(122 AS DOUBLE) / 3) AS p1, radians(CAST(1231 AS DOUBLE) / 30) AS p2, radians(CAST(241 AS DOUBLE) / 6) AS p0),
+e AS (SELECT *, sqrt(f * (2 - f)) AS e FROM c),
+k AS (SELECT *, cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) AS m1, cos(p2) / sqrt(1 - pow(e * sin(p2), 2)) AS m2, {", ".join(f"ln(tan(pi() / 4 + {p} / 2) * pow((1 - e * sin({p})) / (1 + e * sin({p})), e / 2)) AS q{i}" for i, p in enumerate(("p0", "p1", "p2")))} FROM e),
+n AS (SELECT *, ln(m1 / m2) / (q2 - q1) AS n FROM k), r AS (SELECT *, a * m1 / n * exp(n * q1) AS k0 FROM n),
+p AS (SELECT id, lat, lon, k0 * exp(-n * ln(tan(pi() / 4 + radians(lat) / 2) * pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2))) AS rho, n * radians(lon + 74) AS theta, k0 * exp(-n * q0) AS rho0 FROM {QUERIES_SQL}, r),
+g AS (SELECT *, CAST(10000 AS DOUBLE) / 111320 AS step FROM p), h AS (SELECT *, CAST(floor(lat / step) AS INTEGER) AS row FROM g),
+i AS (SELECT *, CAST(floor(lon * greatest(cos(radians((row + CAST(0.5 AS DOUBLE)) * step)), 1e-6) / step) AS INTEGER) AS col FROM h)
+SELECT id, round((300000 + rho * sin(theta)) * 3937 / 1200, 1) AS x_ft, round((rho0 - rho * cos(theta)) * 3937 / 1200, 1) AS y_ft, CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END AS utm,
+  abs(row) || CASE WHEN row >= 0 THEN 'U' ELSE 'D' END || '_' || abs(col) || CASE WHEN col >= 0 THEN 'R' ELSE 'L' END AS cell FROM i"""
+
+
 def grid_coverage(spark, sf):
     """Assets per cell of a grid: which cells have been visited, and how often."""
     return _assets(spark, sf).groupBy(F.floor(F.col("lat") * 20).cast("long").alias("cy"), F.floor(F.col("lon") * 20).cast("long").alias("cx")).agg(F.count("*").alias("n"))
@@ -240,5 +253,5 @@ QUERIES = {
     "nearest_station": (nearest_station, NEAREST_STATION), "register_nearest_n": (register_nearest_n, REGISTER_NEAREST), "region_route": (region_route, REGION_ROUTE),
     "coverage_filter": (coverage_filter, COVERAGE), "pip_flag": (pip_flag, PIP_FLAG), "pip_max_class": (pip_max_class, PIP_MAX), "buffered_class": (buffered_class, BUFFERED),
     "cell_lookup": (cell_lookup, CELL_LOOKUP), "overlap_fraction": (overlap_fraction, OVERLAP), "enrichment_match": (enrichment_match, ENRICHMENT),
-    "projected_points": (projected, None), "grid_coverage": (grid_coverage, GRID_COVERAGE),
+    "projected_points": (projected, PROJECTED), "grid_coverage": (grid_coverage, GRID_COVERAGE),
 }

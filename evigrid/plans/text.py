@@ -158,6 +158,15 @@ def chunk_documents(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("chunk", "text"))
 
 
+#: Sentences are numbered by the chunk that a running length puts them in.
+CHUNKS = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_CUT} AS s FROM documents WHERE text IS NOT NULL),
+r AS (SELECT id, doc_id, s, list_reduce(list_transform(s, lambda x: {{'n': length(x), 'c': [0::BIGINT]}}), lambda a, x: {{'n': CASE WHEN a.n + 1 + x.n <= 700 THEN a.n + 1 + x.n ELSE x.n END,
+  'c': list_append(a.c, CASE WHEN a.n + 1 + x.n <= 700 THEN a.c[-1] ELSE a.c[-1] + 1 END)}}).c AS c FROM d WHERE len(s) > 0),
+u AS (SELECT id, doc_id, unnest(s) AS s, unnest(c) AS chunk, generate_subscripts(s, 1) AS i FROM r)
+SELECT doc_id, chunk, string_agg(s, ' ' ORDER BY i) AS text FROM u GROUP BY id, doc_id, chunk"""
+
+
 def _normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -250,6 +259,21 @@ def entities(spark, sf):
 ENTITY = "SELECT label, entity, count(*) AS n FROM (" + " UNION ".join(f"SELECT id, '{label}' AS label, lower(unnest(regexp_extract_all(text, '{p}', 1))) AS entity FROM {BRIEFINGS}" for label, p in ENTITIES) + ") GROUP BY ALL"
 
 
+def corpus_value(spark, sf):
+    """What a search of the corpus gives each query: its hits of score 0.1 or more (3 at most), and the entities of their texts, each once."""
+    hits = similar(spark, sf, EVERY, 3).where("score >= 0.1").select("query", F.col("vec_id").alias("doc_id"))
+    texts = load(spark, sf, "documents").select("doc_id", "text").join(hits, "doc_id")
+    named = lambda label: lambda x: F.struct(F.lit(label).alias("label"), F.lower(x).alias("entity"))
+    lists = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), named(label)) for label, p in ENTITIES]
+    found = texts.select("query", "doc_id", F.array_distinct(F.concat(*lists)).alias("e"))
+    return found.groupBy("query").agg(F.count("*").alias("n_hits"), F.sum(F.coalesce(F.size("e"), F.lit(0))).alias("n_entities"), F.array_join(F.array_sort(F.collect_set("doc_id")), ",").alias("documents"))
+
+
+CORPUS_VALUE = f"""{_SIMILAR}, h AS (SELECT query, vec_id AS doc_id FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 3),
+e AS (SELECT query, doc_id, coalesce(len(list_distinct(list_concat({", ".join(f"list_transform(regexp_extract_all(text, '{p}', 1), lambda x: '{label}:' || lower(x))" for label, p in ENTITIES)}))), 0) AS n FROM h JOIN documents USING (doc_id))
+SELECT query, count(*) AS n_hits, CAST(sum(n) AS BIGINT) AS n_entities, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS documents FROM e GROUP BY query"""
+
+
 def questions(spark, sf):
     """A question for each customer, with what is read from it."""
     at = F.get(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("c_custkey") % len(QUESTIONS)).cast("int"))
@@ -264,6 +288,11 @@ def address_extract(spark, sf):
     return questions(spark, sf).select("id", t.address(F.col("query")).alias("address"))
 
 
+#: The address in each of QUESTIONS, by reading; where there is none, the question.
+ADDRESSES = ["250 Broadway", "80 Pioneer Street", "Red Hook", None, "12 Main St, Queens", None, "5 Water St?", None, "Astoria", None, None, None, None, None, "Harlem"]
+ADDRESS = f"SELECT id, coalesce({_quote([a or '' for a in ADDRESSES]).replace(chr(39) * 2, 'NULL')}[CAST(id % {len(ADDRESSES)} AS BIGINT) + 1], query) AS address FROM {_QUESTION}"
+
+
 def intent_classify(spark, sf):
     """How many questions name a number (an address), compare, look back, or else name a neighbourhood."""
     q = F.lower("query")
@@ -316,7 +345,7 @@ FROM (SELECT id, list_distinct(regexp_extract_all(text, '\[([a-z][a-z0-9_]*)\]',
 
 QUERIES = {
     "sentence_split": (sentence_split, SENTENCE_SPLIT), "compliance_report": (compliance_report, COMPLIANCE), "rule_totals": (rule_totals, RULE_TOTALS), "document_compliance": (document_compliance, DOC_COMPLIANCE), "numeric_grounding": (numeric_grounding, GROUNDING),
-    "ungrounded_drop": (ungrounded_drop, UNGROUNDED), "citations_resolve": (citations_resolve, CITATIONS), "citation_lookup": (citation_lookup, LOOKUP), "chunk_documents": (chunk_documents, None),
-    "embedding_topk_one_per_doc": (embedding_topk, TOPK), "rerank": (rerank, RERANK), "entity_regex_dedupe": (entities, ENTITY), "address_extract": (address_extract, None),
+    "ungrounded_drop": (ungrounded_drop, UNGROUNDED), "citations_resolve": (citations_resolve, CITATIONS), "citation_lookup": (citation_lookup, LOOKUP), "chunk_documents": (chunk_documents, CHUNKS),
+    "embedding_topk_one_per_doc": (embedding_topk, TOPK), "rerank": (rerank, RERANK), "entity_regex_dedupe": (entities, ENTITY), "corpus_value": (corpus_value, CORPUS_VALUE), "address_extract": (address_extract, ADDRESS),
     "intent_classify": (intent_classify, INTENT), "framing_classify": (framing_classify, FRAMING), "place_resolve": (place_resolve, PLACES), "event_leak": (event_leak, LEAK),
 }
