@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..operators import raster, terrain
 
 
 def built_coverage(spark, sf):
@@ -54,4 +54,20 @@ reach(scene, id, other, r, c, v) AS (SELECT scene, id, id, r, c, v FROM c WHERE
 z AS (SELECT scene, id, count(*) AS size FROM reach GROUP BY ALL)
 SELECT CAST(scene AS BIGINT) AS scene, r // 20 AS tile_row, c // 20 AS tile_col, v AS class, count(*) AS cells, count(*) AS area, CAST(sum(4 - coalesce(met, 0)) AS BIGINT) AS sides, max(size) AS largest FROM c LEFT JOIN n USING (scene, id) JOIN z USING (scene, id) WHERE v > 0 GROUP BY ALL"""
 
-QUERIES = {"class_polygons": (class_polygons, CLASS_POLYGONS), "built_coverage": (built_coverage, BUILT), "filled_gaps": (filled_gaps, FILLED)}
+def terrain_indices(spark, sf):
+    """A raster of 60 x 60 heights with ridges and pits: cells drained, streams, heights above them and wetness of each cell."""
+    cells = spark.range(60 * 60).selectExpr("id DIV 60 AS row", "id % 60 AS col", f"{_HEIGHT.replace('//', 'DIV')} AS value")
+    out = terrain.indices(cells, 30.0, 25)
+    return out.select("row", "col", "n", "stream", F.round("hand", 6).alias("hand"), F.round("twi", 6).alias("twi"))
+
+
+_HEIGHT = "CASE WHEN id % 97 <> 5 THEN CAST(400 - 3 * (id // 60) - 2 * (id % 60) + (id // 60 * 31 + id % 60 * 17) % 11 + abs(id % 60 - 30) * 4 AS DOUBLE) END"
+TERRAIN_INDICES = f"""
+WITH RECURSIVE z AS (SELECT id, id // 60 AS r, id % 60 AS c, v FROM (SELECT range AS id, {_HEIGHT.replace("id", "range")} AS v FROM range(3600)) WHERE v IS NOT NULL),
+f AS (SELECT a.id, b.id AS dest, (a.v - b.v) / sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS fall FROM z a JOIN z b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v > b.v QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY fall DESC, b.r, b.c) = 1),
+path(id, pos, step) AS (SELECT id, id, 0 FROM z UNION ALL SELECT path.id, f.dest, step + 1 FROM path JOIN f ON f.id = path.pos),
+n AS (SELECT pos AS id, count(*) AS n FROM path GROUP BY pos),
+bed AS (SELECT path.id, z.v AS bed FROM path JOIN n ON n.id = path.pos AND n >= 25 JOIN z ON z.id = path.pos QUALIFY row_number() OVER (PARTITION BY path.id ORDER BY step) = 1)
+SELECT r AS row, c AS col, n, n >= 25 AS stream, round(v - bed, 6) AS hand, round(ln(n * CAST(30 AS DOUBLE) / greatest(coalesce(fall, 0) / 30, CAST(0.001 AS DOUBLE))), 6) AS twi FROM z JOIN n USING (id) LEFT JOIN f USING (id) LEFT JOIN bed USING (id)"""
+
+QUERIES = {"terrain_indices": (terrain_indices, TERRAIN_INDICES), "class_polygons": (class_polygons, CLASS_POLYGONS), "built_coverage": (built_coverage, BUILT), "filled_gaps": (filled_gaps, FILLED)}
