@@ -214,23 +214,24 @@ def _found(column: pa.Array) -> Iterator[tuple[str, list[Span], list[Span]]]:
         yield text, base, hidden(text, base) if is_suspect else []
 
 
-SPANS_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SPANS_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """The number of base spans of each kind, their digest, and all spans, of each document row."""
+    """The number of base spans of each kind, their digest, all spans and their number, of each document row."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
-            digests, every = [], []
+            digests, every, sizes = [], [], []
             for _, base, more in _found(batch.column("text")):
                 for kind, c in zip(KINDS, counts):
                     c.append(sum(x[0] == kind for x in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
                 every.append(written(base + more))
-            columns = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(every, pa.string())]
-            yield pa.record_batch(columns, names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+                sizes.append(len(base) + len(more))
+            columns = [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(every, pa.string()), pa.array(sizes, pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(find, SPANS_SCHEMA)

@@ -313,6 +313,7 @@ def test_pii_disguises_reach_the_transducers(spark):
     for i, (text, span) in enumerate(cases.items()):
         at = [x.split(":") for x in got[i].spans.split(",") if x]
         assert any(text[int(s) : int(e)] == span for _, s, e in at), (text, got[i].spans)
+        assert got[i].n_spans == len(at)
         assert span not in masked[i].text and "[" + next(k for k, s, e in at if text[int(s) : int(e)] == span).upper() + "]" in masked[i].text
 
 
