@@ -168,6 +168,40 @@ def address(query: Column) -> Column:
     return F.when(best == "", whole).otherwise(best)
 
 
+# Words of a question about an area rather than an address.
+AREAS = r"(?i)\b(neighborhood|nta|district|coney island|hollis|red hook|brownsville|the bronx|harlem|lower east side|east village|williamsburg|astoria)\b"
+
+
+def heuristic_intent(query: Column) -> Column:
+    """What a question is about where no model reads it: an area if it names one, else an address."""
+    return F.when(F.coalesce(query, F.lit("")).rlike(AREAS), "neighborhood").otherwise("single_address")
+
+
+# Amounts of money and fiscal years, and their labels.
+BACKSTOPS = {
+    "dollar_amount": r"(?i)\$\s?[\d,]+(?:\.\d+)?\s*(?:million|billion|thousand|k|m|b)?",
+    "date_range": r"(?i)\b(?:FY|fiscal year|fiscal years?)\s+\d{2,4}(?:[-–]\d{2,4})?\b",
+}
+
+
+def backstops(text: Column) -> Column:
+    """label, text of the amounts and fiscal years in a text, each once whatever its case, the first spelling of it."""
+    named = lambda label: lambda x: F.struct(F.lit(label).alias("label"), x.alias("text"))
+    lists = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), named(label)) for label, p in BACKSTOPS.items()]
+
+    def add(seen: Column, e: Column) -> Column:
+        known = F.exists(seen, lambda k: (k.label == e.label) & (F.lower(k.text) == F.lower(e.text)))
+        return F.when(known, seen).otherwise(F.array_append(seen, e))
+
+    found = F.concat(*lists)
+    return F.aggregate(found, F.slice(found, 1, 0), add)
+
+
+def excerpt(text: Column, size: int = 240) -> Column:
+    """The beginning of a text, with a mark where it goes on."""
+    return F.concat(F.left(text, F.lit(size)), F.when(F.length(text) > size, "…").otherwise(""))
+
+
 # Question types in order of precedence, and their patterns; the first type with a pattern that matches counts.
 QUESTION_TYPES = [
     ("retrospective", [

@@ -303,6 +303,27 @@ def intent_classify(spark, sf):
 INTENT = rf"SELECT CASE WHEN regexp_matches(lower(query), '\b(compare|vs)\b') THEN 'compare' WHEN regexp_matches(lower(query), 'would it have|prior to') THEN 'retrospective' WHEN regexp_matches(lower(query), '\b\d+ [a-z]+') THEN 'single_address' ELSE 'neighborhood' END AS intent, count(*) AS n FROM {_QUESTION} GROUP BY ALL"
 
 
+def heuristic_intent(spark, sf):
+    """What each question is about, by the words in it."""
+    return questions(spark, sf).select("id", t.heuristic_intent(F.col("query")).alias("intent"))
+
+
+HEURISTIC = f"SELECT id, CASE WHEN id % {len(QUESTIONS)} IN (2, 3, 5, 8, 14) THEN 'neighborhood' ELSE 'single_address' END AS intent FROM {_QUESTION}"
+
+
+def entity_backstops(spark, sf):
+    """Amounts and fiscal years in chunks of reports (customers), each once, with the beginning of the chunk."""
+    text = "concat('In FY 20', c_custkey % 10 + 10, '-', c_custkey % 10 + 11, ' it cost $', c_custkey % 7 + 1, '.5 million, later $', c_custkey % 7 + 1, '.5 MILLION and $2M (fiscal year 2019); ', repeat('more ', CAST(c_custkey % 60 AS INT)))"
+    c = load(spark, sf, "customer").selectExpr("c_custkey AS id", f"{text} AS text").withColumn("e", t.backstops(F.col("text")))
+    return c.select("id", F.size("e").cast("long").alias("n"), F.array_join(F.transform("e", lambda x: F.concat_ws(":", x.label, x.text)), "|").alias("entities"), F.length(t.excerpt(F.col("text"))).cast("long").alias("excerpt"))
+
+
+BACKSTOPS = """
+WITH c AS (SELECT c_custkey AS id, c_custkey % 10 + 10 AS y, c_custkey % 7 + 1 AS m, 'In FY 2010-11 it cost $1.5 million, later $1.5 MILLION and $2M (fiscal year 2019); ' AS shape, c_custkey % 60 * 5 AS more FROM customer)
+SELECT id, 4 AS n, 'dollar_amount:$' || m || '.5 million|dollar_amount:$2M|date_range:FY 20' || y || '-' || (y + 1) || '|date_range:fiscal year 2019' AS entities,
+  CASE WHEN length(shape) + more > 240 THEN 241 ELSE length(shape) + more END AS excerpt FROM c"""
+
+
 def framing_classify(spark, sf):
     """The type of each question."""
     return questions(spark, sf).select("id", t.question_type(F.col("query"), F.lit("neighborhood")).alias("question_type"))
@@ -347,5 +368,5 @@ QUERIES = {
     "sentence_split": (sentence_split, SENTENCE_SPLIT), "compliance_report": (compliance_report, COMPLIANCE), "rule_totals": (rule_totals, RULE_TOTALS), "document_compliance": (document_compliance, DOC_COMPLIANCE), "numeric_grounding": (numeric_grounding, GROUNDING),
     "ungrounded_drop": (ungrounded_drop, UNGROUNDED), "citations_resolve": (citations_resolve, CITATIONS), "citation_lookup": (citation_lookup, LOOKUP), "chunk_documents": (chunk_documents, CHUNKS),
     "embedding_topk_one_per_doc": (embedding_topk, TOPK), "rerank": (rerank, RERANK), "entity_regex_dedupe": (entities, ENTITY), "corpus_value": (corpus_value, CORPUS_VALUE), "address_extract": (address_extract, ADDRESS),
-    "intent_classify": (intent_classify, INTENT), "framing_classify": (framing_classify, FRAMING), "place_resolve": (place_resolve, PLACES), "event_leak": (event_leak, LEAK),
+    "intent_classify": (intent_classify, INTENT), "heuristic_intent": (heuristic_intent, HEURISTIC), "entity_backstops": (entity_backstops, BACKSTOPS), "framing_classify": (framing_classify, FRAMING), "place_resolve": (place_resolve, PLACES), "event_leak": (event_leak, LEAK),
 }
