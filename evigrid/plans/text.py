@@ -233,14 +233,20 @@ SELECT query, vec_id, label, row_number() OVER (PARTITION BY query ORDER BY plac
 
 
 def rerank(spark, sf):
-    """Candidates by similarity (25, of score 0.05 or more), reordered by a second score, the best of each label, 5 at most."""
-    second = (F.col("vec_id") * 37 + F.col("query") * 11) % 101
-    cut = similar(spark, sf, EVERY, 25).where("score >= 0.05").withColumn("second", second)
+    """Candidates by similarity (25, of score 0.05 or more), reordered by the share of the query's words that their document has,
+    the best of each label, 5 at most. Vectors and documents go by one id."""
+    words = load(spark, sf, "documents").select("doc_id", F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")), "").alias("words"))
+    near = similar(spark, sf, EVERY, 25).where("score >= 0.05")
+    met = near.join(words.select(F.col("doc_id").alias("query"), F.col("words").alias("asked")), "query", "left").join(words.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left")
+    shared = F.size(F.array_intersect("asked", "words")) / F.greatest(F.size("asked"), F.lit(1))
+    cut = met.select("query", "vec_id", "label", "place", F.round(F.coalesce(shared, F.lit(0.0)), 6).alias("second"))
     one = aggregates.first_seen(cut, ["query", "label"], F.struct(-F.col("second"), F.col("place")))
     return spatial.top_n(one, ["query"], [F.desc("second"), F.col("place")], 5).select("query", "vec_id", "label", "second", "rank")
 
 
-RERANK = f"""{_SIMILAR}, c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place, (vec_id * 37 + query * 11) % 101 AS second FROM s QUALIFY place <= 25),
+RERANK = f"""{_SIMILAR}, w AS (SELECT doc_id, list_filter(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+')), lambda x: x <> '') AS words FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= 25),
+c AS (SELECT n.*, round(coalesce(CAST(len(list_intersect(a.words, b.words)) AS DOUBLE) / greatest(len(a.words), 1), 0), 6) AS second FROM n LEFT JOIN w a ON a.doc_id = query LEFT JOIN w b ON b.doc_id = vec_id),
 o AS (SELECT * FROM c WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY second DESC, place) = 1)
 SELECT query, vec_id, label, second, row_number() OVER (PARTITION BY query ORDER BY second DESC, place) AS rank FROM o QUALIFY rank <= 5"""
 
