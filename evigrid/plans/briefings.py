@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import citations, narrative
+from ..functions import citations, geo, narrative
 from ..functions import text as t
 from ..operators import spatial
+from ..sources import readers
 from .spatial import _IN, ASSETS, HAZARDS, _assets, _hazards
 from .tables import BOXES_SQL, REGIONS, boxes, haversine_sql, load
 
@@ -514,7 +515,61 @@ def latest_scene(spark, sf):
 
 LATEST_SCENE = "SELECT o_custkey % 200 AS tile, o_orderkey AS scene FROM orders WHERE o_orderkey % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderdate DESC, o_orderkey) = 1"
 
+ASOF = "2001-06-30"
+
+
+def trailing_windows(spark, sf):
+    """Records of the last year, the last 540 days and the last three years before a day that is given, by priority."""
+    o = load(spark, sf, "orders").withColumn("ago", F.date_diff(F.lit(ASOF).cast("date"), F.to_date("o_orderdate"))).where("ago >= 0")
+    return o.groupBy("o_orderpriority").agg(*[F.count_if(F.col("ago") <= days).alias(f"d{days}") for days in (365, 540, 3 * 365)])
+
+
+TRAILING = f"""
+SELECT o_orderpriority, {", ".join(f"count(*) FILTER (CAST(o_orderdate AS DATE) >= DATE '{ASOF}' - {d}) AS d{d}" for d in (365, 540, 1095))} FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '{ASOF}' GROUP BY 1"""
+_TEMPLATE = "https://example.org/${VERSION}/near?lat={lat}&lon={lon}&r={radius_m}&key=${NONE}"
+
+
+def request_urls(spark, sf):
+    """The address that a service is asked at for each place."""
+    s = _state(spark, sf).where("lat IS NOT NULL")
+    return s.select("id", readers.request_url(_TEMPLATE, {"VERSION": "v2"}, {"lat": F.round("lat", 4), "lon": F.round("lon", 4), "radius_m": F.lit(250)}).alias("url"))
+
+
+URLS = f"SELECT id, 'https://example.org/v2/near?lat=' || round(lat, 4) || '&lon=' || round(lon, 4) || '&r=250&key=' AS url FROM {_S} WHERE lat IS NOT NULL"
+
+
+def stream_events(spark, sf):
+    """Runs (conversations) as the events of a stream, in order: hello, a step for each turn, the last of them final, done."""
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    order = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "n")
+    step = c.select("conv_id", "turn", F.when(F.row_number().over(order) == 1, "final").otherwise("step").alias("event"), F.to_json(F.struct("role", "n"), {"ignoreNullFields": "false"}).alias("data"))
+    runs = c.select("conv_id").distinct()
+    ends = runs.select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("hello").alias("event"), F.concat(F.lit('{"run":'), F.col("conv_id").cast("string"), F.lit("}")).alias("data")).unionByName(
+        runs.select("conv_id", F.lit(1 << 40).alias("turn"), F.lit("done").alias("event"), F.lit("{}").alias("data"))
+    )
+    return step.unionByName(ends).select("conv_id", "turn", F.concat(F.lit("event: "), F.col("event"), F.lit("\ndata: "), F.col("data"), F.lit("\n\n")).alias("text"))
+
+
+EVENTS = f"""
+WITH s AS (SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, length(text)) = 1 THEN 'final' ELSE 'step' END AS event, '{{"role":' || coalesce('"' || role || '"', 'null') || ',"n":' || coalesce(CAST(length(text) AS VARCHAR), 'null') || '}}' AS data FROM conversations
+UNION ALL SELECT DISTINCT conv_id, -1, 'hello', '{{"run":' || conv_id || '}}' FROM conversations UNION ALL SELECT DISTINCT conv_id, {1 << 40}, 'done', '{{}}' FROM conversations)
+SELECT conv_id, turn, 'event: ' || event || chr(10) || 'data: ' || data || chr(10) || chr(10) AS text FROM s"""
+
+
+def distance_and_box(spark, sf):
+    """The distance of each asset from one place, and the box around it that holds a radius."""
+    m = geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(40.7006), F.lit(-74.0142))
+    box = geo.bbox(F.col("lat"), F.col("lon"), 750.0)
+    return _assets(spark, sf).select("id", F.round(m, 1).alias("metres"), *[F.round(c, 7).alias(n) for n, c in box.items()])
+
+
+DISTANCE = f"""
+WITH a AS (SELECT *, CAST(750 AS DOUBLE) / 111320 AS dlat, CAST(750 AS DOUBLE) / (111320 * cos(radians(lat))) AS dlon, CAST(40.7006 AS DOUBLE) AS y, CAST(-74.0142 AS DOUBLE) AS x FROM {ASSETS})
+SELECT id, round(2 * CAST(6371000 AS DOUBLE) * atan2(sqrt(h), sqrt(1 - h)), 1) AS metres, round(lat - dlat, 7) AS min_lat, round(lat + dlat, 7) AS max_lat, round(lon - dlon, 7) AS min_lon, round(lon + dlon, 7) AS max_lon
+FROM (SELECT *, pow(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(x - lon) / 2), 2) AS h FROM a)"""
+
 QUERIES = {
+    "trailing_windows": (trailing_windows, TRAILING), "request_urls": (request_urls, URLS), "stream_events": (stream_events, EVENTS), "distance_and_box": (distance_and_box, DISTANCE),
     "terrain_narrative": (terrain_narrative, TERRAIN), "zone_narrative": (zone_narrative, ZONE), "gauge_narrative": (gauge_narrative, GAUGE), "extent_narrative": (extent_narrative, EXTENT), "water_narrative": (water_narrative, WATER),
     "marks_narrative": (marks_narrative, MARKS), "register_findings": (register_findings, FINDINGS), "labels": (labels, LABELS), "date_prefixes": (date_prefixes, DATES), "hardware_classes": (hardware_classes, HARDWARE), "json_safe": (json_safe, JSON_SAFE),
     "city_gate": (city_gate, CITY_GATE), "live_place_gate": (live_place_gate, LIVE_GATE), "place_hints": (place_hints, HINTS), "policy_query": (policy_query, POLICY), "stage_status": (stage_status, STAGES), "depth_map": (depth_map, DEPTH_MAP),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,6 +52,16 @@ def json_path(text: Column, path: str) -> Column:
     return F.get_json_object(text, f"$.{path}")
 
 
+def request_url(template: str, environment: dict[str, str], columns: dict[str, Column]) -> Column:
+    """The address of each row's request: ${NAME} comes from the environment (left out where it has none), then {name} from a column."""
+    whole = re.sub(r"\$\{(\w+)\}", lambda m: environment.get(m[1], ""), template)
+    parts = re.split(r"\{(\w+)\}", whole)
+    unknown = [n for n in parts[1::2] if n not in columns]
+    if unknown:
+        raise ValueError(f"no column for {{{unknown[0]}}}")
+    return F.concat(*[columns[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def fetched(queries: DataFrame, fetch: Callable[[dict], object], schema: str = "query_id long, status string, value string, error string") -> DataFrame:
     """A row for each query: what `fetch` gives for it as JSON text, or why it failed. Failure is data and stops no other query."""
     import json
