@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import automata, chat, chosenpath, decontamination, licenses, packing, pii, quality, suffixes, tokenfiles
+from . import automata, chat, chosenpath, decontamination, interactions, licenses, packing, pii, quality, suffixes, tokenfiles, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,10 @@ def queries() -> dict[str, Callable]:
         "op8_license_set_join": licenses.op8,
         "op9_suffix_automaton_dedup": automata.op9,
         "op10_pii_deobfuscation": pii.op10,
+        "op11_filter_interaction_audit": interactions.op11,
+        "op12_jacobi_whitening": whitening.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chosen_path_jaccard_join": chosenpath.OP5_SQL, "op8_license_set_join": licenses.op8_sql()}
+    return {"op5_chosen_path_jaccard_join": chosenpath.OP5_SQL, "op8_license_set_join": licenses.op8_sql(), "op11_filter_interaction_audit": interactions.OP11_SQL}

@@ -34,5 +34,5 @@ def test_stages(spark, small):
 
 def test_registered():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11) if f"op{i}" in {x.split("_")[0] for x in names}]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14) if f"op{i}" in {x.split("_")[0] for x in names}]
     assert set(registry.oracle_sql()) <= set(names)
