@@ -9,8 +9,9 @@ characters, and those that lie within a base span are left out.
 Each document is judged by itself, in Arrow batches; the transducers run only on texts that a scan of the bytes finds
 something for.
 
-Edge cases: a null or empty text has no spans (and stays null or empty when redacted); repeated rows are judged alike;
-other columns are ignored, or carried along by ``redact``.
+Edge cases: a null or empty text has no spans (and stays null or empty when redacted); numbers have any length (leading zeros
+count for nothing), and runs of digits take time in proportion to their length; repeated rows are judged alike; other columns
+are ignored, or carried along by ``redact``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# A number that starts no dotted number starts none at its later digits either: without the first test a run of digits is
+# tried from each of them.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -45,6 +50,12 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * d, 10)) for d in values[1::2])) % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a number of any length is 255 at most."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def _emails(text: str) -> Iterator[Span]:
     """As [local]+@[domain]+(.[domain]+)+ from left to right, but from one "@" to the next: linear in the text."""
     free, at = 0, text.find("@")
@@ -62,7 +73,7 @@ def _emails(text: str) -> Iterator[Span]:
 def detect(text: str) -> list[Span]:
     """All spans of the four kinds, by kind and start."""
     spans = list(_emails(text)) if "@" in text else []
-    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups())]
+    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_is_byte, m.groups()))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -105,7 +116,7 @@ def _characters() -> dict[int, str]:
 
 
 _CHARACTERS = _characters()
-_DISGUISED = re.compile("[" + "".join(map(re.escape, map(chr, _CHARACTERS))) + "]")
+_DISGUISED = re.compile(r"(?![\x00-\x7F])[" + "".join(map(re.escape, map(chr, _CHARACTERS))) + "]")
 _ANY_DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + r")(?!\w)"
 _DIGIT_WORD = re.compile(r"(?<!\w)(?:plus\x20+(?=[0-9]|" + _ANY_DIGIT + ")|" + _ANY_DIGIT + ")", re.IGNORECASE)
 _BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|@|\.)[\x20]?[\])}>][\x20]?", re.IGNORECASE)
@@ -160,7 +171,14 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
     """Spans of the source that only the normalised text shows."""
     aligned = normalise(text)
     found = dict.fromkeys(aligned.source(x) for x in detect(aligned.text))
-    return [x for x in found if not any(s <= x[1] and x[2] <= e for _, s, e in base)]
+    starts = sorted(s for _, s, _ in base)
+    furthest = list(accumulate((e for _, _, e in sorted(base, key=lambda x: x[1])), max))
+
+    def within_base(x: Span) -> bool:
+        i = bisect_right(starts, x[1])
+        return i > 0 and furthest[i - 1] >= x[2]
+
+    return [x for x in found if not within_base(x)]
 
 
 def _ordered(spans: list[Span]) -> list[Span]:

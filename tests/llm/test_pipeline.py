@@ -32,6 +32,25 @@ def test_stages(spark, small):
     assert corpus_pipeline.run(spark, small).count() == len(packed)
 
 
+def test_stages_on_odd_rows(spark, docs, none, tmp_path):
+    """Nulls, repeated rows, very long texts, clashing columns and empty tables: all stages run, and none invents rows."""
+    digits = spark.createDataFrame([(77_777, "0" * 5000 + "1.1.1.1 " + " ".join(f"word{i}" for i in range(60)))], "doc_id long, text string")
+    docs = docs.unionByName(digits, allowMissingColumns=True)
+    for name, filled in (("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], filled).write.parquet(f"{tmp_path}/{name}.parquet")
+    for table in (docs, none):
+        table.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        have = {r.doc_id for r in table.select("doc_id").distinct().collect()}
+        left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            left = common.stored(stage(spark, left, str(tmp_path)), "odd")
+            assert {r.doc_id for r in left.select("doc_id").collect()} <= have
+            if name != "best-fit packing":
+                assert left.columns == table.columns
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == left.count()
+    assert left.count() == 0
+
+
 def test_registered():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14) if f"op{i}" in {x.split("_")[0] for x in names}]

@@ -5,12 +5,15 @@ import math
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from compare import difference
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evigrid.llm import common, decontamination, licenses, pii, quality
@@ -287,6 +290,27 @@ def test_pii_base_spans(spark, docs, texts, none):
     assert pii.spans(none).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("0125.+ -@a", max_size=60))
+def test_pii_base_spans_of_any_text(text):
+    assert pii.detect(text) == base_spans(text)
+
+
+def test_pii_long_numbers(spark):
+    zeros, million = "0" * 5000, "7" * 1_000_000
+    cases = {f"{zeros}1.1.1.1": [("ip", 0, 5007)], f"x {zeros}.{zeros}.{zeros}255.{zeros}256": [], f"1.2.3.{million}": [], million: [], f"{million} 10.0.0.1": [("ip", 1_000_001, 1_000_009)]}
+    cases |= {"1." * 300_000: [("ip", i * 8, i * 8 + 7) for i in range(75_000)], "+1" + " " * 500_000: [], "4" + "-" * 500_000: [], "a" * 500_000 + "@" + "b" * 500_000: []}
+    for text, want in cases.items():
+        begin = time.process_time()
+        base = pii.detect(text)
+        assert base == want and not pii.hidden(text, base)
+        assert time.process_time() - begin < 1, text[:20]
+    table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.spans(table).collect()} == {i: pii.written(w) for i, w in enumerate(cases.values())}
+    masked = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert masked[0] == "[IP]" and masked[3] == million and masked[4] == f"{million} [IP]"
+
+
 def test_pii_disguises():
     cases = {
         "write jane [at] host [dot] org now": "jane [at] host [dot] org", "john dot doe at mail dot example dot com!": "john dot doe at mail dot example dot com", "ｊohn@exаmple.com": "ｊohn@exаmple.com",
