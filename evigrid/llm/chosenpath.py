@@ -5,17 +5,17 @@ A document is its set of five-word shingles; documents with the same set share a
 1. Paths. In each run a set of n shingles goes to the buckets of those shingles whose hash for the run is below
    1 / (SIMILARITY * n): 1.25 of them on average. Two sets with the wanted similarity share such a bucket with probability
    1 - 1/e or more. Where a bucket would hold more than BUCKET_MOST sets, its sets are split again on further sampled
-   shingles, MAX_DEPTH times at most; the number of runs is such that a link at the deepest level is met with
-   probability RECALL. What the sets of a path are, each document finds out by itself, from two filters of fixed size
-   (buckets that two sets can reach, and buckets that are too large), so that documents are not shuffled.
-2. Buckets are brute-forced on sketches of 64 bytes, without pairs: a breadth-first search takes from the sets not yet
-   reached those that look alike (estimated similarity of ALIKE or more, six deviations below the wanted one), and yields a tree.
-3. Connected trees are candidate groups. Each is verified on the full sets, all of its sets against all others, in blocks
-   of BLOCK sets: a large group is dealt over many tasks. The result of a block pair is the number of links of each set and a tree
-   of true links. Connected again, these are the classes.
-
-No step emits the pairs of a group, and groups of equal texts count by their number. Every true link between two sets
-of one candidate group is found; that two linked sets are in one group has a probability of RECALL at least.
+   shingles, those aside that its path has already, MAX_DEPTH times at most. Of SIMILARITY * n shared shingles d are on the path, so
+   that the next ones are sampled at 1 / (SIMILARITY * n - d), which keeps the probability of each level; the number of runs
+   is such that a link at the deepest level is met with probability RECALL. What the sets of a path are, each document finds out by
+   itself, from two filters of fixed size (buckets that two sets can reach, and buckets that are too large), so that documents
+   are not shuffled.
+2. Buckets become trees of sets that look alike (sketches of 64 bytes; estimated similarity of ALIKE or more, six deviations below the
+   wanted one). Those that are still too large at the deepest level are dealt in blocks.
+3. Trees become candidate groups, and these classes of true links, as ``setjoin`` says.
+
+Every true link between two sets of one candidate group is found; that two linked sets are in one group has a probability of
+RECALL at least.
 
 Edge cases: a text of fewer than five words, but not none, is one shingle; a null or empty text has no links and is a class of
 its own; repeated rows are copies like others; a class is named by its smallest doc_id, nulls aside; other columns are ignored.
@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, setjoin
 from .anchors import bitmap, identified, passes, slots
-from .automata import _NULL, by_part
-from .common import ALNUM, SpanHasher, TextBlock, mix
+from .automata import by_part
+from .common import ALNUM, mix
+from .setjoin import ID, TREE_SCHEMA, Sets, Shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,13 +43,10 @@ RECALL = 0.9999
 ALIKE = 0.5
 BUCKET_MOST = 1000
 MAX_DEPTH = 3
-BLOCK = 500
 SKETCH = 64
 PARTS = 4  # for each shuffle partition
 
-_ID = np.dtype([("a", "<u8"), ("b", "<u8")])
 BUCKET_SCHEMA = "part int, key binary, sid binary, sketch binary"
-TREE_SCHEMA = "u binary, v binary"
 
 
 def runs_needed(recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
@@ -59,46 +57,18 @@ def runs_needed(recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-# ---------------------------------------------------------------- sets of shingles
-
-
-class Sets:
-    """The distinct shingles of each text of a block, text by text."""
-
-    def __init__(self, column: pa.Array, size: int):
-        words = TextBlock(column).words(ALNUM)
-        h = words.hashes(lower=True)
-        first = words.first[:-1]
-        short = np.flatnonzero((words.counts > 0) & (words.counts < size))
-        at = words.windows(size)
-        hasher = SpanHasher(h)
-        shingles = np.concatenate((hasher(at, at + size), hasher(first[short], first[short] + words.counts[short])))
-        doc = np.concatenate((words.doc[at] if len(at) else at, short))
-        order = np.lexsort((shingles, doc))
-        shingles, doc = shingles[order], doc[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (shingles[1:] != shingles[:-1]) | (doc[1:] != doc[:-1])
-        self.shingles, self.doc = shingles[new], doc[new]
-        self.n = np.bincount(self.doc, minlength=words.block.n)
-        self.first = np.concatenate(([0], np.cumsum(self.n)))
-
-    def ids(self) -> np.ndarray:
-        """128 bits for each set: two sums of independent hashes of its shingles."""
-        out = np.zeros(len(self.n), _ID)
-        for name, seed in (("a", 0x6A09E667F3BCC909), ("b", 0xBB67AE8584CAA73B)):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.shingles ^ np.uint64(seed)))))
-            out[name] = mix((sums[self.first[1:]] - sums[self.first[:-1]]) + self.n.astype(np.uint64))
-        return out
-
-    def sketches(self, docs: np.ndarray) -> np.ndarray:
-        """A byte of each of SKETCH minima, for the given texts."""
-        n = self.n[docs]
-        flat = self.shingles[common.ragged(self.first[docs], n)]
-        begin = np.cumsum(n) - n
-        out = np.zeros((len(docs), SKETCH), np.uint8)
-        for i in range(SKETCH if len(docs) else 0):
-            out[:, i] = (mix(np.minimum.reduceat(flat * _odd(i, 1), begin)) & np.uint64(255)).astype(np.uint8)
-        return out
+# ---------------------------------------------------------------- paths
+
+
+def sketches(sets: Sets, docs: np.ndarray) -> np.ndarray:
+    """A byte of each of SKETCH minima, for the given texts."""
+    n = sets.n[docs]
+    flat = sets.shingles[common.ragged(sets.first[docs], n)]
+    begin = np.cumsum(n) - n
+    out = np.zeros((len(docs), SKETCH), np.uint8)
+    for i in range(SKETCH if len(docs) else 0):
+        out[:, i] = (mix(np.minimum.reduceat(flat * _odd(i, 1), begin)) & np.uint64(255)).astype(np.uint8)
+    return out
 
 
 def _odd(i: int, salt: int) -> np.uint64:
@@ -106,32 +76,46 @@ def _odd(i: int, salt: int) -> np.uint64:
     return mix(np.array([(i + 1) * 0x9E3779B97F4A7C15 + salt & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] | np.uint64(1)
 
 
+def _limits(n: np.ndarray, similarity: float, depth: int) -> np.ndarray:
+    """What a shingle's hash must stay below to be sampled at a depth, by the size of its set."""
+    return (2.0**64 / np.maximum(similarity * n - depth, 1 if depth else similarity)).clip(max=2.0**64 - 2048).astype(np.uint64)
+
+
 def paths(sets: Sets, similarity: float, runs: int, levels: list[tuple[np.ndarray, np.ndarray]], last: bool) -> tuple[np.ndarray, np.ndarray]:
     """(bucket key, text) of each path.
 
     levels: for each level known so far, the filters of reachable and of too large buckets. With `last`, the buckets where paths
     end; else the keys of the next level, below the too large buckets of the last known one.
     """
-    limit = (2.0**64 / (similarity * np.maximum(sets.n, 1))).clip(max=2.0**64 - 2048).astype(np.uint64)
-    bound = limit[sets.doc]
-    keys, docs = [], []
+    bound = _limits(sets.n, similarity, 0)[sets.doc]
+    keys, ats = [], []
     for run in range(runs):
         at = np.flatnonzero(sets.shingles * _odd(run, 2) < bound)
         keys.append(mix(sets.shingles[at] ^ _odd(run, 3)))
-        docs.append(sets.doc[at])
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+        ats.append(at)
+    key, at = np.concatenate(keys), np.concatenate(ats)
+    doc, path = sets.doc[at], at[:, None]  # the shingles that each path has, by their places
     ended: list[tuple[np.ndarray, np.ndarray]] = []
     for depth, (reachable, large) in enumerate(levels):
         met = passes(reachable, key)
-        key, doc = key[met], doc[met]
+        key, doc, path = key[met], doc[met], path[met]
         if depth == MAX_DEPTH - 1:
             break
         split = passes(large, key)
         ended.append((key[~split], doc[~split]))
-        below = [(k, odd, d, sets.shingles[sets.first[d] : sets.first[d + 1]]) for k, odd, d in zip(key[split], mix(key[split]) | np.uint64(1), doc[split].tolist())]
-        chosen = [(d, mix(mix(mine[mine * odd < limit[d]]) ^ k)) for k, odd, d, mine in below]
-        key = np.concatenate([x for _, x in chosen]) if chosen else key[:0]
-        doc = np.repeat(np.array([d for d, _ in chosen], np.int64), [len(x) for _, x in chosen])
+        key, doc, path = key[split], doc[split], path[split]
+        limit = _limits(sets.n, similarity, depth + 1)
+        found = [(key[:0], path[:0, 0])]
+        for k, odd, d, on in zip(key, mix(key) | np.uint64(1), doc.tolist(), path):
+            first = sets.first[d]
+            mine = sets.shingles[first : sets.first[d + 1]]
+            sampled = mine * odd < limit[d]
+            sampled[on - first] = False
+            found.append((mix(mix(mine[sampled]) ^ k), np.flatnonzero(sampled) + first))
+        many = [len(k) for k, _ in found[1:]]
+        key, at = (np.concatenate(x) for x in zip(*found))
+        path = np.concatenate((np.repeat(path, many, axis=0), at[:, None]), axis=1)
+        doc = sets.doc[at]
     if not last:
         return key, doc
     ended.append((key, doc))
@@ -141,20 +125,14 @@ def paths(sets: Sets, similarity: float, runs: int, levels: list[tuple[np.ndarra
 # ---------------------------------------------------------------- candidate trees
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int):
-    for batch in batches:
-        for piece in common.pieces(iter([batch]), most_bytes=2 << 20):
-            yield piece, Sets(piece.column("text"), size)
-
-
-def filters(rows: DataFrame, size: int, similarity: float, runs: int, bucket_most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def filters(rows: DataFrame, shingles: Shingles, similarity: float, runs: int, bucket_most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The filters of each level, until no bucket is too large or MAX_DEPTH is reached."""
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     for depth in range(MAX_DEPTH):
         sent = rows.sparkSession.sparkContext.broadcast(levels)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for _, sets in _blocks(batches, size):
+            for _, sets in shingles.blocks(batches):
                 slot, n = np.unique(slots(paths(sets, similarity, runs, sent.value, last=False)[0]), return_counts=True)
                 yield pa.record_batch({"slot": pa.array(slot), "n": pa.array(n)})
 
@@ -166,15 +144,15 @@ def filters(rows: DataFrame, size: int, similarity: float, runs: int, bucket_mos
     return levels
 
 
-def buckets(rows: DataFrame, size: int, similarity: float, runs: int, bucket_most: int) -> DataFrame:
-    """The sets of all buckets, packed by part: keys, ids and sketches."""
+def buckets(rows: DataFrame, shingles: Shingles, similarity: float, runs: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The sets of all buckets, packed by part: keys, ids and sketches. Buckets that are too large have the part -1."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(filters(rows, size, similarity, runs, bucket_most))
+    sent = spark.sparkContext.broadcast(levels)
     parts = PARTS * common.partitions(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set = set()  # of this task, so that copies are sent once; forgotten when large
-        for _, sets in _blocks(batches, size):
+        for _, sets in shingles.blocks(batches):
             key, doc = paths(sets, similarity, runs, sent.value, last=True)
             ids = sets.ids()
             marks = list(zip(key.tolist(), ids["a"][doc].tolist()))
@@ -182,11 +160,11 @@ def buckets(rows: DataFrame, size: int, similarity: float, runs: int, bucket_mos
             if len(told) > 500_000:
                 told.clear()
             key, doc = key[new], doc[new]
-            part = (key % np.uint64(parts)).astype(np.int64)
+            part = np.where(passes(sent.value[-1][1], key), -1, (key % np.uint64(parts)).astype(np.int64))
             order = np.argsort(part, kind="stable")
             key, doc, part = key[order], doc[order], part[order]
             some, which = np.unique(doc, return_inverse=True)
-            sketch = sets.sketches(some)[which]
+            sketch = sketches(sets, some)[which]
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, int)
             out = [(int(part[a]), key[a:b].tobytes(), ids[doc[a:b]].tobytes(), sketch[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             if out:
@@ -195,208 +173,62 @@ def buckets(rows: DataFrame, size: int, similarity: float, runs: int, bucket_mos
     return rows.mapInArrow(deal, BUCKET_SCHEMA)
 
 
-def spanning(n: int, alike) -> list[tuple[int, int]]:
-    """Tree edges of the graph on range(n), by breadth-first search; alike(i, others) flags the others linked with i."""
-    left, edges = np.arange(n), []
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
-            i = front.pop()
-            hit = alike(i, left)
-            new = left[hit].tolist()
-            edges += [(i, j) for j in new]
-            front += new
-            left = left[~hit]
-    return edges
-
-
-def _trees(rows: list[dict], alike: float) -> pa.RecordBatch:
-    key = np.frombuffer(b"".join(r["key"] for r in rows), np.uint64)
-    sid = np.frombuffer(b"".join(r["sid"] for r in rows), _ID)
-    sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, SKETCH)
-    order = np.lexsort((sid["b"], sid["a"], key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (sid[order][1:] != sid[order][:-1])
-    order = order[new]
-    key = key[order]
-    # Equal bytes that two different minima have by chance are one in 256.
-    need = SKETCH * (alike + (1 - alike) / 256)
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    size, begin = np.diff(cuts), cuts[:-1]
-    two = begin[size == 2]
-    two = two[(sketch[order[two]] == sketch[order[two + 1]]).sum(1) >= need]
-    edges = [np.stack((order[two], order[two + 1]), 1)]
-    for a, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-        at = order[a : a + n]
-        mine = sketch[at]
-        found = spanning(n, lambda i, others, mine=mine: (mine[others] == mine[i]).sum(1) >= need)
-        if found:
-            edges.append(at[np.array(found)])
-    pairs = np.concatenate(edges)
-    u, v = ([x.tobytes() for x in sid[pairs[:, i]]] for i in (0, 1))
-    return pa.record_batch({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-
-def candidate_trees(rows: DataFrame, size: int, similarity: float, recall: float, bucket_most: int) -> DataFrame:
-    runs = runs_needed(recall)
-    dealt = buckets(rows, size, similarity, runs, bucket_most).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_part(batches):
-            yield _trees(part, ALIKE)
-
-    return dealt.mapInArrow(search, TREE_SCHEMA).distinct()
-
+def large_trees(packed: DataFrame, bucket_most: int) -> DataFrame:
+    """Tree edges of the buckets that are still too large, in blocks."""
 
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """u, root: the smallest node connected with each node of an edge, by alternating large and small stars.
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = (np.frombuffer(row[c], f"V{width}").tolist() for c, width in (("sid", 16), ("sketch", SKETCH)))
+                yield pa.record_batch([pa.array(np.frombuffer(row["key"], np.int64)), *[pa.array(r, pa.binary()) for r in rows]], names=["key", "sid", "sketch"])
 
-    A node with very many neighbours is a hot key of the large stars. Its minimum is a grouped aggregate with partial sums; it is
-    stored before the join, so that both sides of the join are plain shuffles and adaptive execution can split the hot one.
-    """
-    turned = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    now, before = common.stored(edges.where("u <> v").select(*turned).distinct(), name), None
-    while True:
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == before:
-            return now.withColumnRenamed("v", "root").unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
-        before = state
-        # Large stars: neighbours that are larger go to the smallest neighbour. `now` has the larger node first.
-        smaller = now.groupBy("u").agg(F.min("v").alias("m"))
-        least = common.stored(now.select(F.col("v").alias("u")).distinct().join(smaller, "u"), f"{name}-least")
-        moved = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u", "left")
-        large = moved.select(F.col("w").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
-        # Small stars: the node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = common.stored(small.distinct(), name)
-
-
-# ---------------------------------------------------------------- verification
-
-
-LINKS_SCHEMA = "sid binary, links long, other binary"
-
-
-def _verified(group: list[dict], size: int, similarity: float) -> list[tuple[bytes, int, bytes | None]]:
-    """(set, links, null) for each set with links in this block pair, and (set, 0, other) for each edge of a tree of links."""
-    sets = Sets(pa.array([r["text"] for r in group], pa.string()), size)
-    m = len(group)
-    different, code = np.unique(sets.shingles, return_inverse=True)
-    shared = np.bincount(code) > 1
-    number = np.cumsum(shared) - 1
-    common_ = shared[code]
-    row, column = sets.doc[common_], number[code[common_]]
-    both = np.zeros((m, m), np.float32)
-    step = max(256, (8 << 20) // m)
-    by_column = np.argsort(column, kind="stable")
-    row, column = row[by_column], column[by_column]
-    for low in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(column, (low, low + step))
-        part = np.zeros((m, min(step, int(shared.sum()) - low)), np.float32)
-        part[row[a:b], column[a:b] - low] = 1
-        both += part @ part.T
-    n = sets.n.astype(np.float64)
-    linked = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-6
-    np.fill_diagonal(linked, False)
-    # A pair of two sets of one block is judged where that block meets itself.
-    block = np.array([r["mine"] for r in group])
-    if group[0]["i"] != group[0]["j"]:
-        linked &= block[:, None] != block[None, :]
-    weight = np.array([r["weight"] for r in group], np.int64)
-    links = linked @ weight
-    out: list = [(group[i]["sid"], int(links[i]), None) for i in np.flatnonzero(links)]
-    out += [(group[i]["sid"], 0, group[j]["sid"]) for i, j in spanning(m, lambda i, others: linked[i, others])]
-    return out
+    rows = common.stored(packed.mapInArrow(single, "key long, sid binary, sketch binary").dropDuplicates(["key", "sid"]), "large")
+    sizes = common.stored(rows.groupBy("key").agg(F.count("*").alias("n")), "large-sizes")
+    return setjoin.trees_in_blocks(rows.join(sizes, "key"), ALIKE, SKETCH, bucket_most)
 
 
-def verify(rows: DataFrame, members: DataFrame, groups: DataFrame, size: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links of the candidate groups (u: set, root: group), from the texts of one document of each set."""
-    spark = rows.sparkSession
-    one = members.groupBy("sid").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    # Stored, so that adaptive execution can split the join with a large group.
-    sizes = common.stored(groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "sizes")
-    sized = groups.join(sizes, "root")
-    chosen = sized.join(one, sized.u == one.sid).select("sid", "weight", "root", "blocks", F.col("one.doc_id").alias("d"), F.col("one.text_hash").alias("t"))
-    texts = rows.join(chosen, rows.doc_id.eqNullSafe(chosen.d) & (rows.text_hash == chosen.t)).drop("d", "t").dropDuplicates(["sid"])
-    mine = texts.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    pairs = mine.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = pairs.select("root", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "sid", "weight", "text")
-    dealt = dealt.repartition(common.partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            found = _verified(held, size, similarity)
-            if found:
-                sid, links, other = zip(*found)
-                yield pa.record_batch({"sid": pa.array(sid, pa.binary()), "links": pa.array(links, pa.int64()), "other": pa.array(other, pa.binary())})
+def candidate_trees(rows: DataFrame, shingles: Shingles, similarity: float, recall: float, bucket_most: int) -> DataFrame:
+    runs = runs_needed(recall)
+    levels = filters(rows, shingles, similarity, runs, bucket_most)
+    dealt, some_large = buckets(rows, shingles, similarity, runs, levels), len(levels[-1][1]) > 0
+    if some_large:
+        dealt = common.stored(dealt, "buckets")
+    small = dealt.where("part >= 0").repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(held[0][c] != row[c] for c in ("root", "i", "j")):
-                    yield from done()
-                    held = []
-                held.append(row)
-        if held:
-            yield from done()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_part(batches):
+            key, sid, sketch = (b"".join(r[c] for r in part) for c in ("key", "sid", "sketch"))
+            yield setjoin.bucket_trees(np.frombuffer(key, np.uint64), np.frombuffer(sid, ID), np.frombuffer(sketch, np.uint8).reshape(-1, SKETCH), ALIKE)
 
-    return dealt.mapInArrow(judge, LINKS_SCHEMA)
+    trees = small.mapInArrow(search, TREE_SCHEMA)
+    return (trees.unionByName(large_trees(dealt.where("part < 0"), bucket_most)) if some_large else trees).distinct()
 
 
 # ---------------------------------------------------------------- the join
 
 
-def set_ids(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash and sid (null: no words) of each document row; stored in the shared folder."""
+def set_ids(rows: DataFrame, shingles: Shingles) -> DataFrame:
+    """doc_id, text_hash, sid (null: no words) and n (shingles) of each document row; stored in the shared folder."""
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, sets in _blocks(batches, size):
+        for piece, sets in shingles.blocks(batches):
             sid = [x.tobytes() if n else None for x, n in zip(sets.ids(), sets.n.tolist())]
-            yield pa.record_batch([piece.column("doc_id"), piece.column("text_hash"), pa.array(sid, pa.binary())], names=["doc_id", "text_hash", "sid"])
+            yield pa.record_batch([piece.column("doc_id"), piece.column("text_hash"), pa.array(sid, pa.binary()), pa.array(sets.n, pa.int64())], names=["doc_id", "text_hash", "sid", "n"])
 
-    return common.stored(rows.mapInArrow(identify, "doc_id long, text_hash long, sid binary"), "sets")
+    return common.stored(rows.mapInArrow(identify, "doc_id long, text_hash long, sid binary, n long"), "sets")
 
 
-def join(documents: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, bucket_most: int = BUCKET_MOST, block: int = BLOCK) -> DataFrame:
+def join(documents: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, bucket_most: int = BUCKET_MOST, **blocks: int) -> DataFrame:
     """doc_id, text_hash, class_id, n_links (other rows of the wanted similarity), copies_id (the smallest doc_id with the same
     set) and root (the class; null without words) of each document row."""
-    rows = identified(documents)
-    members = set_ids(rows, size)
-    found = components(candidate_trees(rows, size, similarity, recall, bucket_most), "groups")
-    links = common.stored(verify(rows, members.where("sid IS NOT NULL"), found, size, similarity, block), "links")
-    classes = components(links.where("other IS NOT NULL").select(F.col("sid").alias("u"), F.col("other").alias("v")), "classes")
-    counted = links.where("other IS NULL").groupBy("sid").agg(F.sum("links").alias("links"))
-    sets = members.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("weight"), F.min("doc_id").alias("copies_id"))
-    named = common.stored(sets.join(classes.withColumnRenamed("u", "sid"), "sid", "left").join(counted, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "named")
-    smallest = common.stored(named.groupBy("root").agg(F.min("copies_id").alias("class_id")), "smallest")
-    named = named.join(smallest, "root").select("sid", "root", "class_id", "copies_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return members.join(named, "sid", "left").select(
-        "doc_id", "text_hash", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("copies_id")).alias("copies_id"), "root",
-    )
+    rows, shingles = identified(documents), Shingles(size, ALNUM.tobytes())
+    members = set_ids(rows, shingles)
+    return setjoin.linked(rows, members, candidate_trees(rows, shingles, similarity, recall, bucket_most), shingles, similarity, **blocks).drop("n")
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents with one row of each class, that with the smallest doc_id; rows without words all stay."""
-    classes = common.stored(join(documents, **options), "classes")
-    first = classes.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    stay = first.select("k.doc_id", "k.text_hash").unionByName(classes.where("root IS NULL").select("doc_id", "text_hash").distinct())
-    stay_id, stay_hash, hash_, n = (common.fresh(documents, c) for c in ("stay_id", "stay_hash", "hash", "n"))
-    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash))
-    hashed = documents.withColumn(hash_, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(stay_id)) & (F.col(hash_) == F.col(stay_hash))
-    kept = hashed.join(stay, same, "left_semi")
-    repeated = classes.where("root IS NOT NULL").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash))
-    if repeated.isEmpty():
-        return kept.drop(hash_)
-    # Rows of one doc_id and text, both equal: the first of them stays.
-    numbered = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", hash_).orderBy(hash_)))
-    return numbered.join(repeated, same & (F.col(n) > 1), "left_anti").drop(hash_, n)
+    return setjoin.one_of_each(documents, join(documents, **options))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import automata, chat, chosenpath, decontamination, interactions, licenses, packing, pii, quality, suffixes, tokenfiles, whitening
+from . import automata, chat, chosenpath, decontamination, interactions, licenses, packing, pii, quality, sketching, suffixes, tokenfiles, whitening
 
 
 def queries() -> dict[str, Callable]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op10_pii_deobfuscation": pii.op10,
         "op11_filter_interaction_audit": interactions.op11,
         "op12_jacobi_whitening": whitening.op12,
+        "op13_fast_sketch_near_dedup": sketching.op13,
     }
 
 
