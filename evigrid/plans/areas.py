@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import polygons
-from .spatial import HAZARDS, _hazards
+from ..operators import borders, polygons
+from .spatial import ASSETS, HAZARDS, _assets, _hazards
 from .tables import BOXES_SQL, boxes, load
 
 #: Half the side of a development, a box about a supplier; cells of pairs; a grid whose centres lie off the points' lattice.
@@ -101,4 +101,51 @@ UNION = f"""
 SELECT id, count(*) AS cells, round(100 * count(class) / count(*), 2) AS pct_any, round(100 * count(*) FILTER (class >= 3) / count(*), 2) AS pct_deep
 FROM {_OWN_CELLS} LEFT JOIN {_BURNT} USING (row, col) GROUP BY id"""
 
-QUERIES = {"polygon_overlap": (polygon_overlap, OVERLAP), "overlap_rollup": (overlap_rollup, ROLLUP), "burnt_zones": (burnt_zones, BURNT), "union_share": (union_share, UNION)}
+#: Districts are squares of 0.02 degrees that hold assets; the bends of their sides are wider than the tolerance, their ripples are not.
+TOLERANCE = 0.0005
+_BENT = "(({row} * 7 + {col} * 13 + {way}) % 3 = 0)"
+
+
+def _district_rings(spark, sf):
+    """id, row, col and ring of each district: its corners, and three points on each side that both neighbours have alike."""
+    cells = _assets(spark, sf).select(F.floor(F.col("lat") * 50).alias("row"), F.floor(F.col("lon") * 50).alias("col")).distinct()
+
+    def side(row: str, col: str, across: bool) -> str:
+        """Points from the lower left end of a side on, its far end aside."""
+        bent = _BENT.format(row=f"({row})", col=f"({col})", way=int(across))
+        off = [f"(CASE WHEN {bent} THEN {b} ELSE {r} END)" for b, r in ((0.0, 0.0), (0.0021, 0.0001), (0.004, -0.0001), (0.0021, 0.0001))]
+        along = [f"(({col if across else row}) * 4 + {k}) / 200.0D" for k in range(4)]
+        still = f"({row if across else col}) / 50.0D"
+        points = [(a, f"{still} + {o}") if across else (f"{still} + {o}", a) for a, o in zip(along, off)]
+        return "array(" + ", ".join(f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)" for x, y in points) + ")"
+
+    end = lambda row, col: f"array(struct(CAST(({col}) * 4 / 200.0D AS DOUBLE) AS x, CAST(({row}) / 50.0D AS DOUBLE) AS y))"
+    up = lambda row, col: f"array(struct(CAST(({col}) / 50.0D + 0.0 AS DOUBLE) AS x, CAST(({row}) * 4 / 200.0D AS DOUBLE) AS y))"
+    back = lambda far, points: f"concat({far}, reverse(slice({points}, 2, 3)))"
+    ring = F.expr(f"concat({side('row', 'col', True)}, {side('row', 'col + 1', False)}, {back(end('row + 1', 'col + 1'), side('row + 1', 'col', True))}, {back(up('row + 1', 'col'), side('row', 'col', False))})")
+    return cells.select((F.col("row") * 100_000 + F.col("col")).alias("id"), "row", "col", ring.alias("ring"))
+
+
+def simplified_borders(spark, sf):
+    """Districts thinned together: points before, corners and bends that stay, points that stay between them, and neighbours with a common border."""
+    rings = _district_rings(spark, sf)
+    thin = borders.simplified_together(rings.select("id", "ring"), TOLERANCE, 0.01)
+    edges = thin.select("id", F.explode(F.expr("transform(sequence(1, size(ring) - 1), i -> struct(least(ring[i - 1], ring[i]) AS a, greatest(ring[i - 1], ring[i]) AS b))")).alias("e"))
+    met = edges.join(edges.select(F.col("id").alias("other"), "e"), "e").where("id <> other").groupBy("id").agg(F.countDistinct("other").alias("neighbours"))
+    joined = rings.withColumnRenamed("ring", "before").join(thin, "id").join(met, "id", "left")
+    stays = lambda places: F.size(F.array_intersect(F.array(*[F.get("before", F.lit(i)) for i in places]), "ring")).cast("long")
+    deep = [F.abs(F.get("before", F.lit(i))[c] * 50 - F.round(F.get("before", F.lit(i))[c] * 50)) > 0.1 for i, c in ((2, "y"), (6, "x"), (10, "y"), (14, "x"))]
+    bends = sum((F.when(d & F.array_contains("ring", F.get("before", F.lit(i))), 1).otherwise(0) for d, i in zip(deep, (2, 6, 10, 14))), F.lit(0)).cast("long")
+    return joined.select("id", F.size("before").cast("long").alias("n_before"), stays((0, 4, 8, 12)).alias("corners"), bends.alias("bends"), (F.size("ring") - 1 <= 10).alias("thinned"), F.coalesce("neighbours", F.lit(0).cast("long")).alias("neighbours"))
+
+
+def _borders_sql() -> str:
+    bent = lambda row, col, way: f"CAST({_BENT.format(row=row, col=col, way=way)} AS INT)"
+    near = "(a.row = b.row AND abs(a.col - b.col) = 1 OR a.col = b.col AND abs(a.row - b.row) = 1)"
+    sides = (("a.row", "a.col", 1), ("(a.row + 1)", "a.col", 1), ("a.row", "a.col", 0), ("a.row", "(a.col + 1)", 0))
+    return f"""
+WITH c AS (SELECT DISTINCT CAST(floor(lat * 50) AS BIGINT) AS row, CAST(floor(lon * 50) AS BIGINT) AS col FROM {ASSETS})
+SELECT row * 100000 + col AS id, 16 AS n_before, 4 AS corners, {" + ".join(bent(*s) for s in sides)} AS bends, true AS thinned, (SELECT count(*) FROM c b WHERE {near}) AS neighbours FROM c a"""
+
+
+QUERIES = {"polygon_overlap": (polygon_overlap, OVERLAP), "overlap_rollup": (overlap_rollup, ROLLUP), "burnt_zones": (burnt_zones, BURNT), "union_share": (union_share, UNION), "simplified_borders": (simplified_borders, _borders_sql())}
