@@ -199,6 +199,17 @@ class Words:
         return at[self.doc[at] == self.doc[at + size - 1]]
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether two spans of bytes differ, pair by pair: for spans whose hashes agree."""
+    n = ends - starts
+    out = n != other_ends - others
+    length = np.where(out, 0, n)
+    differ = data[ragged(starts, length)] != data[ragged(others, length)]
+    wrong = np.concatenate(([0], np.cumsum(differ)))
+    to = np.concatenate(([0], np.cumsum(length)))
+    return out | (wrong[to[1:]] > wrong[to[:-1]])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Splits batches so that each has at most `most_bytes` of text, or one row: bounds the memory of a task."""
     for batch in batches:

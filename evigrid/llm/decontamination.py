@@ -1,15 +1,16 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-``build_index`` cuts the documents into segments of bounded size and stores for each one the postings of all of its
-terms (sorted term hashes, and the sorted positions of each). ``search`` takes the benchmark, a stated query set, in blocks of
-bounded size to every segment: a window starts from the postings of its rarest term there, and its candidate places are
-intersected with the offset-adjusted postings of the other terms, rarer ones first. With ``slack`` 0 the places are
-exact phrase matches. A proximity match is a place p of a document such that, for each i, the window's i-th term occurs in
-that document within ``slack`` words of place p + i.
-
-A segment is one row, so that the search shuffles nothing of the documents, and a lost executor costs the segments it held.
-The benchmark is blocked, cut into windows and met with the segments in tasks; the driver sees only its size. Terms are
-62-bit hashes of words.
+``build_index`` cuts the documents into segments of bounded size and stores for each one its vocabulary and the postings of all of its
+words (the sorted positions of each). ``search`` cuts the benchmark, a stated query set, into windows, each kept once with its items.
+A first look at the vocabularies alone gives the document-wide frequency of the benchmark's words, and so the rarest word of each
+window; windows with a word that occurs nowhere are done. A second look tells which segments have that word: a window meets only
+these. There its candidate places start from the postings of the word that is rarest in the segment and are intersected with the
+offset-adjusted postings of the others, rarer ones first; each segment's postings are decoded once. With ``slack`` 0 the places are
+exact phrase matches. A proximity match is a place p of a document such that, for each i, the window's i-th word occurs in that
+document within ``slack`` words of place p + i.
+
+Words are joined as strings. Within a segment they are looked up by 62-bit hashes and compared by their bytes, also when the index is
+built: words with one hash have postings of their own.
 
 Edge cases: null and empty texts have no words and no hits; repeated document rows are judged one by one; items without
 words or without an id match nothing; an empty benchmark leaves all documents clean; other columns are ignored.
@@ -17,7 +18,6 @@ words or without an id match nothing; an empty benchmark leaves all documents cl
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +30,16 @@ from .anchors import identified
 from .common import ALNUM, TextBlock
 
 WINDOW = 13
-#: Bytes of text in a segment, and of benchmark text that goes to the executors at once.
+#: Bytes of text in a segment, and of windows that a task looks up at once.
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 #: Candidate places that a task holds at once.
 CANDIDATES = 1 << 20
 
-INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, terms binary, counts binary, gaps binary"
+INDEX_SCHEMA = "segment long, doc_ids array<long>, text_hashes array<long>, n_words array<int>, words array<string>, counts array<int>, terms binary, gaps binary"
 #: How far a word may stand off its place in the proximity matches that ``decontaminate`` reports.
 NEAR = 2
-MATCH_SCHEMA = "segment long, place int, doc_id long, text_hash long, n_words long, items array<string>, spans array<struct<s:int,e:int>>, near_items array<string>"
+MATCH_SCHEMA = "segment long, place int, doc_id long, text_hash long, n_words int, items array<string>, spans array<struct<s:int,e:int>>, near_items array<string>"
 
 
 # ---------------------------------------------------------------- index
@@ -54,25 +54,44 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _word_order(words: common.Words, h: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a block sorted by hash, equal ones by place, and where each different word begins among them."""
+    order = np.argsort(h, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = h[a] == h[b]
+    new = np.ones(len(order), bool)
+    new[1:] = ~same
+    differ = common.unlike(data, words.starts[a[same]], words.ends[a[same]], words.starts[b[same]], words.ends[b[same]])
+    if differ.any():  # words with one hash: each of them gets a run of its own
+        rank = np.zeros(len(h), np.int64)
+        for value in np.unique(h[b[same][differ]]):
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(h == value).tolist():
+                rank[i] = seen.setdefault(data[words.starts[i] : words.ends[i]].tobytes(), len(seen))
+        order = np.lexsort((rank, h))
+        new[1:] = (h[order][1:] != h[order][:-1]) | (rank[order][1:] != rank[order][:-1])
+    return order, np.flatnonzero(new)
+
+
 def _segment(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
-    words = TextBlock(batch.column("text")).words(ALNUM)
+    block = TextBlock(batch.column("text"))
+    words, data = block.words(ALNUM), block.lowered()
     # One unused position after each document keeps phrases from crossing documents.
     position = np.arange(len(words.starts)) + words.doc
-    order = np.argsort(h := words.hashes(lower=True), kind="stable")
-    terms, begin, counts = np.unique(h[order], return_index=True, return_counts=True)
+    h = words.hashes(lower=True)
+    order, begin = _word_order(words, h, data)
     gaps = np.diff(position[order], prepend=0)
     gaps[begin] = position[order][begin]
-    return pa.record_batch(
-        {
-            "segment": pa.array([number], pa.int64()),
-            "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-            "text_hashes": pa.array([batch.column("text_hash").to_pylist()], pa.list_(pa.int64())),
-            "n_words": pa.array([words.counts.astype(np.int32)], pa.list_(pa.int32())),
-            "terms": pa.array([terms.tobytes()], pa.binary()),
-            "counts": pa.array([counts.astype("<u4").tobytes()], pa.binary()),
-            "gaps": pa.array([_planes(gaps)], pa.binary()),
-        }
-    )
+    one = order[begin]
+    lengths = words.ends[one] - words.starts[one]
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    vocabulary = pa.StringArray.from_buffers(len(one), pa.py_buffer(offsets), pa.py_buffer(data[common.ragged(words.starts[one], lengths)].tobytes()))
+    listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    columns = {
+        "segment": pa.array([number], pa.int64()), "doc_ids": listed(batch.column("doc_id")), "text_hashes": listed(batch.column("text_hash")), "n_words": listed(pa.array(words.counts.astype(np.int32))),
+        "words": listed(vocabulary), "counts": listed(pa.array(np.diff(np.append(begin, len(order))).astype(np.int32))), "terms": pa.array([h[one].tobytes()], pa.binary()), "gaps": pa.array([_planes(gaps)], pa.binary()),
+    }
+    return pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def build_index(documents: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -88,57 +107,87 @@ def build_index(documents: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Dat
     return common.stored(identified(documents).mapInArrow(index, INDEX_SCHEMA), "postings")
 
 
+# ---------------------------------------------------------------- windows and the segments they meet
+
+
+def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
+    """phrase (lower-cased words, with one space between them) and items (sorted) of each different window; stored."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.pieces(batches):
+            block = TextBlock(piece.column("text"))
+            words, raw = block.words(ALNUM), block.lowered().tobytes()
+            told = [raw[s:e].decode("utf-8") for s, e in zip(words.starts.tolist(), words.ends.tolist())]
+            for name, first, n in zip(piece.column("item_id").to_pylist(), words.first.tolist(), words.counts.tolist()):
+                phrases = sorted({" ".join(told[i : min(i + size, first + n)]) for i in range(first, first + max(1, n - size + 1))}) if n else []
+                yield pa.record_batch([pa.array([name] * len(phrases), pa.string()), pa.array(phrases, pa.string())], names=["item_id", "phrase"])
+
+    return common.stored(items.mapInArrow(cut, "item_id string, phrase string").groupBy("phrase").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "windows")
+
+
+def meetings(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """segment, phrase, items: the segments that have the rarest word of each window, in all segments together; stored."""
+    words = windows.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
+    counted = index.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    known = common.stored(counted.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    rarest = words.join(known, "word", "left").groupBy("phrase").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0")
+    chosen = common.stored(rarest.select("phrase", "word").join(windows, "phrase"), "rarest")
+    return common.stored(index.select("segment", F.explode("words").alias("word")).join(chosen, "word").select("segment", "phrase", "items"), "meetings")
+
+
 # ---------------------------------------------------------------- search
 
 
 class _Windows:
-    """The windows of some items: term numbers by place (-1 past the end), each different window once, with the items that have it."""
-
-    def __init__(self, ids: list[str], texts: list[str], size: int):
-        words = TextBlock(pa.array(texts, pa.string())).words(ALNUM)
-        self.vocabulary, codes = np.unique(words.hashes(lower=True), return_inverse=True)
-        at = words.windows(size)
-        short = np.flatnonzero((words.counts > 0) & (words.counts < size))
-        every = np.full((len(at) + len(short), size), -1, np.int32)
-        every[: len(at)] = codes[at[:, None] + np.arange(size)]
-        for row, item in enumerate(short.tolist(), len(at)):
-            every[row, : words.counts[item]] = codes[words.first[item] : words.first[item + 1]]
-        self.terms, which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, np.zeros(0, int))
-        self.lengths = (self.terms >= 0).sum(1)
-        self.items, number = np.unique(np.array(ids, object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, int))
-        owner = number[np.concatenate((words.doc[at] if len(at) else at, short)).astype(np.int64)]
-        pairs = np.unique(np.stack((which.ravel(), owner), 1), axis=0)
-        self.owner = pairs[:, 1]
-        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
-
-    def owned(self, window: np.ndarray, doc: np.ndarray, n: int) -> list[list[str]]:
-        """For each of n documents: the items of the windows found in it."""
-        many = self.first[window + 1] - self.first[window]
-        pairs = np.unique(np.stack((np.repeat(doc, many), self.owner[common.ragged(self.first[window], many)]), 1), axis=0)
-        cuts = np.searchsorted(pairs[:, 0], np.arange(n + 1)).tolist()
-        names = self.items[pairs[:, 1]].tolist()
-        return [names[a:b] for a, b in zip(cuts, cuts[1:])]
+    """Different windows: word numbers by place (-1 past the end), and the items that have each."""
+
+    def __init__(self, phrases: list[str], items: list[list[str]]):
+        split = [p.split(" ") for p in phrases]
+        self.vocabulary = sorted({w for words in split for w in words})
+        number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.lengths = np.array([len(words) for words in split], np.int64)
+        self.terms = np.full((len(split), max(self.lengths, default=1)), -1, np.int32)
+        for row, words in zip(self.terms, split):
+            row[: len(words)] = [number[w] for w in words]
+        self.items = items
+
+    def owned(self, window: np.ndarray, doc: np.ndarray, into: list[set]) -> None:
+        """Adds to each document's set the items of the windows found in it."""
+        pairs = np.unique(np.stack((doc, window), 1), axis=0)
+        for d, w in pairs.tolist():
+            into[d].update(self.items[w])
 
 
 class _Segment:
-    """The postings of a segment that a vocabulary has: sorted (term number, position), and the documents' bounds."""
+    """The postings of a segment, decoded; those that a vocabulary has as sorted (word number, position); the documents' bounds."""
 
-    def __init__(self, row: dict, vocabulary: np.ndarray):
+    def __init__(self, row: dict):
         self.n_words = np.array(row["n_words"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.n_words + 1)))
-        terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-        at = np.searchsorted(terms, vocabulary)
-        here = at < len(terms)
-        here[here] = terms[at[here]] == vocabulary[here]
-        self.df = np.zeros(len(vocabulary), np.int64)
-        self.df[here] = counts[at[here]]
+        self.hashes, self.words = np.frombuffer(row["terms"], np.uint64), row["words"]
+        self.counts = np.array(row["counts"], np.int64)
         steps = np.cumsum(_unplanes(row["gaps"]).astype(np.int64))
-        begin = np.cumsum(counts) - counts
-        # Gaps restart at each term: what had been summed before it is taken off.
-        before = np.where(begin > 0, steps[begin - 1], 0) if len(begin) else begin
+        self.begin = np.cumsum(self.counts) - self.counts
+        # Gaps restart at each word: what had been summed before it is taken off.
+        before = np.where(self.begin > 0, steps[self.begin - 1], 0) if len(self.begin) else self.begin
+        self.positions = steps - np.repeat(before, self.counts)
+
+    def look_up(self, vocabulary: list[str]) -> None:
+        """Chooses the postings of some words."""
+        asked = TextBlock(pa.array([" ".join(vocabulary)], pa.string())).words(ALNUM).hashes(lower=True)
+        at = np.full(len(vocabulary), -1, np.int64)
+        for i, (word, place, h) in enumerate(zip(vocabulary, np.searchsorted(self.hashes, asked).tolist(), asked)):
+            while place < len(self.hashes) and self.hashes[place] == h:
+                if self.words[place] == word:
+                    at[i] = place
+                    break
+                place += 1
+        here = at >= 0
         some = at[here]
-        positions = steps[common.ragged(begin[some], counts[some])] - np.repeat(before[some], counts[some])
-        self.keys = (np.repeat(np.flatnonzero(here), counts[some]) << 32) | positions
+        self.df = np.zeros(len(vocabulary), np.int64)
+        self.df[here] = self.counts[some]
+        self.keys = (np.repeat(np.flatnonzero(here), self.counts[some]) << 32) | self.positions[common.ragged(self.begin[some], self.counts[some])]
         self.first = np.concatenate(([0], np.cumsum(self.df)))
 
     def places(self, windows: _Windows, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,21 +220,26 @@ class _Segment:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _matches(row: dict, windows: _Windows, slacks: tuple[int, ...]) -> pa.RecordBatch:
+def _matches(row: dict, asked: Iterator[_Windows], slacks: tuple[int, ...]) -> pa.RecordBatch:
     """The documents of a segment: the items and the spans of matches with the first slack, and the items with the last one."""
-    segment = _Segment(row, windows.vocabulary)
-    n = len(segment.n_words)
-    window, doc, start = segment.places(windows, slacks[0])
-    items = windows.owned(window, doc, n)
-    near = windows.owned(*segment.places(windows, slacks[-1])[:2], n) if len(slacks) > 1 else items
+    n = len(row["n_words"])
+    items, near = [[set() for _ in range(n)] for _ in range(2)]
     spans: list[list] = [[] for _ in range(n)]
-    ends = np.minimum(start + windows.lengths[window], segment.n_words[doc])
-    for d, s, e in zip(doc.tolist(), np.maximum(start, 0).tolist(), ends.tolist()):
-        spans[d].append((s, e))
+    segment = None
+    for windows in asked:
+        segment = segment or _Segment(row)
+        segment.look_up(windows.vocabulary)
+        window, doc, start = segment.places(windows, slacks[0])
+        windows.owned(window, doc, items)
+        if len(slacks) > 1:
+            windows.owned(*segment.places(windows, slacks[-1])[:2], near)
+        ends = np.minimum(start + windows.lengths[window], segment.n_words[doc])
+        for d, s, e in zip(doc.tolist(), np.maximum(start, 0).tolist(), ends.tolist()):
+            spans[d].append((s, e))
     span, names = pa.struct({"s": pa.int32(), "e": pa.int32()}), pa.list_(pa.string())
     columns = {
-        "segment": ([row["segment"]] * n, pa.int64()), "place": (range(n), pa.int32()), "doc_id": (row["doc_ids"], pa.int64()), "text_hash": (row["text_hashes"], pa.int64()), "n_words": (row["n_words"], pa.int64()),
-        "items": (items, names), "spans": ([[{"s": s, "e": e} for s, e in _merged(x)] for x in spans], pa.list_(span)), "near_items": (near, names),
+        "segment": ([row["segment"]] * n, pa.int64()), "place": (range(n), pa.int32()), "doc_id": (row["doc_ids"], pa.int64()), "text_hash": (row["text_hashes"], pa.int64()), "n_words": (row["n_words"], pa.int32()),
+        "items": ([sorted(x) for x in items], names), "spans": ([[{"s": s, "e": e} for s, e in _merged(x)] for x in spans], pa.list_(span)), "near_items": ([sorted(x) for x in (near if len(slacks) > 1 else items)], names),
     }
     return pa.record_batch([pa.array(v, kind) for v, kind in columns.values()], names=list(columns))
 
@@ -204,34 +258,32 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     """A row for each document row of the index: the items with matching windows and the word spans they hit; and the items
     that match with the slack ``near`` (if none is given, the same items).
 
-    The benchmark goes through in blocks of about ``block_bytes`` of text, a row each; every block meets every segment, and the
-    rows of several blocks are merged by document.
+    A segment and the windows that meet it come together in one task, which looks up about ``block_bytes`` of windows at a time.
+    Of segments without a meeting only the documents are read.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(total / block_bytes))
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int")
-    every = items.sparkSession.range(count).select(F.col("id").cast("int").alias("block"))
-    packed = items.groupBy(number.alias("block")).agg(F.collect_list("item_id").alias("item_ids"), F.collect_list("text").alias("texts"))
-    blocks = common.stored(every.join(packed, "block", "left").repartition(count, "block"), "benchmark")
     slacks = (slack,) if near is None else (slack, near)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, _Windows | None] = (-1, None)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if held[0] != row["block"]:
-                    held = row["block"], _Windows(row["item_ids"] or [], row["texts"] or [], window)
-                yield _matches(row, held[1], slacks)
-
-    found = index.crossJoin(blocks.hint("shuffle_replicate_nl")).mapInArrow(match, MATCH_SCHEMA)
-    if count > 1:
-        found = found.groupBy("segment", "place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("near_items")).alias("near_items"),
-        )
-    return found.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("near_items", F.array_sort(F.array_distinct("near_items")))
+    met = meetings(index, windows_of(benchmark, window))
+    busy = common.stored(met.select("segment").distinct(), "busy")
+
+    def asked(phrases: pa.Table) -> Iterator[_Windows]:
+        size = np.cumsum([len(p) for p in phrases.column("phrase").to_pylist()]) // block_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = phrases.slice(a, b - a)
+            if part.num_rows:
+                yield _Windows(part.column("phrase").to_pylist(), part.column("items").to_pylist())
+
+    def match(segment: pa.Table, phrases: pa.Table) -> pa.Table:
+        (row,) = segment.to_pylist()
+        return pa.Table.from_batches([_matches(row, asked(phrases), slacks)])
+
+    found = index.join(busy, "segment", "left_semi").groupBy("segment").cogroup(met.groupBy("segment")).applyInArrow(match, MATCH_SCHEMA)
+    idle = index.join(busy, "segment", "left_anti").select("segment", F.posexplode(F.arrays_zip("doc_ids", "text_hashes", "n_words")).alias("place", "d"))
+    none = idle.select(
+        "segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_hashes").alias("text_hash"), F.col("d.n_words").alias("n_words"),
+        F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("near_items"),
+    )
+    return found.unionByName(none).withColumn("n_words", F.col("n_words").cast("long"))
 
 
 def covered_words(spans: Column) -> Column:

@@ -47,13 +47,7 @@ def distinct_words(words: Words) -> np.ndarray:
     a, b = order[:-1], order[1:]
     same = (doc[1:] == doc[:-1]) & (h[a] == h[b])
     a, b = a[same], b[same]
-    n = words.ends[a] - words.starts[a]
-    unlike = n != words.ends[b] - words.starts[b]
-    length = np.where(unlike, 0, n)
-    differ = words.block.bytes[common.ragged(words.starts[a], length)] != words.block.bytes[common.ragged(words.starts[b], length)]
-    ends = np.concatenate(([0], np.cumsum(length)))
-    wrong = np.concatenate(([0], np.cumsum(differ)))
-    unlike |= wrong[ends[1:]] > wrong[ends[:-1]]
+    unlike = common.unlike(words.block.bytes, words.starts[a], words.ends[a], words.starts[b], words.ends[b])
     found = words.counts - np.bincount(words.doc[b], minlength=words.block.n)
     for text in set(words.doc[a[unlike]].tolist()):  # two words with one hash: by the words themselves
         mine = range(words.first[text], words.first[text + 1])
