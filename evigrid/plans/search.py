@@ -1,11 +1,12 @@
-"""Search queries: vectors by an approximate index."""
+"""Search queries: vectors by an approximate index, places by misspelt names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vectors
-from .tables import load
+from ..functions import narrative
+from ..operators import lookup, vectors
+from .tables import load, points, points_sql
 from .text import _COSINE, EVERY, similar
 
 INDEX_K = 10
@@ -43,4 +44,49 @@ s AS (SELECT q.vec_id AS query, v.vec_id, {_COSINE} AS score FROM v q JOIN v ON
 SELECT (SELECT count(*) FROM v) AS n_indexed, (SELECT count(*) FROM v) AS n_in_one_list, (SELECT count(*) FROM v WHERE vec_id % {EVERY} = 0) AS n_queries,
   (SELECT count(*) FROM s) AS n_true, true AS recall_reached, true AS part_scanned"""
 
-QUERIES = {"vector_index_topk": (vector_index_topk, None), "vector_index_audit": (vector_index_audit, AUDIT)}
+# ---------------------------------------------------------------- places by name
+
+AREA = (-74.10, 40.60, -73.90, 40.80)
+#: A gazetteer of the parts, a tenth of it abroad; and what customers ask for: names with a character left out, doubled, exchanged or two of these.
+_NAME = "concat(p_name, ' ', p_brand, ' ', lower(p_type))"
+_PLACE_ID = "p_partkey + 50000"
+_WRONG = """CASE c_custkey % 6 WHEN 0 THEN name WHEN 1 THEN concat(substr(name, 1, spot - 1), substr(name, spot + 1)) WHEN 2 THEN concat(substr(name, 1, spot), substr(name, spot))
+  WHEN 3 THEN concat(substr(name, 1, spot - 1), 'x', substr(name, spot + 1)) WHEN 4 THEN concat(substr(name, 2, spot - 1), 'q', substr(name, spot + 1)) ELSE upper(concat(name, '!?')) END"""
+_ASKED_AT = "CAST(3 + c_custkey % 5 AS INT)"
+_HINT = "CASE WHEN c_custkey % 7 = 0 THEN 'what about it, in London' END"
+
+
+def _gazetteer(spark, sf):
+    more = [f"{_NAME} AS name", "p_partkey", "CASE WHEN p_size % 10 = 0 THEN 'gb' ELSE 'us' END AS country"]
+    return points(load(spark, sf, "part"), "p_partkey", 50000, *more)
+
+
+def place_lookup(spark, sf):
+    """The place that each misspelt name of a customer's question means."""
+    places = _gazetteer(spark, sf)
+    customers = load(spark, sf, "customer").select("c_custkey")
+    named = customers.join(places.selectExpr("p_partkey AS k", "name"), F.expr("c_custkey % 1000 = k"), "left").withColumn("spot", F.expr(_ASKED_AT))
+    asked = named.selectExpr("c_custkey AS id", f"{_WRONG} AS text", f"{_HINT} AS hint")
+    return lookup.resolve(asked, places.withColumnRenamed("id", "record_id"), AREA).select("id", "branch", "record_id", "distance")
+
+
+def _lookup_sql() -> str:
+    plain = lambda c: f"trim(regexp_replace(lower({c}), " + r"'[^\p{L}\p{N}]+', ' ', 'g'))"
+    foreign = narrative.FOREIGN.replace("'", "''")
+    inside = f"(country = 'us' AND lon BETWEEN {AREA[0]} AND {AREA[2]} AND lat BETWEEN {AREA[1]} AND {AREA[3]})"
+    records = points_sql("part", "p_partkey", 50000, f"{_NAME} AS name, p_partkey, CASE WHEN p_size % 10 = 0 THEN 'gb' ELSE 'us' END AS country")
+    return f"""
+WITH r AS (SELECT *, {plain("name")} AS n FROM {records}),
+a AS (SELECT c_custkey AS id, {_WRONG} AS text, {_HINT} AS hint FROM (SELECT c_custkey, name, {_ASKED_AT} AS spot FROM customer LEFT JOIN r ON c_custkey % 1000 = p_partkey)),
+q AS (SELECT id, {plain("text")} AS q, coalesce(regexp_matches(text, '{foreign}'), false) OR coalesce(regexp_matches(hint, '{foreign}'), false) AS gate FROM a),
+d AS (SELECT q, n, levenshtein(q, n) AS distance FROM (SELECT DISTINCT q FROM q WHERE q <> '') CROSS JOIN (SELECT DISTINCT n FROM r)
+  WHERE levenshtein(q, n) <= CASE WHEN length(q) < 4 THEN 0 WHEN length(q) < 8 THEN 1 ELSE 2 END),
+m AS (SELECT q.id AS asked, gate, distance, d.n, r.id, country, {inside} AS inside FROM q JOIN d USING (q) JOIN r ON r.n = d.n),
+b AS (SELECT asked, first(country ORDER BY distance, n, id) AS best FROM m GROUP BY asked),
+c AS (SELECT asked, inside, id, distance FROM m WHERE country = 'us' QUALIFY row_number() OVER (PARTITION BY asked ORDER BY NOT inside, distance, n, id) = 1)
+SELECT q.id, CASE WHEN out THEN 'abroad' WHEN c.id IS NULL THEN 'none' WHEN inside THEN 'region' ELSE 'national' END AS branch,
+  CASE WHEN NOT out THEN c.id END AS record_id, CASE WHEN NOT out THEN distance END AS distance
+FROM (SELECT q.id, gate AND coalesce(best <> 'us', true) AS out FROM q LEFT JOIN b ON b.asked = q.id) AS q LEFT JOIN c ON c.asked = q.id"""
+
+
+QUERIES = {"place_lookup": (place_lookup, _lookup_sql()), "vector_index_topk": (vector_index_topk, None), "vector_index_audit": (vector_index_audit, AUDIT)}
