@@ -281,4 +281,4 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return dedup(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"))
