@@ -97,11 +97,16 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= n)
 
 
-def nearest(queries: DataFrame, stations: list[tuple], k: int = 1) -> DataFrame:
-    """query_id, station, distance_km of the nearest of a short, fixed list of (name, lat, lon); ties go to the first."""
+def nearest_of(stations: list[tuple], k: int = 1) -> Column:
+    """struct(d, ord, station) of the nearest of a short, fixed list of (name, lat, lon) to a row's lat, lon, or the k nearest; ties go to the first."""
     listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("station"), F.lit(float(a)).alias("lat"), F.lit(float(o)).alias("lon")) for i, (n, a, o) in enumerate(stations)])
     measured = F.transform(listed, lambda s: F.struct(geo.haversine_m(F.col("lat"), F.col("lon"), s.lat, s.lon).alias("d"), s.ord.alias("ord"), s.station.alias("station")))
-    first = F.slice(F.array_sort(measured), 1, k)
+    return F.array_min(measured) if k == 1 else F.slice(F.array_sort(measured), 1, k)
+
+
+def nearest(queries: DataFrame, stations: list[tuple], k: int = 1) -> DataFrame:
+    """query_id, station, distance_km of the nearest of a short, fixed list of (name, lat, lon); ties go to the first."""
+    first = F.array(nearest_of(stations)) if k == 1 else nearest_of(stations, k)
     return queries.select(F.col("id").alias("query_id"), F.explode(first).alias("s")).select("query_id", F.col("s.station").alias("station"), (F.col("s.d") / 1000).alias("distance_km"))
 
 

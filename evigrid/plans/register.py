@@ -21,8 +21,8 @@ def exposure(spark, sf) -> DataFrame:
     marks = points(load(spark, sf, "supplier"), "s_suppkey", 50000)
     near = spatial.radius_join(assets, marks, RADIUS).groupBy("query_id").agg(F.count("*").alias("marks"), F.min("distance_m").alias("mark_m"))
     records = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("complaints"))
-    terrain = assets.select("id", ((F.col("id") * 31) % 97 / 4).alias("hand"), ((F.col("id") * 17) % 15).cast("double").alias("twi"))
-    joined = assets.join(hits, assets.id == hits.point_id, "left").join(near, assets.id == near.query_id, "left").join(records, "id", "left").join(terrain, "id")
+    ground = assets.withColumn("hand", (F.col("id") * 31) % 97 / 4).withColumn("twi", ((F.col("id") * 17) % 15).cast("double"))
+    joined = ground.join(hits, ground.id == hits.point_id, "left").join(near, ground.id == near.query_id, "left").join(records, "id", "left")
     return joined.select(
         "id", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("zones", F.lit(0).cast("long")).alias("zones"), F.coalesce("marks", F.lit(0).cast("long")).alias("marks"), "mark_m",
         F.coalesce("complaints", F.lit(0).cast("long")).alias("complaints"), "hand", "twi",

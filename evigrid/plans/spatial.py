@@ -81,11 +81,10 @@ _LISTS = {"tide": TIDES, "weather": WEATHER, "surge": SURGE}
 
 def nearest_station(spark, sf):
     """The nearest station of each list for places all over the country, and the datum of the tide gauge."""
-    places = _spread(spark, sf).where("lat IS NOT NULL")
-    out = places.select(F.col("id").alias("query_id"))
-    for name, stations in _LISTS.items():
-        out = out.join(spatial.nearest(places, stations).select("query_id", F.col("station").alias(name), F.round("distance_km", 1).alias(f"{name}_km")), "query_id")
-    return out.withColumn("datum", F.when(F.col("tide").isin(LAKES), "IGLD").otherwise("MLLW"))
+    near = {name: spatial.nearest_of(stations) for name, stations in _LISTS.items()}
+    found = _spread(spark, sf).where("lat IS NOT NULL").select(F.col("id").alias("query_id"), *[s.alias(name) for name, s in near.items()])
+    told = [c for name in near for c in (F.col(f"{name}.station").alias(name), F.round(F.col(f"{name}.d") / 1000, 1).alias(f"{name}_km"))]
+    return found.select("query_id", *told).withColumn("datum", F.when(F.col("tide").isin(LAKES), "IGLD").otherwise("MLLW"))
 
 
 def _nearest_sql(name: str, stations: list[tuple]) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +12,25 @@ from ..sources import shared
 from ..streaming import events as streams
 
 
-def _run(spark, sf, name: str, stream: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a stream to the end of its input. In append mode its sink is a table; a complete result is written anew each batch."""
-    read = spark.readStream.schema(streams.SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be a file or a folder
-    out = stream(read)
+def _run(spark, sf, name: str, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stream to the end of its input, its sink being a table that is only added to. Then a clock moves the watermark past all windows, and
+    the stream is started again from its checkpoint, which closes them and lets their state go."""
     path = shared.new_path(spark, name)
-    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", path)
-    else:
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
-    writer.start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    clock = f"{path}-clock"
+    streams.tick(spark, clock, datetime(1970, 1, 2))
+    read = spark.readStream.schema(streams.SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be a file or a folder
+    out = stream(streams.with_clock(read, clock))
+    last = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0] or datetime(1970, 1, 2)
+    for _ in range(2):
+        writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        streams.tick(spark, clock, last + timedelta(days=60))
+    return spark.read.schema(out.schema).parquet(path).where("user_id IS NOT NULL" if "user_id" in out.columns else "true")
 
 
 def stream_daily(spark, sf):
     """Events and peak of each user and day, by a stream with event time."""
-    out = _run(spark, sf, "daily", streams.daily, "complete")
+    out = _run(spark, sf, "daily", streams.daily)
     return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "peak")
 
 
@@ -36,7 +39,7 @@ DAILY = "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(val
 
 def stream_sliding(spark, sf):
     """Six-hour means of each user every hour, by a stream: windows, and the highest mean."""
-    out = _run(spark, sf, "sliding", streams.hourly_sliding, "complete")
+    out = _run(spark, sf, "sliding", streams.hourly_sliding)
     return out.groupBy("user_id").agg(F.count("*").alias("windows"), F.round(F.max("mean"), 6).alias("highest"))
 
 
@@ -47,7 +50,7 @@ SELECT user_id, count(*) AS windows, round(max(mean), 6) AS highest FROM w GROUP
 
 def stream_sessions(spark, sf):
     """Sessions of each user with gaps of six hours, by a stream: how many, and the longest."""
-    out = _run(spark, sf, "sessions", streams.sessions, "complete")
+    out = _run(spark, sf, "sessions", streams.sessions)
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
@@ -59,7 +62,7 @@ SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s,
 
 def stream_once(spark, sf):
     """Events that arrive twice, each kept once by a stream, by type."""
-    out = _run(spark, sf, "once", lambda e: streams.deduplicated(e.unionByName(e)), "append")
+    out = _run(spark, sf, "once", lambda e: streams.deduplicated(e.unionByName(e)))
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
@@ -67,8 +70,8 @@ ONCE = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM e
 
 
 def stream_peaks(spark, sf):
-    """The highest value of each user so far, by a stream with state of its own: where it ends."""
-    out = _run(spark, sf, "peaks", streams.running_peak, "append")
+    """The highest value of each user, by a stream with state of its own that closes when a user has been idle for ten days after the end."""
+    out = _run(spark, sf, "peaks", lambda e: streams.peaks(e, 10 * 86_400_000))
     return out.groupBy("user_id").agg(F.max("peak").alias("peak"))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -39,17 +40,84 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def running_peak(events: DataFrame) -> DataFrame:
-    """After each batch: the users whose peak has risen, with the new peak; state is two numbers a user."""
+def with_clock(events: DataFrame, clock: str) -> DataFrame:
+    """The events, and those of a folder of their own whose only use is their time: a late one there moves the watermark past all
+    windows of a stream that has ended. They have no user."""
+    ticks = events.sparkSession.readStream.schema(SCHEMA).parquet(clock)
+    return events.select(*ticks.columns).unionByName(ticks.withColumn("user_id", F.lit(None).cast("long")))
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        peak, n = state.get if state.exists else (float("-inf"), 0)
-        before = peak
-        for frame in frames:
+
+def tick(spark: SparkSession, clock: str, at: datetime) -> None:
+    """Moves a clock on."""
+    spark.createDataFrame([(None, at, None, None, None, None)], SCHEMA).write.mode("append").parquet(clock)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their window had closed, in the batches that the query remembers."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"])
+
+
+PEAK_SCHEMA = "user_id long, kind string, peak double, n long, risen array<double>"
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class PeakProcessor(StatefulProcessor):
+    """State of a user: peak and number of events (a value), and the last KEPT peaks (a list).
+
+    A row "risen" is given for a batch in which the peak rises. With event time, a timer is set `idle_ms` after the user's last event: when the
+    watermark reaches it, a row "closed" is given and the state goes. With processing time, the state has `ttl_ms` to live.
+    """
+
+    KEPT = 3
+
+    def __init__(self, idle_ms: int | None = None, ttl_ms: int | None = None):
+        self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.peak = handle.getValueState("peak", "peak double, n long, last long", self.ttl_ms)
+        self.risen = handle.getListState("risen", "peak double", self.ttl_ms)
+
+    def _row(self, key: tuple, kind: str, peak: float, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "kind": [kind], "peak": [peak], "n": [n], "risen": [[r[0] for r in self.risen.get()]]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, n, last = self.peak.get() if self.peak.exists() else (float("-inf"), 0, -1)
+        peak, old = before, last
+        for frame in rows:
             n += len(frame)
-            peak = max(peak, frame["value"].max())
-        state.update((peak, n))
+            peak = max(peak, *frame["value"].dropna().tolist(), float("-inf"))
+            last = max(last, int(frame["ts"].max().timestamp() * 1000))
+        self.peak.update((peak, n, last))
         if peak > before:
-            yield pd.DataFrame({"user_id": [key[0]], "peak": [peak], "n": [n]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, peak double, n long", "peak double, n long", "append", GroupStateTimeout.NoTimeout)
+            self.risen.put([*[(r[0],) for r in self.risen.get()], (peak,)][-self.KEPT :])
+            yield self._row(key, "risen", peak, n)
+        if self.idle_ms is not None and last > old:
+            if old >= 0:
+                self.handle.deleteTimer(old + self.idle_ms)
+            self.handle.registerTimer(last + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.peak.exists():
+            peak, n, _ = self.peak.get()
+            yield self._row(key, "closed", peak, n)
+        self.peak.clear()
+        self.risen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def peaks(events: DataFrame, idle_ms: int, late: str = "1 hour") -> DataFrame:
+    """PEAK_SCHEMA rows of each user, by event time: state goes when a user has been idle."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    # The time is named in the filter, so that it is not taken before the watermark: rows without a user move the watermark too.
+    known = events.withWatermark("ts", late).where("user_id IS NOT NULL OR ts < TIMESTAMP '0001-01-02 00:00:00'")
+    return known.groupBy("user_id").transformWithStateInPandas(PeakProcessor(idle_ms=idle_ms), PEAK_SCHEMA, "append", "eventTime")
+
+
+def running_peak(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """After each batch: the users whose peak has risen, with the new peak; state is a few numbers a user, for `ttl_ms` if it is given."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    out = events.where("user_id IS NOT NULL").groupBy("user_id").transformWithStateInPandas(PeakProcessor(ttl_ms=ttl_ms), PEAK_SCHEMA, "append", "processingTime")
+    return out.select("user_id", "peak", "n")
