@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, spatial
+from ..operators import aggregates, quantiles, spatial
 from .tables import load
 
 #: Queries take the day they are asked on as a parameter, never the clock.
@@ -119,7 +119,7 @@ FROM (SELECT c_custkey AS id, CAST(c_custkey % 6 AS VARCHAR) AS boro, CASE WHEN
 def percentile_stretch(spark, sf):
     """Prices of each brand stretched between their 2nd and 98th percentiles to 0..255."""
     p = load(spark, sf, "part")
-    bounds = p.groupBy("p_brand").agg(F.percentile("p_retailprice", F.lit(0.02)).alias("a"), F.percentile("p_retailprice", F.lit(0.98)).alias("b"))
+    bounds = quantiles.quantiles(p, "p_brand", "p_retailprice", {"a": 0.02, "b": 0.98})
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("p_retailprice") - F.col("a")) / (F.col("b") - F.col("a")))) * 255
     return p.join(bounds, "p_brand").groupBy("p_brand").agg(F.round(F.avg(scaled), 4).alias("mean"), F.count_if(scaled >= 255).alias("full"), F.count_if(scaled <= 0).alias("empty"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates
+from ..operators import aggregates, quantiles
 from .tables import load
 
 
@@ -106,7 +106,9 @@ PIVOT = "SELECT user_id, " + ", ".join(f"last(value ORDER BY ts, event_id) FILTE
 def zonal_stats(spark, sf):
     """Statistics of the raster values (prices) of each zone (brand), and the share of low ones."""
     part = load(spark, sf, "part")
-    stats = part.groupBy("p_brand").agg(*aggregates.zonal("p_retailprice"), F.avg((F.col("p_size") < 10).cast("double")).alias("low"))
+    plain = part.groupBy("p_brand").agg(*aggregates.zonal_plain("p_retailprice"), F.avg((F.col("p_size") < 10).cast("double")).alias("low"))
+    places = quantiles.quantiles(part, "p_brand", "p_retailprice", {"median": 0.5, "p10": 0.1, "p90": 0.9}).withColumnRenamed("p_brand", "zone")
+    stats = plain.join(places, F.col("p_brand").eqNullSafe(F.col("zone")))
     return stats.select("p_brand", "n", "min", *[F.round(c, 4).alias(c) for c in ("median", "p10", "p90")], "max", F.round("low", 6).alias("low"))
 
 
