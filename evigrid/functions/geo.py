@@ -52,8 +52,8 @@ def equal_grid_cell(lat: Column, lon: Column, distance_km: float) -> Column:
     return F.concat(name(row, "U", "D"), F.lit("_"), name(col, "R", "L"))
 
 
-def lambert_feet(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Easting and northing in US feet of the Long Island state plane (Lambert conic, two standard parallels, GRS80)."""
+def _lambert() -> tuple[float, ...]:
+    """e, n, a * F, rho0, lam0, x0 and the foot of the Long Island state plane (Lambert conic, two standard parallels, GRS80)."""
     # Ellipsoid, standard parallels, origin and false easting.
     a, f = 6378137.0, 1 / 298.257222101
     phi1, phi2, phi0, lam0 = (math.radians(x) for x in (40 + 40 / 60, 41 + 2 / 60, 40 + 10 / 60, -74.0))
@@ -63,13 +63,39 @@ def lambert_feet(lat: Column, lon: Column) -> tuple[Column, Column]:
     t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
     n = math.log(m(phi1) / m(phi2)) / math.log(t(phi1) / t(phi2))
     big_f = m(phi1) / (n * t(phi1) ** n)
-    rho0 = a * big_f * t(phi0) ** n
+    return e, n, a * big_f, a * big_f * t(phi0) ** n, lam0, x0, us_foot
+
+
+def lambert_feet(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Easting and northing in US feet of the Long Island state plane."""
+    e, n, af, rho0, lam0, x0, us_foot = _lambert()
     sin = F.sin(F.radians(lat))
     tt = F.tan(F.lit(math.pi / 4) - F.radians(lat) / 2) / F.pow((1 - F.lit(e) * sin) / (1 + F.lit(e) * sin), F.lit(e / 2))
-    rho, theta = F.lit(a * big_f) * F.pow(tt, F.lit(n)), F.lit(n) * (F.radians(lon) - F.lit(lam0))
+    rho, theta = F.lit(af) * F.pow(tt, F.lit(n)), F.lit(n) * (F.radians(lon) - F.lit(lam0))
     return (F.lit(x0) + rho * F.sin(theta)) / us_foot, (F.lit(rho0) - rho * F.cos(theta)) / us_foot
 
 
+def from_lambert_feet(x: Column, y: Column, rounds: int = 6) -> tuple[Column, Column]:
+    """Latitude and longitude of a place of the Long Island state plane: the latitude by fixed-point iteration, which gains about two digits a round."""
+    e, n, af, rho0, lam0, x0, us_foot = _lambert()
+    east, north = x * us_foot - F.lit(x0), F.lit(rho0) - y * us_foot
+    t = F.pow(F.hypot(east, north) / F.lit(af), F.lit(1 / n))
+    turn = lambda phi, _: F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - F.lit(e) * F.sin(phi)) / (1 + F.lit(e) * F.sin(phi)), F.lit(e / 2)))
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(math.pi / 2) - 2 * F.atan(t), turn)
+    return F.degrees(phi), F.degrees(F.atan2(east, north) / F.lit(n) + F.lit(lam0))
+
+
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """x and y of the centroid of the area within a closed ring of struct(x, y); the mean of the corners of a ring without area, null without corners."""
+    first = F.get(ring, F.lit(0))  # sums are taken from the first corner on, so that they stay small
+    edges = F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, q: F.struct((p.x - first.x).alias("a"), (p.y - first.y).alias("b"), (q.x - first.x).alias("c"), (q.y - first.y).alias("d")))
+    add = lambda s, g: F.struct((s.area + g.a * g.d - g.c * g.b).alias("area"), (s.x + (g.a + g.c) * (g.a * g.d - g.c * g.b)).alias("x"), (s.y + (g.b + g.d) * (g.a * g.d - g.c * g.b)).alias("y"), (s.mx + g.a).alias("mx"), (s.my + g.b).alias("my"), (s.n + 1).alias("n"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("area", "x", "y", "mx", "my", "n")])
+    s = F.aggregate(edges, zero, add)
+    at = lambda c: F.when(s.area != 0, s[c] / (3 * s.area)).when(s.n > 0, s[f"m{c}"] / s.n).when(F.size(ring) > 0, 0.0)
+    return first.x + at("x"), first.y + at("y")
+
+
 def point_in_rings(x: Column, y: Column, rings: Column) -> Column:
     """Whether a point lies in a polygon: an array of closed rings of struct(x, y), by the even-odd rule."""
 

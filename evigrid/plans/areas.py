@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import borders, polygons
 from .spatial import ASSETS, HAZARDS, _assets, _hazards
 from .tables import BOXES_SQL, boxes, load
@@ -148,4 +149,26 @@ WITH c AS (SELECT DISTINCT CAST(floor(lat * 50) AS BIGINT) AS row, CAST(floor(lo
 SELECT row * 100000 + col AS id, 16 AS n_before, 4 AS corners, {" + ".join(bent(*s) for s in sides)} AS bends, true AS thinned, (SELECT count(*) FROM c b WHERE {near}) AS neighbours FROM c a"""
 
 
-QUERIES = {"polygon_overlap": (polygon_overlap, OVERLAP), "overlap_rollup": (overlap_rollup, ROLLUP), "burnt_zones": (burnt_zones, BURNT), "union_share": (union_share, UNION), "simplified_borders": (simplified_borders, _borders_sql())}
+def plane_centroids(spark, sf):
+    """Zones taken to the plane, their centroids there, and these taken back: latitude and longitude."""
+    b = boxes(load(spark, sf, "part"))
+    corner = lambda p: (lambda e: F.struct(e[0].alias("x"), e[1].alias("y")))(geo.lambert_feet(p.y, p.x))
+    plane = b.select("id", F.transform("box_ring", corner).alias("ring"))
+    x, y = geo.ring_centroid(F.col("ring"))
+    lat, lon = geo.from_lambert_feet(F.col("x"), F.col("y"))
+    return plane.select("id", x.alias("x"), y.alias("y")).select("id", F.round(lat, 4).alias("lat"), F.round(lon, 4).alias("lon"))
+
+
+CENTROIDS = f"SELECT id, round(lat, 4) AS lat, round(lon, 4) AS lon FROM {BOXES_SQL}"
+
+
+def plane_and_back(spark, sf):
+    """Assets taken to the plane and back: places to seven digits, for which nothing may be lost."""
+    x, y = geo.lambert_feet(F.col("lat"), F.col("lon"))
+    lat, lon = geo.from_lambert_feet(F.col("x"), F.col("y"))
+    return _assets(spark, sf).select("id", x.alias("x"), y.alias("y")).select("id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
+
+
+BACK = f"SELECT id, round(lat, 7) AS lat, round(lon, 7) AS lon FROM {ASSETS}"
+
+QUERIES = {"plane_centroids": (plane_centroids, CENTROIDS), "plane_and_back": (plane_and_back, BACK), "polygon_overlap": (polygon_overlap, OVERLAP), "overlap_rollup": (overlap_rollup, ROLLUP), "burnt_zones": (burnt_zones, BURNT), "union_share": (union_share, UNION), "simplified_borders": (simplified_borders, _borders_sql())}
