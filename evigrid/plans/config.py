@@ -21,25 +21,45 @@ def _table(spark):
     return manifests.table(spark, {"base": BASE, "federal": FEDERAL, "user": USER})
 
 
+#: Manifests of the tables: a nation is a source of the base layer, a supplier of some nations one of the federal layer, a customer one of the user's.
+_LAYERED = """
+SELECT 'base' AS layer, 0 AS rank, CAST(n_nationkey AS BIGINT) AS ord, concat('src_', CAST(n_nationkey AS STRING)) AS id, n_name AS title, CASE WHEN n_regionkey % 2 = 0 THEN 'hazard' ELSE 'live' END AS role,
+  CASE WHEN n_nationkey % 3 = 0 THEN concat('doc_', CAST(n_nationkey AS STRING)) END AS doc_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(n_nationkey AS BIGINT) END AS place FROM nation
+UNION ALL SELECT 'federal', 1, s_suppkey, concat('src_', CAST(s_suppkey % 40 AS STRING)), s_name, 'outlook', CAST(NULL AS STRING), s_suppkey % 5 FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'user', 2, c_custkey, concat('src_', CAST(c_custkey % 900 AS STRING)), c_name, 'assets', concat('own_', CAST(c_custkey % 7 AS STRING)), CAST(NULL AS BIGINT) FROM customer WHERE c_custkey % 7 = 1"""
+
+
+def _layered(spark, sf):
+    for name in ("nation", "supplier", "customer"):
+        load(spark, sf, name).createOrReplaceTempView(f"manifest_{name}")
+    text = _LAYERED
+    for name in ("nation", "supplier", "customer"):
+        text = text.replace(f"FROM {name}", f"FROM manifest_{name}")
+    return spark.sql(text).withColumnRenamed("place", "order")
+
+
 def manifest_precedence(spark, sf):
-    """The source that holds for each id."""
-    return manifests.merged(_table(spark)).select("id", "layer", "title", "doc_id")
+    """The source that holds for each id, of three layers of manifests."""
+    return manifests.merged(_layered(spark, sf)).select("id", "layer", "title", "doc_id")
 
 
-_ROWS = ", ".join(
-    f"('{layer}', {manifests.LAYERS[layer]}, {i}, '{m.id}', '{m.title}', '{m.role}', {repr(m.doc_id) if m.doc_id else 'NULL'}, {m.order if m.order is not None else 'NULL'})"
-    for layer, ms in (("base", BASE), ("federal", FEDERAL), ("user", USER)) for i, m in enumerate(ms)
-)
-_MERGED = f"(SELECT * FROM (VALUES {_ROWS}) m(layer, rank, ord, id, title, role, doc_id, place) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, ord) = 1)"
-PRECEDENCE = f"SELECT id, layer, title, doc_id FROM {_MERGED}"
+_MERGED_LAYERS = f"(SELECT * FROM ({_LAYERED.replace('AS STRING', 'AS VARCHAR')}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, ord) = 1)"
+PRECEDENCE = f"SELECT id, layer, title, doc_id FROM {_MERGED_LAYERS}"
 
 
 def describe_sources(spark, sf):
     """The merged sources in the order of their roles."""
-    return manifests.described(manifests.merged(_table(spark)), spark.createDataFrame(ROLES, "role string, role_order int"))
+    return manifests.described(manifests.merged(_layered(spark, sf)), spark.createDataFrame(ROLES, "role string, role_order int"))
+
 
+DESCRIBE = f"SELECT row_number() OVER (ORDER BY o, coalesce(place, 999), id) AS place, role, id, title, coalesce(doc_id, id) AS doc_id FROM {_MERGED_LAYERS} JOIN (VALUES {', '.join(map(str, ROLES))}) r(role, o) USING (role)"
 
-DESCRIBE = f"SELECT row_number() OVER (ORDER BY o, coalesce(place, 999), id) AS place, role, id, title, coalesce(doc_id, id) AS doc_id FROM {_MERGED} JOIN (VALUES {', '.join(map(str, ROLES))}) r(role, o) USING (role)"
+
+_ROWS = ", ".join(
+    f"('{layer}', {manifests.LAYERS[layer]}, {i}, '{m.id}', '{m.title}', '{m.role}', {repr(m.doc_id) if m.doc_id else 'NULL'}, {m.order if m.order is not None else 'NULL'})"
+    for layer, ms in (("base", BASE), ("federal", FEDERAL), ("user", USER)) for i, m in enumerate(ms)
+)
+_MERGED = f"(SELECT * FROM (VALUES {_ROWS}) m(layer, rank, ord, id, title, role, doc_id, place) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, ord) = 1)"
 
 
 def plan_trim(spark, sf):

@@ -91,13 +91,17 @@ LADDER = f"SELECT place, CASE WHEN bool_or(cloud < 30 AND age <= 3) THEN 'clear'
 
 
 def static_table(spark, sf):
-    """A fixed table of rises by year and percentile, inches to metres, joined to scenarios."""
+    """What a fixed table of rises (by year and percentile, inches to metres) says for each place's scenario."""
     rows = [(y, p, float(i)) for y, row in ((2050, (8, 16, 21, 30)), (2100, (15, 36, 50, 75))) for p, i in zip((10, 50, 90, 99), row)]
-    return spark.createDataFrame(rows, "year long, percentile long, inches double").withColumn("metres", F.round(F.col("inches") * 0.0254, 3))
+    rises = spark.createDataFrame(rows, "year long, percentile long, inches double").withColumn("metres", F.round(F.col("inches") * 0.0254, 3))
+    places = load(spark, sf, "customer").selectExpr("c_custkey AS id", "CAST(2050 + 50 * (c_custkey % 2) AS BIGINT) AS year", "CAST(element_at(array(10, 50, 90, 99), CAST(c_nationkey % 4 AS INT) + 1) AS BIGINT) AS percentile")
+    return places.join(F.broadcast(rises), ["year", "percentile"]).select("id", "year", "percentile", "inches", "metres")
 
 
 _STATIC = ", ".join(f"({y}, {p}, {i})" for y, row in ((2050, (8, 16, 21, 30)), (2100, (15, 36, 50, 75))) for p, i in zip((10, 50, 90, 99), row))
-STATIC = f"SELECT CAST(y AS BIGINT) AS year, CAST(p AS BIGINT) AS percentile, CAST(i AS DOUBLE) AS inches, round(i * CAST(0.0254 AS DOUBLE), 3) AS metres FROM (VALUES {_STATIC}) v(y, p, i)"
+STATIC = f"""
+SELECT c_custkey AS id, CAST(y AS BIGINT) AS year, CAST(p AS BIGINT) AS percentile, CAST(i AS DOUBLE) AS inches, round(i * CAST(0.0254 AS DOUBLE), 3) AS metres
+FROM customer JOIN (VALUES {_STATIC}) v(y, p, i) ON y = 2050 + 50 * (c_custkey % 2) AND p = [10, 50, 90, 99][c_nationkey % 4 + 1]"""
 
 
 def identifiers(spark, sf):
@@ -139,18 +143,20 @@ CHECKSUM = "SELECT s_suppkey, sha256(s_name || '_' || s_nationkey || '_' || s_su
 
 
 def overlapping_fragments(spark, sf):
-    """Fragments of 64 cells with 16 of overlap over a raster of 200 x 300: their corners, and the wet share of each."""
-    cells = spark.range(200 * 300).selectExpr("id DIV 300 AS row", "id % 300 AS col", "CAST((id * 7919) % 10 < 3 AS INT) AS wet")
+    """Fragments of 64 cells with 16 of overlap over a raster (orders, 112 in a row): their corners, and the wet share of each."""
+    cells = load(spark, sf, "orders").selectExpr("o_orderkey DIV 112 AS row", "o_orderkey % 112 AS col", "CAST(o_custkey % 10 < 3 AS INT) AS wet")
+    height = (cells.agg(F.max("row")).first()[0] or 0) + 1
     lowest = lambda c: F.greatest(F.lit(0).cast("long"), F.ceil((F.col(c) - 63) / 48))
     highest = lambda c, n: F.least(F.floor(F.col(c) / 48), F.lit((n - 64) // 48).cast("long"))
     span = lambda c, n: F.when(lowest(c) <= highest(c, n), F.sequence(lowest(c), highest(c, n)))
-    dealt = cells.select("wet", F.explode(span("row", 200)).alias("i"), "col").select("wet", "i", F.explode(span("col", 300)).alias("j"))
+    dealt = cells.select("wet", F.explode(span("row", height)).alias("i"), "col").select("wet", "i", F.explode(span("col", 112)).alias("j"))
     return dealt.groupBy((F.col("i") * 48).alias("top"), (F.col("j") * 48).alias("left")).agg(F.count("*").alias("n"), F.round(F.avg("wet"), 6).alias("wet"))
 
 
 FRAGMENTS = """
-WITH c AS (SELECT range // 300 AS r, range % 300 AS c, CASE WHEN (range * 7919) % 10 < 3 THEN 1 ELSE 0 END AS wet FROM range(60000))
-SELECT i.range * 48 AS top, j.range * 48 AS "left", count(*) AS n, round(avg(wet), 6) AS wet FROM range(3) i, range(5) j, c WHERE r BETWEEN i.range * 48 AND i.range * 48 + 63 AND c BETWEEN j.range * 48 AND j.range * 48 + 63 AND i.range * 48 + 64 <= 200 AND j.range * 48 + 64 <= 300 GROUP BY ALL"""
+WITH c AS (SELECT o_orderkey // 112 AS r, o_orderkey % 112 AS c, CASE WHEN o_custkey % 10 < 3 THEN 1 ELSE 0 END AS wet FROM orders),
+i AS (SELECT unnest(range((SELECT max(r) FROM c) // 48 + 1)) AS i), j AS (SELECT unnest(range(3)) AS j)
+SELECT i * 48 AS top, j * 48 AS "left", count(*) AS n, round(avg(wet), 6) AS wet FROM i, j, c WHERE r BETWEEN i * 48 AND i * 48 + 63 AND c BETWEEN j * 48 AND j * 48 + 63 AND i * 48 + 64 <= (SELECT max(r) + 1 FROM c) AND j * 48 + 64 <= 112 GROUP BY ALL"""
 
 
 def paragraph_split(spark, sf):

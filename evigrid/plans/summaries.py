@@ -129,8 +129,8 @@ SELECT p_brand, CAST(p_size % 5 AS BIGINT) AS class, count(*) AS n, round(count(
 
 
 def window_percentile(spark, sf):
-    """Of each raster cell: the share of cells in the 11 x 11 square around it with a strictly smaller value, by shifts of a small grid."""
-    grid = spark.range(40 * 40).selectExpr("id DIV 40 AS row", "id % 40 AS col", "(id DIV 40 * 31 + id % 40 * 17) % 97 AS v")
+    """Of each raster cell: the share of cells in the 11 x 11 square around it with a strictly smaller value, by shifts of the grid (customers, 40 in a row)."""
+    grid = load(spark, sf, "customer").selectExpr("c_custkey DIV 40 AS row", "c_custkey % 40 AS col", "c_acctbal AS v")
     offsets = F.sequence(F.lit(-5), F.lit(5))
     around = grid.select("v", F.explode(F.transform(offsets, lambda d: F.col("row") + d)).alias("row"), "col").select("v", "row", F.explode(F.transform(offsets, lambda d: F.col("col") + d)).alias("col"))
     met = around.withColumnRenamed("v", "other").join(grid, ["row", "col"])
@@ -138,7 +138,7 @@ def window_percentile(spark, sf):
 
 
 WINDOW_PERCENTILE = """
-WITH g AS (SELECT range // 40 AS row, range % 40 AS col, (range // 40 * 31 + range % 40 * 17) % 97 AS v FROM range(1600))
+WITH g AS (SELECT c_custkey // 40 AS row, c_custkey % 40 AS col, c_acctbal AS v FROM customer)
 SELECT a.row, a.col, round(count(*) FILTER (b.v < a.v) * 100.0 / count(*), 4) AS percentile FROM g a JOIN g b ON abs(a.row - b.row) <= 5 AND abs(a.col - b.col) <= 5 GROUP BY ALL"""
 
 
@@ -197,7 +197,7 @@ SELECT user_id, array_to_string(list_sort(list_intersect(a, b)), ',') AS "both",
 
 def water_difference(spark, sf):
     """Cells wet after but not before an event, of two rasters; and the two-class accuracy of one as a forecast of the other."""
-    grid = spark.range(10_000).selectExpr("id", "(id * 7919) % 10 < 3 AS pre", "(id * 104729) % 10 < 4 AS post")
+    grid = load(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey % 10 < 3 AS pre", "(o_orderkey * 7919 + o_custkey) % 10 < 4 AS post")
     pre = grid.select("id", "pre")
     both = pre.join(grid.select("id", "post"), "id")
     p, q = F.col("pre"), F.col("post")
@@ -206,19 +206,19 @@ def water_difference(spark, sf):
 
 
 WATER = """
-WITH g AS (SELECT (range * 7919) % 10 < 3 AS pre, (range * 104729) % 10 < 4 AS post FROM range(10000))
+WITH g AS (SELECT o_custkey % 10 < 3 AS pre, (o_orderkey * 7919 + o_custkey) % 10 < 4 AS post FROM orders)
 SELECT count(*) FILTER (post AND NOT pre) AS new_cells, round(count(*) FILTER (pre AND post) / count(*) FILTER (pre OR post), 6) AS iou_wet, round(count(*) FILTER (NOT pre AND NOT post) / count(*) FILTER (NOT pre OR NOT post), 6) AS iou_dry FROM g"""
 
 
 def circular_mean(spark, sf):
     """Share of wet cells within 12 cells of the centres of a raster's tiles of 50 x 50 cells."""
-    grid = spark.range(200 * 200).selectExpr("id DIV 200 AS row", "id % 200 AS col", "CAST((id * 7919) % 10 < 3 AS INT) AS wet")
+    grid = load(spark, sf, "orders").selectExpr("o_orderkey DIV 200 AS row", "o_orderkey % 200 AS col", "CAST(o_custkey % 10 < 3 AS INT) AS wet")
     tile = grid.selectExpr("row DIV 50 AS tile_row", "col DIV 50 AS tile_col", "row % 50 - 25 AS dy", "col % 50 - 25 AS dx", "wet")
     return tile.where("dx * dx + dy * dy <= 144").groupBy("tile_row", "tile_col").agg(F.round(F.avg("wet") * 100, 4).alias("wet_pct"), F.count("*").alias("n"))
 
 
 CIRCULAR = """
-WITH g AS (SELECT range // 200 AS r, range % 200 AS c, CASE WHEN (range * 7919) % 10 < 3 THEN 1 ELSE 0 END AS wet FROM range(40000))
+WITH g AS (SELECT o_orderkey // 200 AS r, o_orderkey % 200 AS c, CASE WHEN o_custkey % 10 < 3 THEN 1 ELSE 0 END AS wet FROM orders)
 SELECT r // 50 AS tile_row, c // 50 AS tile_col, round(avg(wet) * 100, 4) AS wet_pct, count(*) AS n FROM g WHERE pow(r % 50 - 25, 2) + pow(c % 50 - 25, 2) <= 144 GROUP BY ALL"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return f"{folder.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
