@@ -35,7 +35,7 @@ from . import common, setjoin
 from .anchors import bitmap, identified, passes, slots
 from .automata import by_part
 from .common import ALNUM, mix
-from .setjoin import ID, TREE_SCHEMA, Sets, Shingles
+from .setjoin import ID, TREE_SCHEMA, Sets, Shingles, components  # noqa: F401  (components belongs to this module's interface too)
 
 SHINGLE = 5
 SIMILARITY = 0.8
