@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.shared import new_path
 
 
 def _band(lat: Column, height: float) -> Column:
@@ -65,6 +66,12 @@ def _bounds(level: int) -> tuple[Column, Column]:
     return F.nanvl(geo.haversine_m(F.col("q_lat"), F.col("q_lon"), lat, lon), F.lit(math.pi * geo.EARTH_RADIUS_M)), reach
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:
     """query_id, feature_id, distance_m of the nearest feature at any distance; the smaller id on ties.
 
@@ -73,14 +80,19 @@ def nearest_any(queries: DataFrame, features: DataFrame, radius_m: float) -> Dat
     their children. So a query meets the features of few small cells, however far they are and however many others there are.
     """
     pairs = radius_join(queries, features, radius_m)
-    near = pairs.groupBy("query_id").agg(F.min(F.struct("distance_m", "feature_id")).alias("b")).select("query_id", "b.feature_id", "b.distance_m")
-    placed = features.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("feature_id"), "lat", "lon", _cell(F.col("lat"), F.col("lon"), LEVELS).alias("cell"))
+    near = _stored(pairs.groupBy("query_id").agg(F.min(F.struct("distance_m", "feature_id")).alias("b")).select("query_id", "b.feature_id", "b.distance_m"), "near")
     left = queries.where("lat IS NOT NULL AND lon IS NOT NULL").join(near, queries.id == near.query_id, "left_anti")
-    at = left.select(F.col("id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.lit(0).cast("long").alias("up"))
+    at = _stored(left.select(F.col("id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.lit(0).cast("long").alias("up")), "left")
+    if at.isEmpty():
+        return near
+    placed = features.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("feature_id"), "lat", "lon", _cell(F.col("lat"), F.col("lon"), LEVELS).alias("cell"))
+    # The cells that hold features, stored once at the lowest level; each level above comes from the one below.
+    levels = {LEVELS: _stored(placed.select("cell").distinct(), "cells")}
+    up = lambda level: F.floor(F.floor(F.col("cell") / SPLIT**level) / SPLIT) * SPLIT ** (level - 1) + F.floor(F.col("cell") % SPLIT**level / SPLIT)
+    for level in range(LEVELS, 1, -1):
+        levels[level - 1] = levels[level].select(up(level).alias("cell")).distinct()
     for level in range(1, LEVELS + 1):
-        n, above = SPLIT**level, SPLIT ** (level - 1)
-        cells = placed.select(_cell(F.col("lat"), F.col("lon"), level).alias("cell")).distinct()
-        cells = cells.withColumn("up", F.floor(F.floor(F.col("cell") / n) / SPLIT) * above + F.floor(F.col("cell") % n / SPLIT))
+        cells = levels[level].withColumn("up", up(level))
         if level <= 2:
             cells = F.broadcast(cells)  # 4,096 cells at most
         middle, reach = _bounds(level)
