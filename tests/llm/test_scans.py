@@ -304,7 +304,7 @@ def test_pii_long_numbers(spark):
         begin = time.process_time()
         base = pii.detect(text)
         assert base == want and not pii.hidden(text, base)
-        assert time.process_time() - begin < 1, text[:20]
+        assert time.process_time() - begin < 1 + 2e-5 * len(want), text[:20]  # a second a text, and some for each of very many spans
     table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r.doc_id: r.spans for r in pii.spans(table).collect()} == {i: pii.written(w) for i, w in enumerate(cases.values())}
     masked = {r.doc_id: r.text for r in pii.redact(table).collect()}
