@@ -142,16 +142,23 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 def overlap_areas(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """a, b, area and shared of all pairs of polygons (id, rings) that share an area: the area of a, and of what both hold."""
     keyed = [df.select(F.xxhash64("id", F.to_json("rings")).alias(f"{n}_key"), F.col("rings").cast(_RINGS).alias(f"{n}_rings")).dropDuplicates([f"{n}_key"]) for df, n in ((a, "a"), (b, "b"))]
-    rows = box_pairs(a, b, cell).join(keyed[0], "a_key").join(keyed[1], "b_key").select("a", "b", "a_rings", "b_rings")
+
+    def own_area(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("area", pa.array([area(p) for p in edges_of(batch.column("a_rings").to_pylist())], pa.float64()))
+
+    sized = keyed[0].mapInArrow(own_area, f"a_key long, a_rings {_RINGS}, area double")
+    rows = box_pairs(a, b, cell).join(sized, "a_key").join(keyed[1], "b_key").select("a", "b", "area", "a_rings", "b_rings")
+    # Work goes by pairs and their edges, not by bytes: pairs are dealt anew, so that small tables are not left to one task.
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, other = (edges_of(batch.column(c).to_pylist()) for c in ("a_rings", "b_rings"))
-            columns = [batch.column("a"), batch.column("b"), pa.array([area(p) for p in own], pa.float64()), pa.array([overlap(p, q) for p, q in zip(own, other)], pa.float64())]
-            yield pa.record_batch(columns, names=["a", "b", "area", "shared"])
+            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("area"), pa.array([overlap(p, q) for p, q in zip(own, other)], pa.float64())], names=["a", "b", "area", "shared"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(measure, f"a {kinds['a']}, b {kinds['b']}, area double, shared double").where("shared > 0")
+    return dealt.mapInArrow(measure, f"a {kinds['a']}, b {kinds['b']}, area double, shared double").where("shared > 0")
 
 
 def burnt_runs(edges: Edges, x0: float, y0: float, size: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import aggregates, spatial
+from ..sources.shared import new_path
 from .tables import load
 
 #: Sentences that briefings are made of, so that each rule meets texts that keep and that break it.
@@ -235,8 +236,13 @@ SELECT query, vec_id, label, row_number() OVER (PARTITION BY query ORDER BY plac
 def rerank(spark, sf):
     """Candidates by similarity (25, of score 0.05 or more), reordered by the share of the query's words that their document has,
     the best of each label, 5 at most. Vectors and documents go by one id."""
-    words = load(spark, sf, "documents").select("doc_id", F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")), "").alias("words"))
-    near = similar(spark, sf, EVERY, 25).where("score >= 0.05")
+    path = new_path(spark, "candidates")
+    similar(spark, sf, EVERY, 25).where("score >= 0.05").write.parquet(path)
+    near = spark.read.parquet(path)
+    # Only documents that a pair needs are cut into words.
+    needed = near.select(F.col("query").alias("doc_id")).union(near.select("vec_id")).distinct()
+    texts = load(spark, sf, "documents").select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    words = texts.select("doc_id", F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")), "").alias("words"))
     met = near.join(words.select(F.col("doc_id").alias("query"), F.col("words").alias("asked")), "query", "left").join(words.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left")
     shared = F.size(F.array_intersect("asked", "words")) / F.greatest(F.size("asked"), F.lit(1))
     cut = met.select("query", "vec_id", "label", "place", F.round(F.coalesce(shared, F.lit(0.0)), 6).alias("second"))

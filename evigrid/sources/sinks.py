@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ def append_new(rows: DataFrame, path: str) -> int:
     spark = rows.sparkSession
     try:
         done = spark.read.parquet(path).select(*key).distinct()
-    except Exception as e:  # the table does not exist before the first run
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:  # the table does not exist before the first run
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         done = None
     keyed = rows.withColumn("_lat", key[0]).withColumn("_lon", key[1])

@@ -117,7 +117,12 @@ def peaks(events: DataFrame, idle_ms: int, late: str = "1 hour") -> DataFrame:
 
 
 def running_peak(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """After each batch: the users whose peak has risen, with the new peak; state is a few numbers a user, for `ttl_ms` if it is given."""
+    """After each batch: the users whose peak has risen, with the new peak; state is a few numbers a user.
+
+    With `ttl_ms` the state of a user lives so long after its last change. It goes by the clock on the wall then: such a stream looks at the
+    clock again and again, and does not end by itself when its input does.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    out = events.where("user_id IS NOT NULL").groupBy("user_id").transformWithStateInPandas(PeakProcessor(ttl_ms=ttl_ms), PEAK_SCHEMA, "append", "processingTime")
+    mode = "none" if ttl_ms is None else "processingTime"
+    out = events.where("user_id IS NOT NULL").groupBy("user_id").transformWithStateInPandas(PeakProcessor(ttl_ms=ttl_ms), PEAK_SCHEMA, "append", mode)
     return out.select("user_id", "peak", "n")
