@@ -63,7 +63,8 @@ RULES = [
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: cut after . ! or ? before white space; empty ones are left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+", -1), F.trim), lambda s: s != "")
+    # A bare F.trim would take the sentence's number, which transform hands over as well, for the characters to trim.
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def contains_any(text: Column, phrases) -> Column:

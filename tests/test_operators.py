@@ -215,6 +215,14 @@ def test_sentences_and_chunks_of_every_document(spark, tiny, tmp_path):
     assert {i: " ".join(t for _, t in sorted(c)) for i, c in chunked.items()} == {i: " ".join(cut(t)) for i, t, _ in docs if t and cut(t)}
 
 
+def test_sentences_keep_the_digits_at_their_ends(spark):
+    """Each sentence but the first was trimmed of the digits of its own number, and of no blanks."""
+    given = "Zero. 19.37.233.111! 2381 houses in 2012 ? 33"
+    got = spark.createDataFrame([(given,)], "x string").select(text.sentences(F.col("x"))).first()[0]
+    assert got == ["Zero.", "19.37.233.111!", "2381 houses in 2012 ?", "33"]
+    assert spark.createDataFrame([("  One.  Two. ",)], "x string").select(text.sentences(F.col("x"))).first()[0] == ["One.", "Two."]
+
+
 def test_alerts_of_the_last_day_of_each_user(spark, tmp_path):
     rows = [(1, 1, "view", "2024-01-20 10:00:00"), (2, 1, "alarm", "2024-01-20 11:00:00"), (3, 1, "flood", "2024-02-03 09:00:00"), (4, 1, "view", "2024-02-03 23:59:59"), (5, 2, "alarm", "2024-01-20 00:00:00"), (6, 2, "view", "2024-01-21 00:00:00")]
     rows += [(10 + i, 3, f"k{i}", "2024-03-31 12:00:00") for i in range(4)] + [(20, 4, "old", "2023-12-20 12:00:00"), (21, 4, "new", "2024-01-20 12:00:00"), (30, 5, "alarm", None)]
