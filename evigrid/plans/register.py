@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import spatial
-from .spatial import _IN, ASSETS, _assets
-from .tables import BOXES_SQL, boxes, haversine_sql, load, points, points_sql
+from .spatial import _IN, ASSETS, _assets, _held
+from .tables import BOXES_SQL, haversine_sql, load, points, points_sql
 
 RADIUS = 2000.0
 
@@ -16,13 +16,12 @@ RADIUS = 2000.0
 def exposure(spark, sf) -> DataFrame:
     """Each asset with its indicators: flags and depth classes of polygons, hazard points near by, terrain and records."""
     assets = _assets(spark, sf)
-    zones = boxes(load(spark, sf, "part"))
-    hits = spatial.polygon_join(assets, zones, 0.01).groupBy("point_id").agg(F.max("class").alias("depth"), F.count("*").alias("zones"))
+    held = _held(spark, sf, assets).withColumnRenamed("class", "depth")
     marks = points(load(spark, sf, "supplier"), "s_suppkey", 50000)
-    near = spatial.radius_join(assets, marks, RADIUS).groupBy("query_id").agg(F.count("*").alias("marks"), F.min("distance_m").alias("mark_m"))
+    near = spatial.radius_fold(assets, marks, RADIUS, [F.count("*").alias("here")], [F.sum("here").alias("marks"), F.min("distance_m").alias("mark_m")])
     records = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("complaints"))
     ground = assets.withColumn("hand", (F.col("id") * 31) % 97 / 4).withColumn("twi", ((F.col("id") * 17) % 15).cast("double"))
-    joined = ground.join(hits, ground.id == hits.point_id, "left").join(near, ground.id == near.query_id, "left").join(records, "id", "left")
+    joined = spatial.back(spatial.back(ground, held), near).join(records, "id", "left")
     return joined.select(
         "id", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("zones", F.lit(0).cast("long")).alias("zones"), F.coalesce("marks", F.lit(0).cast("long")).alias("marks"), "mark_m",
         F.coalesce("complaints", F.lit(0).cast("long")).alias("complaints"), "hand", "twi",

@@ -262,6 +262,29 @@ def test_nearest_at_any_distance(spark):
     assert spatial.nearest_any(frame(queries), frame([]), 500.0).count() == 0
 
 
+def test_nearest_n_of_places_equals_sorting(spark):
+    """Rows at one place, fewer than n within a part of the radius, and none at all."""
+    rnd = random.Random(9)
+    at = lambda k: (40 + rnd.randrange(k) / 500, -74 + rnd.randrange(k) / 500)
+    a, b = [(i, *at(12)) for i in range(60)] + [(60, 10.0, 10.0), (61, None, 1.0)], [(i, *at(8)) for i in range(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double")
+    metres = {(x.query_id, x.feature_id): x.distance_m for x in spatial.radius_join(frame(a), frame(b), 1500.0).collect()}
+    expected = {(q, f) for q, *_ in a for _, f in sorted((m, f) for (p, f), m in metres.items() if p == q)[:4]}
+    found = spatial.back(frame(a), spatial.nearest_n(frame(a), frame(b), 4, 1500.0), "inner")
+    assert {(x.id, x.feature_id) for x in found.collect()} == expected and expected
+
+
+def test_zones_hold_their_edges(spark, tmp_path):
+    """Places on the edges of the diamonds: the rule of SQL, |x| + |y| <= half, tells."""
+    from evigrid.plans import spatial as places
+    from compare import difference
+
+    spark.range(32_000, 34_000).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(0, 60_000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("pip_flag", "pip_max_class"):
+        assert difference(spark, str(tmp_path), *places.QUERIES[name]) == ""
+
+
 def test_traced_rings():
     grid = np.array([[1, 1, 1, 0], [1, 0, 1, 0], [1, 1, 1, 0], [0, 0, 0, 1]], bool)
     rings = raster.traced(raster.labelled(grid) == raster.labelled(grid)[0, 0])
