@@ -5,8 +5,8 @@ and no label toxic) give the target multinomial, all documents the raw one. A do
 n-grams. The threshold is a low quantile of the scores of the other, held-out half of the trusted documents, less a
 margin: the same number for every document, so that reruns decide alike.
 
-TRUSTED_MOST bounds the sample of trusted documents (those with the smallest hashes of their ids); everything else is
-computed from all documents.
+Every trusted document counts, on one side or the other; their ids meet the documents and the scores in joins, of which
+Spark broadcasts small ones, so that no list of ids goes through the driver.
 
 Edge cases: a null or empty text has no words, fails the base rules and is rejected; repeated rows are judged alike;
 without trusted labels no document is rejected by its score; other columns are ignored.
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import quantiles
 from . import common
 from .common import SPACED, SpanHasher, TextBlock, mix
 
 BUCKETS = 10_000
-TRUSTED_MOST = 100_000
 QUANTILE = 0.002
 MARGIN = 0.02
 REPEAT_WINDOW = 8
@@ -42,26 +42,21 @@ def _grams(h: np.ndarray, doc: np.ndarray, n: int, buckets: int) -> tuple[np.nda
     return (grams % np.uint64(buckets)).astype(np.int64), np.concatenate((doc, doc[pairs]))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids of trusted documents: those the target is fitted on, and those held out for the threshold."""
-    told = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    rows = told.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") != 0).alias("toxic")).where("good > 0 AND toxic = 0").select("doc_id")
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = chosen.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fit")).toPandas()
-    return np.sort(ids.doc_id[ids.fit].to_numpy(np.int64)), np.sort(ids.doc_id[~ids.fit.astype(bool)].to_numpy(np.int64))
+def trusted(labels: DataFrame) -> DataFrame:
+    """trusted_id, fit: every trusted document, once; the target is fitted on those with `fit`, the others are held out for the threshold."""
+    told = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("trusted_id"))
+    rows = told.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") != 0).alias("toxic")).where("good > 0 AND toxic = 0")
+    return rows.select("trusted_id", (F.pmod(F.xxhash64("trusted_id"), F.lit(2)) == 0).alias("fit"))
 
 
-def _member(ids: np.ndarray, column: pa.Array) -> np.ndarray:
-    given = column.fill_null(-1).to_numpy(zero_copy_only=False)
-    at = np.searchsorted(ids, given)
-    found = at < len(ids)
-    found[found] = ids[at[found]] == given[found]
-    return found & ~column.is_null().to_numpy(zero_copy_only=False)
+def trusted_ids(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids of all trusted documents, those fitted on and those held out, for a look at a small table: no query collects them."""
+    ids = trusted(labels).toPandas()
+    return np.sort(ids.trusted_id[ids.fit].to_numpy(np.int64)), np.sort(ids.trusted_id[~ids.fit.astype(bool)].to_numpy(np.int64))
 
 
-def log_ratios(documents: DataFrame, fit_on: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket, from counts over all documents."""
-    sent = documents.sparkSession.sparkContext.broadcast(fit_on)
+def log_ratios(documents: DataFrame, chosen: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """log(target / raw) of each bucket, from counts over all documents; chosen: the rows of ``trusted``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -69,10 +64,12 @@ def log_ratios(documents: DataFrame, fit_on: np.ndarray, buckets: int = BUCKETS)
             words = TextBlock(batch.column("text")).words(SPACED)
             bucket, doc = _grams(words.hashes(), words.doc, len(words.starts), buckets)
             raw += np.bincount(bucket, minlength=buckets)
-            target += np.bincount(bucket[_member(sent.value, batch.column("doc_id"))[doc]], minlength=buckets)
+            target += np.bincount(bucket[batch.column("fit").to_numpy(zero_copy_only=False)[doc]], minlength=buckets)
         yield pa.record_batch({"bucket": pa.array(np.arange(buckets)), "raw": pa.array(raw), "target": pa.array(target)})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fit = chosen.where("fit").select("trusted_id", "fit")
+    rows = rows.join(fit, F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "text", F.coalesce("fit", F.lit(False)).alias("fit"))
     sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[sums.bucket], target[sums.bucket] = sums.raw, sums.target
@@ -130,7 +127,7 @@ def _dup_lines(block: TextBlock, words: common.Words) -> np.ndarray:
     return out
 
 
-SCORES_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, held_out boolean"
+SCORES_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double"
 
 
 def _judge(batch: pa.RecordBatch, ratios: np.ndarray) -> dict[str, np.ndarray]:
@@ -150,38 +147,38 @@ def _judge(batch: pa.RecordBatch, ratios: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def scores(documents: DataFrame, ratios: np.ndarray, held_out: np.ndarray) -> DataFrame:
+def scores(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
     """The base numbers and the score of each document row."""
-    sent = documents.sparkSession.sparkContext.broadcast((ratios, held_out))
+    sent = documents.sparkSession.sparkContext.broadcast(ratios)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, held_out = sent.value
         for batch in common.pieces(batches):
-            judged = _judge(batch, ratios) | {"held_out": _member(held_out, batch.column("doc_id"))}
-            yield pa.record_batch({"doc_id": batch.column("doc_id")} | {k: pa.array(v) for k, v in judged.items()})
+            yield pa.record_batch({"doc_id": batch.column("doc_id")} | {k: pa.array(v) for k, v in _judge(batch, sent.value).items()})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(judge, SCORES_SCHEMA)
 
 
-def threshold(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> float:
-    """The quantile of the held-out trusted scores of documents that the base rules keep, less the margin."""
-    found = scored.where("held_out AND NOT base_failed").agg(F.percentile("score", F.lit(quantile))).first()[0]
-    return float("-inf") if found is None else found - margin
+def threshold(scored: DataFrame, chosen: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> float:
+    """The quantile of the held-out trusted scores of documents that the base rules keep, less the margin; exact, and no task holds all scores."""
+    held = chosen.where("NOT fit").select("trusted_id")
+    kept = scored.where("NOT base_failed").join(held, F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.lit(0).alias("g"), "score")
+    found = quantiles.quantiles(kept, "g", "score", {"least": quantile}).first()
+    return float("-inf") if found is None or found["least"] is None else found["least"] - margin
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of ``scores``, and kept."""
-    fit_on, held_out = trusted_ids(labels)
-    scored = common.stored(scores(documents, log_ratios(documents, fit_on), held_out), "scores")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold(scored)))
+    chosen = common.stored(trusted(labels), "trusted")
+    scored = common.stored(scores(documents, log_ratios(documents, chosen)), "scores")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold(scored, chosen)))
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that ``quality`` keeps, with all their columns; texts are judged again rather than stored or shuffled."""
-    fit_on, held_out = trusted_ids(labels)
-    ratios = log_ratios(documents, fit_on)
-    least = threshold(common.stored(scores(documents, ratios, held_out).select("score", "base_failed", "held_out"), "scores"))
+    chosen = common.stored(trusted(labels), "trusted")
+    ratios = log_ratios(documents, chosen)
+    least = threshold(common.stored(scores(documents, ratios).select("doc_id", "score", "base_failed"), "scores"), chosen)
     sent = documents.sparkSession.sparkContext.broadcast(ratios)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,6 +158,21 @@ def test_quality_score_and_threshold(spark, small):
     assert len(sure) >= len(got) - 1 and all(r.kept == (not failed[r.doc_id] and score[r.doc_id] >= least) for r in sure)
 
 
+def test_quality_fits_on_every_trusted_document(spark, monkeypatch):
+    """More trusted documents than a sample once held: all of them are fitted on or held out."""
+    from evigrid.operators import quantiles
+
+    told = spark.range(100_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    fit_on, held_out = quality.trusted_ids(told)
+    assert sorted([*fit_on, *held_out]) == list(range(100_500))
+    scored = spark.range(1_000).selectExpr("id AS doc_id", "CAST(id AS DOUBLE) AS score", "false AS base_failed")
+    seen, real = [], quantiles.quantiles
+    monkeypatch.setattr(quantiles, "quantiles", lambda rows, *more: seen.append(rows.count()) or real(rows, *more))
+    expected = np.quantile([i for i in held_out.tolist() if i < 1_000], quality.QUANTILE) - quality.MARGIN
+    assert abs(quality.threshold(scored, quality.trusted(told)) - expected) < 1e-9
+    assert seen == [sum(i < 1_000 for i in held_out.tolist())]
+
+
 def test_quality_on_held_out_labels(spark, small):
     labels = pd.read_parquet(f"{small}/labels.parquet")
     got = quality.op7(spark, small).toPandas().merge(labels, on="doc_id")
