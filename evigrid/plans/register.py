@@ -62,9 +62,9 @@ EXPOSURE = f"{_SCORED} SELECT id, depth, zones, marks, complaints, round(regulat
 
 
 def ranked_register(spark, sf):
-    """The register: assets with any exposure by score, the highest first; names break ties."""
+    """The register: assets with any exposure by score, the highest first; names, then ids break ties."""
     names = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    return scored(spark, sf).where("tier > 0").join(names, "id").select("id", "c_name", "score", F.col("tier").cast("long").alias("tier")).orderBy(F.desc("score"), "c_name")
+    return scored(spark, sf).where("tier > 0").join(names, "id").select("id", "c_name", "score", F.col("tier").cast("long").alias("tier")).orderBy(F.desc("score"), "c_name", "id")
 
 
 RANKED = f"{_SCORED} SELECT id, c_name, score, tier FROM f JOIN customer ON c_custkey = id WHERE tier > 0"
