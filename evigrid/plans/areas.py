@@ -30,11 +30,9 @@ def _zones(spark, sf):
 
 
 def _by_class(spark, sf):
-    zones = _zones(spark, sf)
-    pairs = polygons.overlap_areas(_developments(spark, sf), zones.select("id", "rings"), CELL)
-    named = pairs.join(zones.select(F.col("id").alias("b"), "class"), "b")
+    found = polygons.overlap_classes(_developments(spark, sf), _zones(spark, sf), CELL)
     # Overlaps are summed, so that a share can exceed 1.
-    return named.groupBy(F.col("a").alias("id"), "class").agg((F.sum("shared") / F.first("area")).alias("share"), F.sum("shared").alias("shared"), F.count("*").alias("zones"))
+    return found.select("id", "class", (F.col("shared") / F.col("area")).alias("share"), "shared", F.col("n").alias("zones"))
 
 
 def polygon_overlap(spark, sf):
