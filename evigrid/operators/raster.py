@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def filled(cells: DataFrame, largest: int = 5) -> DataFrame:
     return cells.join(new, ["row", "col"], "left").select("row", "col", F.when(F.col("value").isNull() | F.isnan("value"), F.col("new")).otherwise(F.col("value")).alias("value"))
 
 
+#: Tiles whose cells are Python's at once.
+TILES = 64
+
+
+def _grids(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each tile of a batch: its row, and the values of its grid, NaN where there is none, with the number of its cells."""
+    for first in range(0, batch.num_rows, TILES):
+        cells = batch.column("cells").slice(first, TILES)
+        flat, n = cells.flatten(), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False)
+        place = pc.struct_field(flat, "place").to_numpy(zero_copy_only=False)
+        value = pc.struct_field(flat, "value").to_numpy(zero_copy_only=False).astype(np.float64)
+        grid = np.full((len(n), size * size), np.nan)
+        known = ~np.isnan(value)
+        grid[np.repeat(np.arange(len(n)), n)[known], place[known].astype(np.int64)] = value[known]
+        for i in range(len(n)):
+            yield first + i, grid[i], n[i]
+
+
 def labelled(wet: np.ndarray) -> np.ndarray:
     """Numbers of the 4-connected areas of a grid of flags, 0 where it is not set: labels spread until none changes."""
     label = np.where(wet, np.arange(1, wet.size + 1).reshape(wet.shape), 0)
@@ -45,17 +65,17 @@ def labelled(wet: np.ndarray) -> np.ndarray:
 def areas(tiles: DataFrame, size: int, least: float) -> DataFrame:
     """Of each tile: the share of cells of value `least` or more, and the number and largest size of their 4-connected areas."""
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for tile in frame.itertuples(index=False):
-                wet = np.zeros(size * size, bool)
-                wet[[c["place"] for c in tile.cells if c["value"] is not None and c["value"] >= least]] = True
-                _, n = np.unique(labelled(wet.reshape(size, size))[wet.reshape(size, size)], return_counts=True)
-                rows.append((tile.tile_row, tile.tile_col, wet.sum() / max(len(tile.cells), 1), len(n), int(n.max(initial=0))))
-            yield pd.DataFrame(rows, columns=["tile_row", "tile_col", "share", "areas", "largest"])
+            for _, grid, cells in _grids(batch, size):
+                wet = (grid >= least).reshape(size, size)
+                _, n = np.unique(labelled(wet)[wet], return_counts=True)
+                rows.append((wet.sum() / max(cells, 1), len(n), int(n.max(initial=0))))
+            share, areas_, largest = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.float64, np.int64, np.int64)))
+            yield pa.record_batch([batch.column("tile_row"), batch.column("tile_col"), pa.array(share), pa.array(areas_), pa.array(largest)], names=["tile_row", "tile_col", "share", "areas", "largest"])
 
-    return tiles.mapInPandas(measure, "tile_row long, tile_col long, share double, areas long, largest long")
+    return tiles.mapInArrow(measure, "tile_row long, tile_col long, share double, areas long, largest long")
 
 
 def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
@@ -127,25 +147,30 @@ def traced(inside: np.ndarray) -> list[list[tuple[int, int]]]:
     return rings
 
 
+_OUTLINES = pa.schema([(c, pa.int64()) for c in ("tile_row", "tile_col", "class", "cells")] + [("rings", pa.list_(pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))))])
+
+
 def outlines(tiles: DataFrame, size: int, drop: tuple[int, ...] = (0,), least: int = 1) -> DataFrame:
     """Polygons of a raster of classes: tile_row, tile_col, class, cells and rings (corners x: column, y: row) of each 4-connected
     area of one class within a tile, but for dropped classes and areas of fewer than `least` cells."""
     schema = "tile_row long, tile_col long, class long, cells long, rings array<array<struct<x:long,y:long>>>"
 
-    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for tile in frame.itertuples(index=False):
-                grid = np.full(size * size, drop[0] if drop else -1, np.int64)
-                known = [c for c in tile.cells if c["value"] is not None]
-                grid[[c["place"] for c in known]] = [int(c["value"]) for c in known]
-                grid = grid.reshape(size, size)
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [batch.column(c).to_numpy().tolist() for c in ("tile_row", "tile_col")]
+            rows: list[dict] = []
+            for i, values, _ in _grids(batch, size):
+                tile_row, tile_col = at[0][i], at[1][i]
+                grid = np.where(np.isnan(values), drop[0] if drop else -1, np.nan_to_num(values)).astype(np.int64).reshape(size, size)
                 for value in np.setdiff1d(np.unique(grid), drop).tolist():
                     label = labelled(grid == value)
                     for number, n in zip(*np.unique(label[label > 0], return_counts=True)):
                         if n >= least:
-                            rings = [[{"x": tile.tile_col * size + c, "y": tile.tile_row * size + r} for r, c in ring] for ring in traced(label == number)]
-                            rows.append((tile.tile_row, tile.tile_col, value, int(n), rings))
-            yield pd.DataFrame(rows, columns=["tile_row", "tile_col", "class", "cells", "rings"])
-
-    return tiles.mapInPandas(trace, schema)
+                            rings = [[{"x": tile_col * size + c, "y": tile_row * size + r} for r, c in ring] for ring in traced(label == number)]
+                            rows.append({"tile_row": tile_row, "tile_col": tile_col, "class": value, "cells": int(n), "rings": rings})
+                if len(rows) >= TILES:
+                    yield pa.RecordBatch.from_pylist(rows, _OUTLINES)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, _OUTLINES)
+
+    return tiles.mapInArrow(trace, schema)

@@ -155,8 +155,6 @@ def test_streams(spark, small, tmp_path):
 def test_raster_areas_and_outlines(spark):
     import numpy as np
 
-    from evigrid.operators import raster
-
     rnd = np.random.default_rng(0)
     for _ in range(20):
         wet = rnd.random((12, 9)) < 0.5
@@ -298,3 +296,18 @@ def test_interpolation_is_by_known_hours(spark):
     frame = spark.createDataFrame(rows, "k long, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
     got = [(x.k, x.hour.hour, x.v, x.filled) for x in timeseries.interpolated(frame, "k").orderBy("k", "hour").collect()]
     assert got == [(1, 0, 3.0, False), (1, 1, 5.0, True), (1, 2, 7.0, True), (1, 3, 9.0, False), (2, 5, 1.0, False)]
+
+
+def test_tiles_are_read_some_at_a_time(spark):
+    """More tiles than are held at once, some of their cells without values, give what each gives alone."""
+    n = 2 * raster.TILES + 3
+    cells = spark.createDataFrame([(4 * t + k // 4, k % 4, None if (t + k) % 7 == 0 else float((t * 5 + k * 3) % 10)) for t in range(n) for k in range(16)], "row long, col long, value double")
+    tiles = raster.tiled(cells, 4).coalesce(1)
+    seen = [len(g) for g in raster._grids(tiles.orderBy("tile_row").toArrow().combine_chunks().to_batches()[0], 4)]
+    assert seen == [3] * n
+    got = {r.tile_row: (r.share, r.areas, r.largest) for r in raster.areas(tiles, 4, 6.0).collect()}
+    for t in (0, raster.TILES, n - 1):
+        wet = np.array([(t + k) % 7 != 0 and (t * 5 + k * 3) % 10 >= 6 for k in range(16)]).reshape(4, 4)
+        _, size = np.unique(raster.labelled(wet)[wet], return_counts=True)
+        assert got[t] == (wet.mean(), len(size), size.max())
+    assert sum(r.cells for r in raster.outlines(tiles, 4).collect()) == sum((t + k) % 7 != 0 and (t * 5 + k * 3) % 10 > 0 for t in range(n) for k in range(16))
