@@ -31,6 +31,8 @@ LISTS_MOST = 32_768
 GROUP_DIMENSIONS = 4
 VISITED = 0.95
 LIST_BLOCK, QUERY_BLOCK = 4096, 256
+#: Shards of the stored lists, vectors of a shard (but for small tables), and the tasks of a shard by queries: ASKED_MOST of them at most.
+SHARDS, SHARD_VECTORS, PARTS, ASKED_MOST = 16, 1 << 19, 4, 16_384
 CANDIDATES = 100
 
 
@@ -86,6 +88,7 @@ class Quantiser:
     centres: np.ndarray
     words: list[np.ndarray]
     visits: int
+    n: int = 0
 
     def groups(self) -> list[slice]:
         return [slice(i, min(i + GROUP_DIMENSIONS, self.size)) for i in range(0, self.size, GROUP_DIMENSIONS)]
@@ -131,7 +134,7 @@ def fit(vectors: DataFrame, lists: int | None = None, most: int = FIT_MOST) -> Q
     x = normalised(np.array([v for v in found if len(v) == size]))
     centres = k_means(x, min(lists or math.isqrt(n), LISTS_MOST, len(x)))
     left = x - centres[nearest(x, centres)]
-    made = Quantiser(size, centres, [], len(centres))
+    made = Quantiser(size, centres, [], len(centres), n)
     made.words = [k_means(left[:, g], 256) for g in made.groups()]
     made.visits = visits_needed(x, centres)
     return made
@@ -185,41 +188,42 @@ def search(blocks: DataFrame, quantiser: Quantiser, vectors: DataFrame, queries:
     sent = vectors.sparkSession.sparkContext.broadcast(quantiser)
     asked = _clean(queries).where(F.size("embedding") == quantiser.size)
 
+    shards, parts = max(SHARDS, -(-quantiser.n // SHARD_VECTORS)), max(PARTS, -(-asked.count() // ASKED_MOST))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"), sent.value.size)
-            lists = sent.value.lists(x)
-            rows, data = np.repeat(np.arange(len(x)), lists.shape[1]), [v.tobytes() for v in x]
-            yield pa.record_batch([pa.array(lists.ravel().astype(np.int32)), batch.column("vec_id").take(pa.array(rows)), pa.array([data[i] for i in rows], pa.binary())], names=["list", "vec_id", "data"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, ids, data = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("data").to_pylist()
-            cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else np.zeros(1, int)
-            spans = [(a, min(a + QUERY_BLOCK, e)) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for a in range(s, e, QUERY_BLOCK)]
-            columns = [pa.array([int(of[a]) for a, _ in spans], pa.int32()), pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([b"".join(data[a:b]) for a, b in spans], pa.binary())]
-            yield pa.record_batch(columns, names=["list", "queries", "data"])
-
-    routed = asked.mapInArrow(route, "list int, vec_id long, data binary").repartition(F.col("list"), F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("list")
-    met = blocks.join(routed.mapInArrow(pack, "list int, queries binary, data binary"), "list")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                ids, names = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["queries"], np.int64)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                tables = sent.value.tables(np.frombuffer(row["data"]).reshape(len(names), -1), row["list"])
-                far = np.zeros((len(names), len(ids)))
+            visited = np.zeros((len(x), len(sent.value.centres)), bool)
+            np.put_along_axis(visited, sent.value.lists(x), True, 1)
+            yield pa.record_batch([batch.column("vec_id"), *(pa.array([v.tobytes() for v in m], pa.binary()) for m in (x, np.packbits(visited, axis=1)))], names=["vec_id", "data", "visited"])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    routed = asked.mapInArrow(route, "vec_id long, data binary, visited binary").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("shard", every(shards))
+    stored = blocks.withColumn("shard", F.pmod(F.xxhash64("list", "ids"), F.lit(shards)).cast("int")).withColumn("part", every(parts))
+
+    def look_up(lists: pa.Table, queries: pa.Table) -> pa.Table:
+        names = queries.column("vec_id").to_numpy()
+        x = np.frombuffer(b"".join(queries.column("data").to_pylist())).reshape(len(names), sent.value.size)
+        visited = np.frombuffer(b"".join(queries.column("visited").to_pylist()), np.uint8).reshape(len(names), -1)
+        best, at = np.full((len(names), candidates), np.inf), np.zeros((len(names), candidates), np.int64)
+        for of, held, coded in zip(*(lists.column(c).to_pylist() for c in ("list", "ids", "codes"))):
+            ids = np.frombuffer(held, np.int64)
+            codes = np.frombuffer(coded, np.uint8).reshape(len(ids), -1)
+            asking = np.flatnonzero(visited[:, of >> 3] >> (7 - (of & 7)) & 1)
+            for q in (asking[i : i + QUERY_BLOCK] for i in range(0, len(asking), QUERY_BLOCK)):
+                tables = sent.value.tables(x[q], of)
+                far = np.zeros((len(q), len(ids)))
                 for g in range(codes.shape[1]):
                     far += tables[:, g, :][:, codes[:, g]]
-                far[names[:, None] == ids[None, :]] = np.inf
-                best = np.argpartition(far, min(candidates, len(ids)) - 1, axis=1)[:, :candidates]
-                found = np.take_along_axis(far, best, 1).ravel()
-                query, at = np.repeat(names, best.shape[1]), ids[best.ravel()]
-                known = np.isfinite(found)
-                yield pa.record_batch({"query": pa.array(query[known]), "vec_id": pa.array(at[known]), "far": pa.array(found[known])})
-
-    near = top_n(met.mapInArrow(look_up, "query long, vec_id long, far double"), ["query"], [F.col("far"), F.col("vec_id")], candidates).select("query", "vec_id")
+                far[names[q][:, None] == ids[None, :]] = np.inf
+                far, who = np.concatenate((best[q], far), 1), np.concatenate((at[q], np.broadcast_to(ids, far.shape)), 1)
+                first = np.argpartition(far, candidates - 1, axis=1)[:, :candidates]
+                best[q], at[q] = np.take_along_axis(far, first, 1), np.take_along_axis(who, first, 1)
+        known = np.isfinite(best)
+        return pa.table({"query": pa.array(np.repeat(names, candidates)[known.ravel()]), "vec_id": pa.array(at[known]), "far": pa.array(best[known])})
+
+    met = stored.groupBy("shard", "part").cogroup(routed.groupBy("shard", "part")).applyInArrow(look_up, "query long, vec_id long, far double")
+    near = top_n(met, ["query"], [F.col("far"), F.col("vec_id")], candidates).select("query", "vec_id")
     clean = _clean(vectors)
     pairs = near.join(clean, "vec_id").join(asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked")), "query")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

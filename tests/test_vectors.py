@@ -84,3 +84,23 @@ def test_codes_measure_what_they_say():
             assert np.allclose(((x[:5] - placed) ** 2).sum(1), [sum(t[g, c] for g, c in enumerate(codes[i])) for t in told])
     assert [s.stop - s.start for s in made.groups()] == [4, 4, 2] and (made.lists(x)[:, 0] == of).all()
     assert len(vectors.k_means(np.ones((50, 3)), 5)) == 1
+
+
+def test_queries_are_sent_by_shards_not_by_lists(spark):
+    """What a search shuffles to its lists grows with queries and shards; several parts of queries and of lists find what one finds."""
+    rnd = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rnd.normal(size=(900, 8)).tolist())], "vec_id long, embedding array<double>")
+    made = vectors.fit(table)
+    blocks = vectors.build(table, made).cache()
+    asked = table.where("vec_id % 9 = 0")
+    plan = vectors.search(blocks, made, table, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    found = []
+    for shards, vectors_each, most in ((1, 1 << 20, 1 << 20), (3, 1 << 20, 1 << 20), (1, 100, 30)):
+        before = vectors.SHARDS, vectors.SHARD_VECTORS, vectors.PARTS, vectors.ASKED_MOST
+        vectors.SHARDS, vectors.SHARD_VECTORS, vectors.PARTS, vectors.ASKED_MOST = shards, vectors_each, 1, most
+        try:
+            found.append(sorted(tuple(r) for r in vectors.search(blocks, made, table, asked).collect()))
+        finally:
+            vectors.SHARDS, vectors.SHARD_VECTORS, vectors.PARTS, vectors.ASKED_MOST = before
+    assert len(found[0]) == 1000 and found[0] == found[1] == found[2]
