@@ -311,3 +311,14 @@ def test_tiles_are_read_some_at_a_time(spark):
         _, size = np.unique(raster.labelled(wet)[wet], return_counts=True)
         assert got[t] == (wet.mean(), len(size), size.max())
     assert sum(r.cells for r in raster.outlines(tiles, 4).collect()) == sum((t + k) % 7 != 0 and (t * 5 + k * 3) % 10 > 0 for t in range(n) for k in range(16))
+
+
+def test_flow_is_joined_by_shuffles(spark):
+    """No table of cells is broadcast, small as it may look: each round of the doubling would send one through the driver."""
+    from evigrid.operators import terrain
+
+    cells = spark.createDataFrame([(r, c, float(40 - r - c)) for r in range(12) for c in range(5)], "row long, col long, value double")
+    out = terrain.indices(cells, 30.0, 5)
+    for df in (terrain.directions(cells), out):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 60
