@@ -12,19 +12,25 @@ from ..sources import shared
 from ..streaming import events as streams
 
 
-def _run(spark, sf, name: str, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+FILES_EACH = 4
+
+
+def _run(spark, sf, name: str, stream: Callable[..., DataFrame]) -> DataFrame:
     """Runs a stream to the end of its input, its sink being a table that is only added to. Then a clock moves the watermark past all windows, and
-    the stream is started again from its checkpoint, which closes them and lets their state go."""
+    the stream is started again from its checkpoint, which closes them and lets their state go. Files come in any order of their events: where
+    they are not all read at once, events may be late by the whole span of time, so that none is dropped."""
     path = shared.new_path(spark, name)
     clock = f"{path}-clock"
     streams.tick(spark, clock, datetime(1970, 1, 2))
-    read = spark.readStream.schema(streams.SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be a file or a folder
-    out = stream(streams.with_clock(read, clock))
-    last = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0] or datetime(1970, 1, 2)
+    read = spark.readStream.schema(streams.SCHEMA).option("maxFilesPerTrigger", FILES_EACH).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be a file or a folder
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    first, last = (at or datetime(1970, 1, 2) for at in table.agg(F.min("ts"), F.max("ts")).first())
+    span = last - first + timedelta(days=1) if len(table.inputFiles()) > FILES_EACH else timedelta(0)
+    out = stream(streams.with_clock(read, clock), **({"late": f"{span.days + 1} days"} if span else {}))
     for _ in range(2):
         writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
         writer.format("parquet").option("path", path).start().awaitTermination()
-        streams.tick(spark, clock, last + timedelta(days=60))
+        streams.tick(spark, clock, last + span + timedelta(days=60))
     return spark.read.schema(out.schema).parquet(path).where("user_id IS NOT NULL" if "user_id" in out.columns else "true")
 
 
@@ -62,7 +68,7 @@ SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s,
 
 def stream_once(spark, sf):
     """Events that arrive twice, each kept once by a stream, by type."""
-    out = _run(spark, sf, "once", lambda e: streams.deduplicated(e.unionByName(e)))
+    out = _run(spark, sf, "once", lambda e, **late: streams.deduplicated(e.unionByName(e), **late))
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
@@ -71,7 +77,7 @@ ONCE = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM e
 
 def stream_peaks(spark, sf):
     """The highest value of each user, by a stream with state of its own that closes when a user has been idle for ten days after the end."""
-    out = _run(spark, sf, "peaks", lambda e: streams.peaks(e, 10 * 86_400_000))
+    out = _run(spark, sf, "peaks", lambda e, **late: streams.peaks(e, 10 * 86_400_000, **late))
     return out.groupBy("user_id").agg(F.max("peak").alias("peak"))
 
 

@@ -2,6 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from compare import difference
+from pyspark.sql import functions as F
+
+from evigrid import registry
 from evigrid.streaming import events as streams
 
 START = datetime(2024, 3, 1)
@@ -57,3 +62,22 @@ def test_users_expire(spark, tmp_path):
     streams.tick(spark, f"{folder}/clock", START + timedelta(days=9))
     run(source(), folder, "peaks")
     assert {r for r in told() if r[1] == "closed"} == {(1, "closed", 1.0, 2, (1.0,)), (2, "closed", 7.0, 3, (4.0, 7.0)), (1, "closed", 0.5, 1, (0.5,))}
+
+
+@pytest.mark.parametrize("name", ["stream_peaks", "stream_daily"])
+def test_files_in_any_order_lose_no_event(spark, tmp_path, name):
+    folder = f"file://{tmp_path}/events.parquet"
+    for i in range(13):  # more files than two batches read, the first ones with the latest events
+        arrive(spark, folder, [(2 * i + j, 24 * (20 - i) + 7 * j, i % 6 + 6 * j, float(i)) for j in range(2)])
+    assert difference(spark, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name]) == ""
+
+
+def test_rows_of_a_user_are_folded_before_its_state(spark):
+    nan = float("nan")
+    rows = [(i, START + timedelta(hours=i), i % 3, "view", None if i % 3 == 2 else nan if i == 4 else float(i), None) for i in range(30)]
+    events = spark.createDataFrame(rows, streams.SCHEMA).coalesce(1)
+    got = {r.user_id: (r.ts, r.value, r.n) for r in streams.folded(events).collect()}
+    assert len(got) == 3 and got[0] == (START + timedelta(hours=27), 27.0, 10) and got[2] == (START + timedelta(hours=29), None, 10)
+    assert got[1][1] != got[1][1] and got[1][2] == 10
+    many = events.crossJoin(spark.range(7).withColumnRenamed("id", "k")).repartition(3)
+    assert streams.folded(many).agg(F.sum("n")).first()[0] == 210 and streams.folded(many).count() <= 9
