@@ -131,7 +131,8 @@ def identified(documents: DataFrame) -> DataFrame:
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Adds `spans`, the sorted spans (s, e) of each document, to ``identified`` rows; an empty list where there are none."""
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
+    """Adds `spans`, the sorted spans (s, e, and more columns if any) of each document, to ``identified`` rows; an empty list where there are none."""
+    span = F.struct(*[c for c in spans.columns if c not in ("doc_id", "text_hash")])
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans")).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
     joined = rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.text_hash == lists.t), "left")
-    return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<s:long,e:long>>")).alias("spans"))
+    return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans"))

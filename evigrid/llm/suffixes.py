@@ -9,13 +9,17 @@ last winner, which decides most comparisons; others begin after the known prefix
 (the part of the suffix array at the anchors) give, for each offset, the suffixes equal on the right; those also equal
 on the left stand for repeated strings.
 
+Passages of 50 words are mostly shorter than 400 bytes. They are found in the same way, over words in place of bytes: suffixes
+are words that each end with a space, and common prefixes count whole words. They are told, not removed.
+
 Edge cases: a null or empty text loses nothing; a repeated row is another place where its strings start; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .anchors import anchors, identified, passes, repeated_filter, with_spans
+from .anchors import Anchors, anchors, identified, passes, repeated_filter, with_spans
 from .automata import _NULL, by_part
-from .common import TextBlock
+from .common import SPACED, TextBlock
 
 LENGTH = 400
 GRAM = 48
+#: Words (maximal runs of other than blanks) of a passage that is told where it starts elsewhere too.
+WORDS = 50
+WORD_GRAM = 8
 PARTS = 4  # for each shuffle partition
 BLOCK_BYTES = 1 << 20
 
@@ -130,23 +137,73 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, bytes, int]]:
 # ---------------------------------------------------------------- blocks to runs
 
 
-def _blocks(batch: pa.RecordBatch, length: int, gram: int):
+@dataclass
+class Units:
+    """The texts of a block as units: a value of each to hash, the first one of each text, and where each starts in `raw`."""
+
+    values: np.ndarray
+    offsets: np.ndarray
+    raw: bytes
+    starts: np.ndarray
+    before: int  # bytes by which what parts units precedes them
+
+
+def byte_units(column: pa.Array) -> Units:
+    block = TextBlock(column)
+    return Units(block.bytes, block.offsets, block.bytes.tobytes(), np.arange(len(block.bytes) + 1), 0)
+
+
+def word_units(column: pa.Array) -> Units:
+    """Words between single spaces: those from a to b are raw[starts[a] : starts[b]], each with the space that ends it."""
+    words = TextBlock(column).words(SPACED)
+    sizes = words.ends - words.starts
+    starts = np.cumsum(np.concatenate(([1], sizes + 1)))
+    spaced = np.full(int(starts[-1]), 32, np.uint8)
+    spaced[common.ragged(starts[:-1], sizes)] = words.block.bytes[common.ragged(words.starts, sizes)]
+    return Units(words.hashes(), words.first, spaced.tobytes(), starts, 1)
+
+
+def words_in(text: bytes) -> int:
+    """The whole words of a prefix of words that each end with a space."""
+    return text.count(b" ")
+
+
+@dataclass(frozen=True)
+class Method:
+    """What is a unit, how many are in bytes that end with a whole one, and how long strings and the grams of anchors are."""
+
+    units: Callable[[pa.Array], Units]
+    count: Callable[[bytes], int]
+    length: int
+    gram: int
+
+
+def over_bytes(length: int = LENGTH) -> Method:
+    return Method(byte_units, len, length, GRAM)
+
+
+def over_words(length: int = WORDS) -> Method:
+    return Method(word_units, words_in, length, WORD_GRAM)
+
+
+def _blocks(batch: pa.RecordBatch, method: Method) -> Iterator[tuple[pa.RecordBatch, Units, Anchors]]:
     for piece in common.pieces(iter([batch]), most_bytes=BLOCK_BYTES):
-        block = TextBlock(piece.column("text"))
-        yield piece, block, anchors(block.bytes, block.offsets, length, gram)
+        units = method.units(piece.column("text"))
+        yield piece, units, anchors(units.values, units.offsets, method.length, method.gram)
 
 
-def _runs(piece: pa.RecordBatch, block: TextBlock, found, length: int, parts: int) -> Iterator[tuple]:
+def _runs(piece: pa.RecordBatch, units: Units, found: Anchors, length: int, parts: int) -> Iterator[tuple]:
     """A row for each part: its front-coded run, with the members of each folded suffix."""
-    doc = np.searchsorted(block.offsets, found.at, "right") - 1
+    doc = np.searchsorted(units.offsets, found.at, "right") - 1
     ids = piece.column("doc_id").fill_null(_NULL).to_numpy(zero_copy_only=False)[doc]
     texts = piece.column("text_hash").to_numpy(zero_copy_only=False)[doc]
-    place = found.at - block.offsets[doc]
-    raw = block.bytes.tobytes()
+    place = found.at - units.offsets[doc]
+    raw, back = units.raw, units.before
+    low, at, end = (units.starts[x].tolist() for x in (found.low, found.at, found.high + length))
     # right: from the anchor to the end of the last window; left: from the start of the first window to the anchor.
     by_part: dict[int, dict[tuple[bytes, bytes, int], list]] = {}
-    for i, (part, at, low, high) in enumerate(zip((found.key % np.uint64(parts)).tolist(), found.at.tolist(), found.low.tolist(), found.high.tolist())):
-        context = (raw[at : high + length], raw[low:at], at - high)
+    for i, (part, nearest) in enumerate(zip((found.key % np.uint64(parts)).tolist(), (found.at - found.high).tolist())):
+        context = (raw[at[i] : end[i]], raw[low[i] - back : at[i] - back], nearest)
         by_part.setdefault(part, {}).setdefault(context, []).append((ids[i], texts[i], place[i]))
     for part, contexts in by_part.items():
         order = sorted(contexts)
@@ -154,22 +211,22 @@ def _runs(piece: pa.RecordBatch, block: TextBlock, found, length: int, parts: in
         members = [contexts[c] for c in order]
         who = np.array([m for x in members for m in x], np.int64).reshape(-1, 3)
         yield (
-            part, np.array(shared, "<u2").tobytes(), np.array([len(x) for x in rests], "<u2").tobytes(), b"".join(rests),
-            np.array([(len(c[1]), c[2]) for c in order], "<u2").tobytes(), b"".join(c[1] for c in order),
+            part, np.array(shared, "<u4").tobytes(), np.array([len(x) for x in rests], "<u4").tobytes(), b"".join(rests),
+            np.array([(len(c[1]), c[2]) for c in order], "<u4").tobytes(), b"".join(c[1] for c in order),
             np.array([len(x) for x in members], "<u4").tobytes(), who[:, 0].tobytes(), who[:, 1].tobytes(), who[:, 2].tobytes(),
         )
 
 
-def runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def runs(rows: DataFrame, method: Method) -> DataFrame:
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_filter(rows, lambda batch: (a.key for *_, a in _blocks(batch, length, gram)), 1)[0])
+    bits = spark.sparkContext.broadcast(repeated_filter(rows, lambda batch: (a.key for *_, a in _blocks(batch, method)), 1)[0])
     parts = PARTS * common.partitions(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RUNS_SCHEMA.split(", ")]
         for batch in batches:
-            for piece, block, found in _blocks(batch, length, gram):
-                made = list(_runs(piece, block, found.take(passes(bits.value, found.key)), length, parts))
+            for piece, units, found in _blocks(batch, method):
+                made = list(_runs(piece, units, found.take(passes(bits.value, found.key)), method.length, parts))
                 if made:
                     yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*made))], names=names)
 
@@ -184,18 +241,18 @@ def _split(data: bytes, lengths: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight: np.ndarray, length: int, count: Callable[[bytes], int] = len) -> tuple[np.ndarray, np.ndarray]:
     """For sorted suffixes: the largest and smallest offset of an anchor in a repeated string (-1 and `length` if none).
 
-    prefix: common prefix with the suffix before; nearest: the smallest offset that the suffix serves; weight: its members.
+    prefix: common prefix with the suffix before, in units that `count` counts; nearest: the smallest offset that the suffix serves; weight: its members.
     The offsets of repeated strings need not be all between the two, but the strings cover all that lies between.
     """
     m = len(lefts)
-    farthest = np.array([len(x) for x in lefts], np.int64)
-    # The bytes on the left, from the anchor backwards, sorted: neighbours with a common prefix of n are equal for n bytes.
+    farthest = np.array([count(x) for x in lefts], np.int64)
+    # The units on the left, from the anchor backwards, sorted: neighbours with a common prefix of n are equal for n units.
     backwards = [x[::-1] for x in lefts]
     sorted_ = sorted(range(m), key=backwards.__getitem__)
-    shared = np.array([0][:m] + [common_prefix(backwards[i], backwards[j]) for i, j in zip(sorted_, sorted_[1:])], np.int64)
+    shared = np.array([0][:m] + [count(backwards[j][: common_prefix(backwards[i], backwards[j])]) for i, j in zip(sorted_, sorted_[1:])], np.int64)
     place = np.empty(m, np.int64)
     place[sorted_] = np.arange(m)
     most, least = np.full(m, -1), np.full(m, length)
@@ -215,21 +272,21 @@ def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight:
     return most, least
 
 
-def _judged(rows: list[dict], length: int) -> pa.RecordBatch:
-    u2 = lambda c: [np.frombuffer(r[c], "<u2").astype(np.int64) for r in rows]
-    decoded = [Run(s.tolist(), _split(r["right_bytes"], n)) for r, s, n in zip(rows, u2("shared"), u2("rights"))]
-    lefts_of = [_split(r["left_bytes"], x.reshape(-1, 2)[:, 0]) for r, x in zip(rows, u2("lefts"))]
-    nearest_of = [x.reshape(-1, 2)[:, 1] for x in u2("lefts")]
-    members_of = [np.frombuffer(r["members"], "<u4").astype(np.int64) for r in rows]
+def _judged(rows: list[dict], length: int, count: Callable[[bytes], int]) -> pa.RecordBatch:
+    u4 = lambda c: [np.frombuffer(r[c], "<u4").astype(np.int64) for r in rows]
+    decoded = [Run(s.tolist(), _split(r["right_bytes"], n)) for r, s, n in zip(rows, u4("shared"), u4("rights"))]
+    lefts_of = [_split(r["left_bytes"], x.reshape(-1, 2)[:, 0]) for r, x in zip(rows, u4("lefts"))]
+    nearest_of = [x.reshape(-1, 2)[:, 1] for x in u4("lefts")]
+    members_of = u4("members")
     base = np.cumsum([0] + [len(x) for x in members_of])
     order, prefix = [], []
-    for run, i, _, shared in merged(decoded):
+    for run, i, text, shared in merged(decoded):
         order.append(base[run] + i)
-        prefix.append(shared)
+        prefix.append(count(text[:shared]))
     order, prefix = np.array(order, np.int64), np.array(prefix, np.int64)
     lefts = [x for part in lefts_of for x in part]
     nearest, weight = np.concatenate(nearest_of)[order], np.concatenate(members_of)
-    most, least = repeats(prefix, [lefts[i] for i in order], nearest, weight[order], length)
+    most, least = repeats(prefix, [lefts[i] for i in order], nearest, weight[order], length, count)
     hit = most >= 0
     entry = order[hit]
     first = np.cumsum(weight) - weight
@@ -239,46 +296,64 @@ def _judged(rows: list[dict], length: int) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(texts), "s": pa.array(at - far), "e": pa.array(at - near + length)})
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Byte spans (s, e) of ``identified`` documents that strings found elsewhere cover; they may overlap."""
-    found = runs(rows, length, gram).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
+def repeated_spans(rows: DataFrame, method: Method) -> DataFrame:
+    """Spans (s, e) of units of ``identified`` documents that strings found elsewhere cover; they may overlap."""
+    found = runs(rows, method).repartition(common.partitions(rows.sparkSession), "part").sortWithinPartitions("part")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_part(batches):
-            yield _judged(part, length)
+            yield _judged(part, method.length, method.count)
 
     return found.mapInArrow(judge, SPANS_SCHEMA)
 
 
-KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_words_repeated long"
+
+
+def union(spans: list[dict]) -> Iterator[tuple[int, int]]:
+    """Spans sorted by their start as maximal ones that do not touch."""
+    start = end = None
+    for span in spans:
+        if end is None or span["s"] > end:
+            if end is not None:
+                yield start, end
+            start, end = span["s"], span["e"]
+        end = max(end, span["e"])
+    if end is not None:
+        yield start, end
 
 
-def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each document row."""
+def dedup(documents: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) and n_words_repeated of each document row.
+
+    n_words_repeated: the words covered by `words` consecutive ones that also start elsewhere, removed or not.
+    """
     rows = identified(documents)
+    byte_spans = repeated_spans(rows, over_bytes(length)).withColumn("of_words", F.lit(False))
+    word_spans = repeated_spans(rows, over_words(words)).withColumn("of_words", F.lit(True))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             block = TextBlock(batch.column("text"))
             raw = block.bytes.tobytes()
-            columns: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+            columns: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "n_words_repeated": []}
             for begin, end, spans in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), batch.column("spans").to_pylist()):
                 text = raw[begin:end]
-                out, last, n = [], -1, 0
-                for span in spans:
-                    if span["s"] > last:
-                        out.append(text[max(last, 0) : span["s"]])
-                        n += 1
-                    last = max(last, span["e"])
-                out.append(text[max(last, 0) :])
+                out, last, n = [], 0, 0
+                for s, e in union([x for x in spans if not x["of_words"]]):
+                    out.append(text[last:s])
+                    last, n = e, n + 1
+                out.append(text[last:])
                 kept = b"".join(out)
-                for name, value in zip(columns, (len(text), len(text) - len(kept), n, kept)):
+                repeated = sum(e - s for s, e in union([x for x in spans if x["of_words"]]))
+                for name, value in zip(columns, (len(text), len(text) - len(kept), n, kept, repeated)):
                     columns[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(v, kind) for v, kind in zip(columns.values(), kinds)]], names=["doc_id", *columns])
 
-    return with_spans(rows, repeated_spans(rows, length)).mapInArrow(remove, KEPT_SCHEMA)
+    return with_spans(rows, byte_spans.unionByName(word_spans)).mapInArrow(remove, KEPT_SCHEMA)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return dedup(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"))
+    found = dedup(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"), "n_words_repeated")

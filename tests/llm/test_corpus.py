@@ -243,6 +243,59 @@ def test_suffix_dedup(spark, docs, texts, none):
     assert suffixes.dedup(none).count() == 0
 
 
+def words_repeated(rows, size):
+    """Of each row: the words within `size` consecutive ones that also start elsewhere."""
+    split = [SPACED.findall((t or "").encode()) for _, t in rows]
+    found = Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
+    for (doc, _), w in zip(rows, split):
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if found[tuple(w[i : i + size])] > 1:
+                gone.update(range(i, i + size))
+        yield doc, len(gone)
+
+
+def test_suffix_dedup_words(spark, docs, texts):
+    for size in (50, 9):
+        got = suffixes.dedup(docs, words=size).toPandas()
+        assert bag((number(r.doc_id), r.n_words_repeated) for r in got.itertuples()) == bag(words_repeated(texts, size))
+
+
+def test_suffix_dedup_short_passages(spark):
+    """Passages of over 50 words and under 400 bytes, between other words and blanks, are told; those of 49 words are not."""
+    rnd = random.Random(7)
+    some = lambda n: [f"{rnd.randrange(10**6):x}" for _ in range(n)]
+    passage, short = some(51), some(49)
+    rows = [(1, " ".join(some(80) + passage + some(30))), (2, " ".join(some(9)) + "\n" + "\t ".join(passage)), (3, " ".join(some(120))), (4, " ".join(some(5) + short)), (5, " ".join(short + some(70)))]
+    rows += [(6, " ".join(some(100) + ["\x01é\u00a0", "#", "x" * 70_000] * 40)), (7, " ".join(passage[1:50] + some(9))), (8, None)]
+    got = {r.doc_id: (r.n_removed, r.n_words_repeated) for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(" ".join(passage)) < 400
+    assert {d: n for d, (_, n) in got.items()} == dict(words_repeated(rows, 50)) == {1: 51, 2: 51, 3: 0, 4: 0, 5: 0, 6: 120, 7: 0, 8: 0}
+    assert all(got[d][0] == 0 for d in (1, 2, 3, 4, 5, 7, 8))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"aa", b"\x01", b"\xff"]), max_size=9), min_size=1, max_size=5), st.integers(1, 5))
+def test_repeats_of_words(texts, size):
+    """Suffixes at every word, each with all windows over it: repeated windows are those of brute force."""
+    found = Counter(tuple(w[i : i + size]) for w in texts for i in range(len(w) - size + 1))
+    entries = []
+    for t, w in enumerate(texts):
+        for at in range(len(w)):
+            low, high = max(0, at - size + 1), min(at, len(w) - size)
+            if low <= high:
+                entries.append((b"".join(x + b" " for x in w[at : high + size]), b"".join(b" " + x for x in w[low:at]), at - high, t, at))
+    entries.sort()
+    shared, _ = suffixes.front_coded([e[0] for e in entries])
+    prefix = np.array([suffixes.words_in(e[0][:n]) for e, n in zip(entries, shared)], np.int64)
+    most, least = suffixes.repeats(prefix, [e[1] for e in entries], np.array([e[2] for e in entries], np.int64), np.ones(len(entries), np.int64), size, suffixes.words_in)
+    for (*_, t, at), far, near in zip(entries, most.tolist(), least.tolist()):
+        w = texts[t]
+        want = [at - i for i in range(max(0, at - size + 1), min(at, len(w) - size) + 1) if found[tuple(w[i : i + size])] > 1]
+        # All offsets here are of windows at the same anchor's place in the text, so that equal windows meet.
+        assert (far, near) == ((max(want), min(want)) if want else (-1, size))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6).map(lambda x: bytes(c % 2 for c in x)), max_size=8), min_size=1, max_size=6))
 def test_loser_tree(lists):
