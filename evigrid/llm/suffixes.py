@@ -3,7 +3,7 @@
 A byte is removed where a LENGTH-byte string that covers it also starts somewhere else. Strings that can be equal share an
 anchor (see ``anchors``), so only the suffixes that begin at anchors are sorted. Tasks sort the suffixes of their block,
 fold those with equal surroundings into one, and send the sorted runs front-coded: of each suffix, the length of the prefix
-it shares with the one before and the bytes after that, next to the bytes on its left. Runs are split by the hash of the
+it shares with the one before and the bytes after that, next to the bytes on its left, all compressed. Runs are split by the hash of the
 anchor, so that each part has whole groups. A part merges its runs with a loser tree: entries know their common prefix with the
 last winner, which decides most comparisons; others begin after the known prefix. The merged order and its common prefixes
 (the part of the suffix array at the anchors) give, for each offset, the suffixes equal on the right; those also equal
@@ -39,7 +39,7 @@ WORD_GRAM = 8
 PARTS = 4  # for each shuffle partition
 BLOCK_BYTES = 1 << 20
 
-RUNS_SCHEMA = "part int, shared binary, rights binary, right_bytes binary, lefts binary, left_bytes binary, members binary, doc_id binary, text_hash binary, at binary"
+RUNS_SCHEMA = "part int, shared binary, rights binary, lefts binary, packed binary, members binary, doc_id binary, text_hash binary, at binary"
 SPANS_SCHEMA = "doc_id long, text_hash long, s long, e long"
 
 
@@ -211,8 +211,8 @@ def _runs(piece: pa.RecordBatch, units: Units, found: Anchors, length: int, part
         members = [contexts[c] for c in order]
         who = np.array([m for x in members for m in x], np.int64).reshape(-1, 3)
         yield (
-            part, np.array(shared, "<u4").tobytes(), np.array([len(x) for x in rests], "<u4").tobytes(), b"".join(rests),
-            np.array([(len(c[1]), c[2]) for c in order], "<u4").tobytes(), b"".join(c[1] for c in order),
+            part, np.array(shared, "<u4").tobytes(), np.array([len(x) for x in rests], "<u4").tobytes(), np.array([(len(c[1]), c[2]) for c in order], "<u4").tobytes(),
+            pa.compress(b"".join([*rests, *(c[1] for c in order)]), codec="zstd", asbytes=True),
             np.array([len(x) for x in members], "<u4").tobytes(), who[:, 0].tobytes(), who[:, 1].tobytes(), who[:, 2].tobytes(),
         )
 
@@ -236,8 +236,9 @@ def runs(rows: DataFrame, method: Method) -> DataFrame:
 # ---------------------------------------------------------------- merged parts to spans
 
 
-def _split(data: bytes, lengths: np.ndarray) -> list[bytes]:
+def _unpacked(packed: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
+    data = pa.decompress(packed, decompressed_size=ends[-1], codec="zstd", asbytes=True)
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -274,9 +275,9 @@ def repeats(prefix: np.ndarray, lefts: list[bytes], nearest: np.ndarray, weight:
 
 def _judged(rows: list[dict], length: int, count: Callable[[bytes], int]) -> pa.RecordBatch:
     u4 = lambda c: [np.frombuffer(r[c], "<u4").astype(np.int64) for r in rows]
-    decoded = [Run(s.tolist(), _split(r["right_bytes"], n)) for r, s, n in zip(rows, u4("shared"), u4("rights"))]
-    lefts_of = [_split(r["left_bytes"], x.reshape(-1, 2)[:, 0]) for r, x in zip(rows, u4("lefts"))]
-    nearest_of = [x.reshape(-1, 2)[:, 1] for x in u4("lefts")]
+    left_sizes, nearest_of = zip(*[x.reshape(-1, 2).T for x in u4("lefts")])
+    texts = [_unpacked(r["packed"], np.concatenate(sizes)) for r, *sizes in zip(rows, u4("rights"), left_sizes)]
+    decoded = [Run(s.tolist(), x[: len(s)]) for s, x in zip(u4("shared"), texts)]
     members_of = u4("members")
     base = np.cumsum([0] + [len(x) for x in members_of])
     order, prefix = [], []
@@ -284,16 +285,16 @@ def _judged(rows: list[dict], length: int, count: Callable[[bytes], int]) -> pa.
         order.append(base[run] + i)
         prefix.append(count(text[:shared]))
     order, prefix = np.array(order, np.int64), np.array(prefix, np.int64)
-    lefts = [x for part in lefts_of for x in part]
+    lefts = [x for part in texts for x in part[len(part) // 2 :]]
     nearest, weight = np.concatenate(nearest_of)[order], np.concatenate(members_of)
     most, least = repeats(prefix, [lefts[i] for i in order], nearest, weight[order], length, count)
     hit = most >= 0
     entry = order[hit]
     first = np.cumsum(weight) - weight
     who = common.ragged(first[entry], weight[entry])
-    ids, texts, at = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows])[who] for c in ("doc_id", "text_hash", "at"))
+    ids, hashes, at = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows])[who] for c in ("doc_id", "text_hash", "at"))
     far, near = np.repeat(most[hit], weight[entry]), np.repeat(least[hit], weight[entry])
-    return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(texts), "s": pa.array(at - far), "e": pa.array(at - near + length)})
+    return pa.record_batch({"doc_id": pa.array(ids, mask=ids == _NULL), "text_hash": pa.array(hashes), "s": pa.array(at - far), "e": pa.array(at - near + length)})
 
 
 def repeated_spans(rows: DataFrame, method: Method) -> DataFrame:
