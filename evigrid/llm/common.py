@@ -61,11 +61,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns it as read from there: this cuts the lineage."""
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and returns it as read from there: this cuts the lineage.
+
+    Rows of megabytes need ``group_bytes``, the size of a row group. Writers and readers hold a row group at a time, and writers
+    look at its size after 100 rows at first, unless told to look after each.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes).option("parquet.page.size.row.check.min", 1)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,6 +33,8 @@ WINDOW = 13
 #: Bytes of text in a segment, and of windows that a task looks up at once.
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
+#: Bytes of a row group of the stored index: a few segments, however many a task writes or reads.
+GROUP_BYTES = 16 << 20
 #: Candidate places that a task holds at once.
 CANDIDATES = 1 << 20
 
@@ -104,7 +106,7 @@ def build_index(documents: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Dat
         for i, batch in enumerate(common.pieces(batches, most_bytes=segment_bytes)):
             yield _segment(batch, first + i)
 
-    return common.stored(identified(documents).mapInArrow(index, INDEX_SCHEMA), "postings")
+    return common.stored(identified(documents).mapInArrow(index, INDEX_SCHEMA), "postings", GROUP_BYTES)
 
 
 # ---------------------------------------------------------------- windows and the segments they meet

@@ -7,10 +7,12 @@ import re
 import textwrap
 import time
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from compare import difference
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +70,18 @@ def test_decontamination(spark, docs, texts, none):
     assert kept.columns == docs.columns and kept.count() == sum(x.endswith("False)") for x in want)
 
 
+def test_index_row_groups(spark, docs, monkeypatch):
+    """A row group of the index holds a few segments, not all of its task: writers and readers keep a whole one in memory."""
+    monkeypatch.setattr(decontamination, "GROUP_BYTES", 200_000, raising=False)
+    index = decontamination.build_index(docs.coalesce(1), segment_bytes=20_000)
+    groups = []
+    for path in index.inputFiles():
+        meta = pq.ParquetFile(urlparse(path).path).metadata
+        groups += [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert index.count() == sum(g.num_rows for g in groups) > 20 and max(g.num_rows for g in groups) > 1
+    assert max(g.total_byte_size for g in groups) <= 300_000 < sum(g.total_byte_size for g in groups)
+
+
 def near(texts, items, slack, size=13):
     """For each text the items with a window whose i-th word is, for some p, within `slack` of p + i for each i."""
     for doc, text in texts:
